@@ -7,8 +7,8 @@ gradient of the noisy-or shares a document's label among its sentences, and the
 tell which sentences offend.
 
 Training takes the labelled rows outside the held-out third, at most MOST_TOXIC toxic and MOST_CLEAN other
-ones (those with the smallest hash of their doc_id); everything else covers all rows. The weights are a
-table of fixed size.
+ones (those with the smallest hash of their doc_id); everything else covers all rows. The features that
+enter the model are those whose presence in a document speaks for label 1.
 
 Null texts count as empty; an empty text has no sentence and scores 0. A null doc_id is not held out and is
 never trained on. Null labels are no labels; a doc_id with two labels counts as toxic if one says so. With no
@@ -25,7 +25,11 @@ from pyspark.sql import functions as F
 from .common import C1, SPACE, U, Words, as_batch, each_slice, flat, load, tune
 
 MOST_TOXIC, MOST_CLEAN = 2000, 4000
-BITS, ROUNDS, RATE, DECAY = 18, 60, 0.5, 2e-5
+BIAS, ROUNDS, RATE, DECAY = -6.0, 120, 0.7, 1e-5
+#: Features enter the model from this likelihood-ratio statistic on (about one chance in a million for noise).
+LEAST_EVIDENCE = 24
+#: and if they are so many times as frequent in toxic documents as in others: a sentence offends by what it has.
+LEAST_RATIO = 10
 THRESHOLD = 0.7
 #: Sentences end at . ! ? ; and at line ends. Words are runs of letters: everything else in ASCII separates them.
 STOP = np.zeros(256, bool)
@@ -40,10 +44,10 @@ def sentences(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     w = Words(buf, off, APART)
     if not len(w.start):
         none = np.zeros(0, np.int64)
-        return np.zeros((0, 1 + len(LEADS)), np.int32), none, none, none, none
+        return np.zeros((0, 1 + len(LEADS)), np.uint32), none, none, none, none
     size = w.end - w.start
     kinds = [w.hashes()] + [w.span_hash(w.start, np.minimum(w.end, w.start + k)) * C1 + U(k) for k in LEADS]
-    x = np.stack([(h >> U(64 - BITS)).astype(np.int32) for h in kinds], 1)
+    x = np.stack([(h >> U(32)).astype(np.uint32) for h in kinds], 1)
     for k, lead in enumerate(LEADS):
         x[size < lead, k + 1] = x[size < lead, 0]  # a short word is itself
     stops = np.cumsum(STOP[buf])
@@ -55,78 +59,118 @@ def sentences(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return x, first, w.doc[first], w.start[first], w.end[last]
 
 
-def sentence_scores(x: np.ndarray, first: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
-    if not len(first):
-        return np.zeros(0)
-    z = np.add.reduceat(weights[x].sum(1, dtype=np.float64), first) + bias
+class Model:
+    """Sorted hashes of the features that count, their weights, the bias of a sentence."""
+
+    def __init__(self, features: np.ndarray, weights: np.ndarray, bias: float):
+        self.features, self.weights, self.bias = features, weights, bias
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[features & 0xFFFF] = True
+
+    def found(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of x and the model's features that they hold."""
+        row, kind = np.nonzero(self.maybe[x & 0xFFFF])
+        if not len(self.features) or not len(row):
+            return row[:0], row[:0]
+        at = np.minimum(np.searchsorted(self.features, x[row, kind]), len(self.features) - 1)
+        ok = self.features[at] == x[row, kind]
+        return row[ok], at[ok]
+
+    def sentence_scores(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+        row, at = self.found(x)
+        z = np.bincount(np.searchsorted(first, row, "right") - 1, self.weights[at], len(first)) if len(row) else np.zeros(len(first))
+        return logistic(z + self.bias)
+
+
+def logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+NEVER = Model(np.zeros(0, np.uint32), np.zeros(0), -30.0)
+
+
 def noisy_or(p: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), docs))
 
 
-def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
+def fit(texts: list[str], labels: list[int]) -> Model:
     """Sentence weights and bias that make the noisy-or fit the documents' labels; AdaGrad on the whole sample."""
-    weights, bias = np.zeros(1 << BITS, np.float32), -6.0
     y = np.asarray(labels, float)
     if not 0 < y.sum() < len(y):
-        return weights, -30.0
+        return NEVER
     raw = [t.encode() for t in texts]
     off = np.cumsum([0, *map(len, raw)])
     buf = np.frombuffer(b"".join(raw), np.uint8)
-    parts = []
-    for i, _, a, cut in each_slice(buf, off):
-        x, first, doc, _, _ = sentences(a, cut)
-        parts.append((x, first, doc + i))
-    base = np.cumsum([0, *(len(x) for x, _, _ in parts)])
-    x = np.concatenate([p[0] for p in parts])
-    first = np.concatenate([p[1] + b for p, b in zip(parts, base)])
-    doc = np.concatenate([p[2] for p in parts])
-    counts = np.diff(np.append(first, len(x)))
-    share = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))  # both kinds weigh the same
-    seen, used = np.full(1 << BITS, 1e-6), 1e-6
+    parts = [(i, *sentences(a, cut)) for i, _, a, cut in each_slice(buf, off)]
+    telling = evidence(((i + doc[np.searchsorted(first, np.arange(len(x)), "right") - 1], x) for i, x, first, doc, _, _ in parts if len(x)), y)
+    shape = Model(telling, np.zeros(len(telling)), BIAS)
+    rows, cols, docs, n = [], [], [], 0
+    for i, x, first, doc, _, _ in parts:
+        row, at = shape.found(x)
+        rows.append(np.searchsorted(first, row, "right") - 1 + n)
+        cols.append(at)
+        docs.append(doc + i)
+        n += len(first)
+    row, col, doc = map(np.concatenate, (rows, cols, docs))
+    w, bias, seen, used = np.zeros(len(telling)), BIAS, np.full(len(telling), 1e-6), 1e-6
     for _ in range(ROUNDS):
-        p = sentence_scores(x, first, weights, bias)
+        p = logistic(np.bincount(row, w[col], n) + bias)
         bag = np.clip(noisy_or(p, doc, len(y)), 1e-6, 1 - 1e-9)
-        g = np.where(y[doc] == 1, -(1 - bag[doc]) / bag[doc] * p, p) * share[doc]
-        per = np.repeat(g, counts)
-        grad = sum(np.bincount(x[:, k], per, 1 << BITS) for k in range(x.shape[1])) / len(y) + DECAY * weights
+        g = np.where(y[doc] == 1, -(1 - bag[doc]) / bag[doc] * p, p)
+        grad = np.bincount(col, g[row], len(telling)) / len(y) + DECAY * w
         seen += grad * grad
-        weights -= (RATE * grad / np.sqrt(seen)).astype(np.float32)
+        w -= RATE * grad / np.sqrt(seen)
         gb = g.sum() / len(y)
         used += gb * gb
         bias -= 0.1 * RATE * gb / np.sqrt(used)
-    return weights, bias
+    return Model(telling, w, bias)
+
+
+def evidence(parts, y: np.ndarray) -> np.ndarray:
+    """The features whose presence in a document speaks for label 1 strongly enough, by a likelihood-ratio test.
+
+    parts: pairs of the documents of some words and the words' features.
+    """
+    key = np.unique(np.concatenate([np.unique((doc[:, None].astype(np.uint64) << U(32) | x).ravel()) for doc, x in parts] or [np.zeros(0, U)]))
+    feature, at = np.unique((key & U(0xFFFFFFFF)).astype(np.uint32), return_inverse=True)
+    n, toxic = len(y), y.sum()
+    both = np.bincount(at, y[(key >> U(32)).astype(np.int64)], len(feature))
+    df = np.bincount(at, minlength=len(feature)).astype(float)
+
+    def part(k, rows, label):
+        return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) * n / np.maximum(rows * label, 1e-9)), 0)
+
+    ratio = 2 * (part(both, df, toxic) + part(df - both, df, n - toxic) + part(toxic - both, n - df, toxic) + part(n - toxic - df + both, n - df, n - toxic))
+    return feature[(ratio >= LEAST_EVIDENCE) & (both * (n - toxic) > LEAST_RATIO * (df - both) * toxic)]
 
 
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+def train(documents: DataFrame, labels: DataFrame) -> Model:
     """Fits on a bounded sample: its ids are chosen from the labels alone, then their texts are fetched."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     usable = known.filter(~held_out(F.col("doc_id"))).withColumn("turn", F.xxhash64("doc_id"))
     ids = usable.filter("toxic = 1").orderBy("turn", "doc_id").limit(MOST_TOXIC).unionByName(usable.filter("toxic <> 1").orderBy("turn", "doc_id").limit(MOST_CLEAN))
     some = [(r.doc_id, r.toxic) for r in ids.collect()]
     if not some:
-        return np.zeros(1 << BITS, np.float32), -30.0
+        return NEVER
     chosen = documents.sparkSession.createDataFrame(some, "id long, y int")  # at most MOST_TOXIC + MOST_CLEAN rows
     rows = documents.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("id")).select("id", "y", F.coalesce("text", F.lit("")).alias("text"))
     sample = sorted(((r.id, r.text, int(r.y == 1)) for r in rows.toLocalIterator()))
     return fit([r[1] for r in sample], [r[2] for r in sample])
 
 
-def scored(buf, off, weights, bias) -> np.ndarray:
+def scored(buf, off, model: Model) -> np.ndarray:
     out = np.zeros(len(off) - 1)
     for i, j, a, cut in each_slice(buf, off):
         x, first, doc, _, _ = sentences(a, cut)
-        out[i:j] = noisy_or(sentence_scores(x, first, weights, bias), doc, j - i)
+        out[i:j] = noisy_or(model.sentence_scores(x, first), doc, j - i)
     return np.clip(out, 0, 1)
 
 
-def scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -134,13 +178,13 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield as_batch(schema, doc_id=b.column("doc_id"), score=scored(*flat(b.column("text")), *shared.value))
+            yield as_batch(schema, doc_id=b.column("doc_id"), score=scored(*flat(b.column("text")), shared.value))
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def offending_sentences(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.5) -> DataFrame:
+def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """doc_id, sentence (text) and score of each sentence that scores at least that much."""
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -150,21 +194,21 @@ def offending_sentences(docs: DataFrame, model: tuple[np.ndarray, float], least:
             ids, (buf, off) = b.column("doc_id").to_pylist(), flat(b.column("text"))
             for i, _, a, cut in each_slice(buf, off):
                 x, first, doc, start, end = sentences(a, cut)
-                p = sentence_scores(x, first, *shared.value)
+                p = shared.value.sentence_scores(x, first)
                 at = np.flatnonzero(p >= least)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[i + doc[k]] for k in at], pa.int64()), "sentence": pa.array([a[start[k] : end[k]].tobytes().decode(errors="replace") for k in at], pa.string()), "score": pa.array(p[at])})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sentence string, score double")
 
 
-def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that score below the threshold, with all their columns; no shuffle."""
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(scored(*flat(b.column(b.schema.get_field_index("text"))), *shared.value) < THRESHOLD))
+            yield b.filter(pa.array(scored(*flat(b.column(b.schema.get_field_index("text"))), shared.value) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 
