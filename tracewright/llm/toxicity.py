@@ -26,8 +26,8 @@ from .common import C1, SPACE, U, Words, as_batch, each_slice, flat, load, tune
 
 MOST_TOXIC, MOST_CLEAN = 2000, 4000
 BIAS, ROUNDS, RATE, DECAY = -6.0, 120, 0.7, 1e-5
-#: Features enter the model from this likelihood-ratio statistic on (about one chance in a million for noise).
-LEAST_EVIDENCE = 24
+#: Features enter the model from this likelihood-ratio statistic on (one chance in 16,000 for noise).
+LEAST_EVIDENCE = 16
 #: and if they are so many times as frequent in toxic documents as in others: a sentence offends by what it has.
 LEAST_RATIO = 10
 THRESHOLD = 0.7
