@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one group of the chunked operators holds, and the fewest groups.
 CHUNK_BYTES, LEAST_CHUNKS = 8 << 20, 64
 #: Bytes that numpy scans at a time; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Rows of an Arrow batch; documents are a few kB each.
 BATCH_ROWS = 1000
 
