@@ -94,7 +94,7 @@ def segments(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         runs = np.flatnonzero(new)
     first, last = at[runs], at[np.append(runs[1:], len(at)) - 1]
     whole = mix(window_hash(eight, first) + mix(window_hash(eight, last) + (last - first).astype(U) * C2))
-    return np.searchsorted(off, first, "right") - 1, first, last, least[runs], whole
+    return np.searchsorted(off, first, "right") - 1, first, last, mix(least[runs]), whole  # smallest hashes crowd near 0 until mixed
 
 
 class Chunk:
