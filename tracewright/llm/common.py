@@ -6,7 +6,6 @@ import math
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Bytes of text that one group of the chunked operators holds, and the fewest groups.
 CHUNK_BYTES, LEAST_CHUNKS = 8 << 20, 64
 #: Bytes that numpy scans at a time; a longer text is a slice of its own.
@@ -39,19 +40,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def tune(spark: SparkSession) -> None:
     """Batches of a bounded number of texts; executors get this package where it isn't installed."""
-    context = spark.sparkContext
-    if not getattr(context, "_sent_package", False):
-        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        name = os.path.basename(root)
-        packed = os.path.join(tempfile.mkdtemp(prefix="package-"), f"{name}.zip")
-        with zipfile.ZipFile(packed, "w") as z:
-            for folder, _, files in os.walk(root):
-                for f in files:
-                    if f.endswith(".py"):
-                        full = os.path.join(folder, f)
-                        z.write(full, os.path.join(name, os.path.relpath(full, root)))
-        context.addPyFile(packed)
-        context._sent_package = True
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
