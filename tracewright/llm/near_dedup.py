@@ -13,6 +13,8 @@ the class that most other buckets know too, and its members are compared with th
 * The Jaccard distance is a metric: a class within NEAR of the pivot can be linked only to classes at FAR or
   more of that pivot, so it has met all its partners of that bucket and leaves it. Buckets with classes that
   the pivot was too far from go on to another round, with a pivot out of those.
+* What is left after ROUNDS rounds is no large cluster any more: there the odd sketches of all classes of a
+  bucket are compared in blocks, and only pairs that may reach the threshold come out.
 
 Links, confirmed on full sets, are contracted to components by alternating stars.
 
@@ -24,6 +26,8 @@ no part.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +41,10 @@ BANDS, ROWS, BITS = 32, 4, 1024
 FAR, NEAR = 40, 65
 #: Differing bits of two odd sketches beyond which a similarity of FAR is out of the question (five standard deviations).
 MOST_BITS = 195
-#: Members of a pivot that are compared in one task.
+#: The same for the threshold itself.
+MOST_LINKED = 125
+ROUNDS = 3
+#: Members of a pivot, or of a bucket, that are compared in one task.
 BLOCK = 2048
 SAMPLES = BANDS * ROWS
 _random = np.random.default_rng(20240917)
@@ -161,14 +168,15 @@ def linked(shared, n, m):
     return 100 * shared >= SHARE * (n + m - shared)
 
 
+def direct(near: DataFrame) -> DataFrame:
+    return near.filter(linked(F.col("shared"), F.col("n"), F.col("m"))).select(F.col("v").alias("u"), F.col("p").alias("w"))
+
+
 def among_members(near: DataFrame) -> DataFrame:
     """Links (u, w) between members of the same pivot, one of which at least isn't linked with the pivot itself."""
     schema = pa.schema([("u", pa.int64()), ("w", pa.int64())])
     counted = near.groupBy("p").agg(F.count(F.lit(1)).alias("many"), F.sum(F.when(linked(F.col("shared"), F.col("n"), F.col("m")), 0).otherwise(1)).alias("open")).filter("open > 0 AND many > 1")
-    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
-    dealt = near.join(counted.withColumn("blocks", blocks).drop("open", "many"), "p").withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+    dealt = blocked(near.join(counted.drop("open"), "p"), "p", "many")
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -205,6 +213,37 @@ def among_members(near: DataFrame) -> DataFrame:
     return dealt.groupBy("p", "i", "j").applyInArrow(run, "u long, w long")
 
 
+def blocked(df: DataFrame, key: str, many: str) -> DataFrame:
+    """The rows of each key dealt to pairs (i, j) of blocks of at most about BLOCK rows; own: a row's block."""
+    blocks = F.ceil(F.col(many) / BLOCK).cast("int")
+    dealt = df.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks", many)
+
+
+def close_sketches(left: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Pairs (v, p) of the classes left in a bucket, one of them far from its pivots, whose sketches allow a link."""
+    schema = pa.schema([("v", pa.int64()), ("p", pa.int64())])
+    sized = left.groupBy("key").agg(F.count(F.lit(1)).alias("many"))
+    dealt = blocked(left.select("key", "v", "far").join(sketch, "v").join(sized, "key"), "key", "many")
+
+    def run(table: pa.Table) -> pa.Table:
+        v, far, own = (table.column(n).to_numpy() for n in ("v", "far", "own"))
+        x = np.stack(table.column("sketch").to_pylist()).astype(np.int64).view(U)
+        cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        out = []
+        for k in np.flatnonzero(far):
+            ok = np.bitwise_count(x[k] ^ x).sum(1, dtype=np.int64) <= MOST_LINKED
+            ok &= (~far | (v < v[k])) & (v != v[k])
+            if cross:
+                ok &= own != own[k]
+            out.append(np.stack([np.maximum(v[ok], v[k]), np.minimum(v[ok], v[k])]))
+        pairs = np.concatenate([*out, np.zeros((2, 0), np.int64)], 1)
+        return pa.Table.from_batches([as_batch(schema, v=pairs[0], p=pairs[1])])
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "v long, p long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """v, component (its smallest member) of every end of the links (u, w); alternating large and small stars."""
     spark = links.sparkSession
@@ -238,22 +277,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = stored(spark, wanted, "wanted")
     sets = stored(spark, whole_sets(docs, wanted.select("v", "a", "b")), "sets")
     buckets = held.select("key", "v", F.lit(True).alias("far")).join(known, "v")
-    links = None
-    while True:
+    sketch, found = wanted.select("v", "sketch"), []
+    for _ in range(ROUNDS):
         pivots = buckets.groupBy("key").agg(F.min(F.when(F.col("far"), F.struct((-F.col("known")).alias("k"), F.col("v").alias("p")))).alias("pivot")).select("key", "pivot.p")
         round_ = stored(spark, buckets.join(pivots, "key"), "round")
-        sketch = wanted.select("v", "sketch")
         pairs = round_.filter("v <> p").select("v", "p").distinct().join(sketch, "v").join(sketch.select(F.col("v").alias("p"), F.col("sketch").alias("other")), "p")
         apart = F.aggregate(F.zip_with("sketch", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda t, x: t + x)
         near = stored(spark, compared(pairs.filter(apart <= MOST_BITS).select("v", "p"), sets), "near")
-        found = near.filter(linked(F.col("shared"), F.col("n"), F.col("m"))).select(F.col("v").alias("u"), F.col("p").alias("w")).unionByName(among_members(near))
-        links = found if links is None else links.unionByName(found)
+        found.append(direct(near))
+        found.append(among_members(near))
         met = near.select("v", "p", (100 * F.col("shared") >= NEAR * (F.col("n") + F.col("m") - F.col("shared"))).alias("close"))
         left = round_.filter("v <> p").join(met, ["v", "p"], "left").filter("close IS NULL OR NOT close").select("key", "v", F.col("close").isNull().alias("far"), "known")
         going = left.groupBy("key").agg(F.max("far").alias("any"), F.count(F.lit(1)).alias("size")).filter("any AND size > 1").select("key")
         buckets = stored(spark, left.join(going, "key"), "left")
         if buckets.isEmpty():
             break
+    found.append(direct(compared(close_sketches(buckets, sketch), sets)))
+    links = reduce(DataFrame.unionByName, found)
     labels = components(links)
     named_classes = classes.select("a", "b", "v").join(labels, "v", "left").select("a", "b", F.coalesce("component", "v").alias("component"))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("a")).alias("a"), "b")
