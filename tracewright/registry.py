@@ -301,13 +301,13 @@ def d04_ordinal_encode_fit(spark, sf_dir):
     return sequence.fit_ordinal(events(spark, sf_dir), "namespace")
 
 
-@query(f"WITH {AUDIT}, f AS (SELECT username AS value, min(line_idx) AS first FROM audit WHERE line_idx < 500 GROUP BY 1), m AS (SELECT value, row_number() OVER (ORDER BY first) - 1 AS code FROM f), n AS (SELECT username AS value, min(line_idx) AS first FROM audit WHERE username NOT IN (SELECT value FROM m) GROUP BY 1), e AS (SELECT * FROM m UNION ALL SELECT value, (SELECT max(code) FROM m) + row_number() OVER (ORDER BY first) FROM n) SELECT line_idx, e.code FROM audit JOIN e ON username = value")
+@query(f"WITH {AUDIT}, f AS (SELECT username AS value, min(line_idx) AS first FROM audit WHERE line_idx < 500 GROUP BY 1), m AS (SELECT value, row_number() OVER (ORDER BY first) - 1 AS code FROM f), n AS (SELECT username AS value, min(line_idx) AS first FROM audit WHERE username NOT IN (SELECT value FROM m) GROUP BY 1), e AS (SELECT * FROM m UNION ALL SELECT value, (SELECT max(code) FROM m) + row_number() OVER (ORDER BY first) FROM n) SELECT line_idx, e.code FROM audit JOIN e ON username = e.value")
 def d05_ordinal_encode_transform(spark, sf_dir):
     e = events(spark, sf_dir).select("line_idx", "username")
     return sequence.encode_ordinal(e, "username", sequence.fit_ordinal(e.filter("line_idx < 500"), "username")).select("line_idx", "code")
 
 
-@query(f"WITH {AUDIT}, m AS ({FIRST.format(c='username')}) SELECT line_idx, coalesce(value, 'UNKNOWN') AS decoded FROM audit LEFT JOIN m ON m.code = k")
+@query(f"WITH {AUDIT}, m AS ({FIRST.format(c='username')}) SELECT line_idx, coalesce(m.value, 'UNKNOWN') AS decoded FROM audit LEFT JOIN m ON m.code = k")
 def d06_ordinal_decode(spark, sf_dir):
     e = events(spark, sf_dir).select("line_idx", "username", "k")
     return sequence.decode_ordinal(e, sequence.fit_ordinal(e, "username"), "k").select("line_idx", "decoded")
