@@ -44,6 +44,8 @@ MOST_BITS = 195
 #: The same for the threshold itself.
 MOST_LINKED = 125
 ROUNDS = 3
+#: Identifiers (8 bytes each) that are broadcast at most.
+MOST_SENT = 2_000_000
 #: Members of a pivot, or of a bucket, that are compared in one task.
 BLOCK = 2048
 SAMPLES = BANDS * ROWS
@@ -137,7 +139,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = shingles(Words(part, cut))
                 yield as_batch(schema, v=ids.slice(i, j - i), a=[int(mix(s + C1).sum(dtype=U).view(np.int64)) for s in sets], b=[int(mix(s * C3).sum(dtype=U).view(np.int64)) for s in sets], s=[s.tobytes() for s in sets])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select(F.col("v").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    ids = wanted.select(F.col("v").alias("doc_id")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= MOST_SENT else ids  # beyond that the texts are shuffled to them
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     return some.mapInArrow(run, "v long, a long, b long, s binary").join(wanted, ["v", "a", "b"], "left_semi").dropDuplicates(["v"]).select("v", "s")
 
 
