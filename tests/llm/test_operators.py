@@ -238,6 +238,38 @@ def test_lm_is_normalised_and_learns():
     assert table[0 * lm_score.CLASSES + 1].argmax() == 2
 
 
+def test_lm_passes_over_every_trigram(monkeypatch):
+    r = np.random.default_rng(2)
+    codes = np.sort(r.choice(lm_score.CLASSES**3, 20_000, replace=False))
+    counts = r.integers(1, 4, len(codes))
+    counts[7] = 10**7
+    model, met = lm_score.LogBilinear(), collections.Counter()
+
+    def step(code, w, *rest):
+        met.update(code.tolist())
+        weights.append((code, w[:, 0]))
+
+    weights = []
+    monkeypatch.setattr(model, "step", step)
+    model.train(codes, counts)
+    assert len(met) == len(codes) and len(weights) >= lm_score.STEPS
+    code, w = np.concatenate([c for c, _ in weights]), np.concatenate([x for _, x in weights])
+    got = np.bincount(np.searchsorted(codes, code), w, len(codes))
+    assert np.allclose(got / got.sum(), counts / counts.sum(), rtol=1e-3)
+
+
+def test_lm_classes_grow_with_the_vocabulary(spark):
+    assert lm_score.frequent(10**6) > lm_score.frequent(1000) > lm_score.FREQUENT
+    common_words = [f"w{k}ing" for k in range(100)]  # more than FREQUENT of them, in one suffix class if they had none of their own
+    pairs = " ".join(f"w{k}ing w{99 - k}ing" for k in range(100))
+    df = spark.createDataFrame([(k, pairs if k < 60 else " ".join(f"u{k}x{m}" for m in range(20))) for k in range(100)], "doc_id long, text string")
+    assert lm_score.scores(df).filter("score >= 0 OR score IS NULL").count() == 0
+    h, kinds, _ = lm_score.words_of(np.frombuffer(" ".join(common_words).encode(), np.uint8), np.array([0, len(" ".join(common_words))]))
+    end = lm_score.frequent(800)
+    known = lm_score.Classes([(int(x.view(np.int64)), 5, int(k)) for x, k in zip(h, kinds)], np.full(lm_score.SUFFIXES, 999), np.full(lm_score.SUFFIXES, 99), 1, end)
+    assert len(set(known.of(h, kinds).tolist())) == 100 and known.of(h, kinds).max() < end
+
+
 def test_exact_dedup(docs, nothing):
     text = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t in rows()]
     groups = collections.defaultdict(list)
