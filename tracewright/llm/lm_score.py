@@ -39,7 +39,7 @@ STEPS, BATCH, NOISE, RATE = 500, 4096, 64, 0.1
 #: Least passes over the trigrams, and the least parts of a batch's weight that one trigram's pieces are cut to.
 PASSES, SHARES = 2, 64
 #: Distinct trigrams that a task counts before it hands them on, and that the driver trains on at a time.
-HELD_TRIGRAMS, BLOCK_TRIGRAMS = 1 << 20, 1 << 22
+HELD_TRIGRAMS, BLOCK_TRIGRAMS = 1 << 20, 1 << 20
 #: Contexts normalised, and tokens scored, at a time.
 CONTEXTS, SCORED = 2048, 1 << 16
 
