@@ -92,6 +92,15 @@ def test_pii_terms(spark):
     assert "wizard" not in texts[0] and "Gandalf" not in texts[0] and texts[11] == told[5][1]
 
 
+def test_pii_counts_documents(spark):
+    told = [(k, f"dear Gandalf of the hill wizard@shire.example.org a{'bcdefghijk'[k]}a went off by night") for k in range(10)]
+    told += [(50, "Bilbo saw frodo@shire.example.org then Bilbo saw frodo@shire.example.org then Bilbo saw frodo@shire.example.org")]
+    told += [(100 + k, "nothing at all of it here") for k in range(9)]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(told, "doc_id long, text string")).collect()}
+    assert all(",term:5:12" in got[k].spans for k in range(10))  # the entity is in half of the documents
+    assert got[50].n_terms == 0  # three mentions are one document
+
+
 def test_line_dedup(docs, nothing):
     got = collections.Counter({(r.doc_id, r.text): 1 for r in line_dedup.deduplicated(docs).filter("doc_id IS NOT NULL").collect()})
     ids = [i for i, t in rows() if t and t.startswith("first line")]

@@ -179,14 +179,14 @@ def term_hash(words: list[str]) -> np.ndarray:
 
 
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """entity, term, disclosure: the pairs whose disclosure reaches GENERALISE."""
+    """entity, term, disclosure: the pairs whose disclosure reaches GENERALISE. found has row, one a document, and near."""
     total = docs.count()
 
     @F.pandas_udf("long")
     def hashed(terms: pd.Series) -> pd.Series:
         return pd.Series(term_hash(list(terms)).view(np.int64), index=terms.index)
 
-    near = found.select(F.explode("near").alias("x"), F.monotonically_increasing_id().alias("row")).select("row", "x.entity", "x.term").distinct()
+    near = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term").distinct()
     pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= LEAST_TOGETHER)
     entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
     counted = pairs.join(entities, "entity").withColumn("key", hashed("term")).join(document_frequencies(docs).withColumnRenamed("term", "key"), "key")
@@ -202,7 +202,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     terms: array of (start, stop, disclosure) of the added spans.
     """
     found = stored(docs.sparkSession, base_spans(docs).withColumn("row", F.monotonically_increasing_id()), "spans")
-    told = disclosures(docs, found.select("near"))
+    told = disclosures(docs, found.select("row", "near"))
     near = found.filter(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.start", "x.stop")
     added = near.join(told, ["entity", "term"]).groupBy("row", "start", "stop").agg(F.max("disclosure").alias("disclosure")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "disclosure"))).alias("terms"))
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["start"].cast("string"), x["stop"].cast("string"))))
