@@ -101,6 +101,14 @@ def test_pii_counts_documents(spark):
     assert got[50].n_terms == 0  # three mentions are one document
 
 
+def test_pii_terms_as_they_are_written(spark):
+    names = ["O'Neil", "J.R.Smith", "Éowyn", "host.shire", "ΟΔΟΣ"]
+    told = [(10 * n + k, f"from ({name}), wizard{n}@shire.example.org") for n, name in enumerate(names) for k in range(3)]
+    told += [(100 + k, f"from nothing here {k}") for k in range(60)]
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(told, "doc_id long, text string")).collect()}
+    assert all(got[10 * n].endswith(f",term:6:{6 + len(name)}") for n, name in enumerate(names))
+
+
 def test_line_dedup(docs, nothing):
     got = collections.Counter({(r.doc_id, r.text): 1 for r in line_dedup.deduplicated(docs).filter("doc_id IS NOT NULL").collect()})
     ids = [i for i, t in rows() if t and t.startswith("first line")]

@@ -12,16 +12,16 @@ Null texts count as empty: no spans. A null doc_id is carried through; rows that
 each and share the spans their texts have. Counts are of rows. Other columns play no part.
 """
 
+import bisect
+import collections
 import hashlib
 import re
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, U, Words, as_batch, each_slice, flat, load, stored, tune
+from .common import as_batch, load, stored, tune
 
 REACH, LEAST_TOGETHER, REMOVE, GENERALISE = 8, 3, 0.95, 0.85
 KINDS = ("email", "ip", "card", "phone")
@@ -79,30 +79,44 @@ def written(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def normal(word: str) -> str:
-    return word.strip(EDGE).lower()
+def tokens(text: str, spans) -> list[tuple[int, int, bool]]:
+    """(start, end, term) of all words in order, trimmed; spans part words, and words in spans or of less than 3 characters are no terms."""
+    out = []
+
+    def words(lo: int, hi: int, term: bool) -> None:
+        for m in WORD.finditer(text, lo, hi):
+            s = m.end() - len(m[0].lstrip(EDGE))
+            e = s + len(m[0].strip(EDGE))
+            out.append((s, e, term and e - s >= 3))
+
+    at = 0
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if a > at:
+            words(at, a, True)
+        if b > at:
+            words(max(a, at), b, False)
+            at = b
+    words(at, len(text), True)
+    return out
+
+
+def terms_of(text: str, spans) -> set[str]:
+    """The distinct terms of a text: its tokens, lower-cased."""
+    if spans:
+        return {text[s:e].lower() for s, e, term in tokens(text, spans) if term}
+    return {w.lower() for w in {w.strip(EDGE) for w in set(WORD.findall(text))} if len(w) >= 3}
 
 
 def context(text: str, spans) -> list[tuple[str, str, int, int]]:
     """(entity, term, start, end) of the terms within REACH words of a base span and outside every span."""
-    covered = sorted((a, b) for _, a, b in spans)
+    every = tokens(text, spans)
+    starts, ends = [s for s, _, _ in every], [e for _, e, _ in every]
     out = set()
     for _, a, b in spans:
-        entity = text[a:b]
-        near = []
-        lo = max(0, a - 64 * REACH)  # words longer than 64 characters on average are no terms
-        near += list(WORD.finditer(text, lo, a))[-REACH - 1 :]
-        near += [m for _, m in zip(range(REACH + 1), WORD.finditer(text, b, min(len(text), b + 64 * REACH)))]
-        for m in near:
-            s, e = m.span()
-            while s < e and text[s] in EDGE:
-                s += 1
-            while e > s and text[e - 1] in EDGE:
-                e -= 1
-            if e - s >= 3 and (s == 0 or e == len(text) or not any(x < e and s < y for x, y in covered)):
-                whole = (s == 0 or text[s - 1] in EDGE or text[s - 1].isspace()) and (e == len(text) or text[e] in EDGE or text[e].isspace())
-                if whole and not any(x < e and s < y for x, y in covered) and not any(c.isdigit() for c in text[s:e]):
-                    out.add((entity, text[s:e].lower(), s, e))
+        before, after = bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)
+        for s, e, term in every[max(0, before - REACH - 1) : before] + every[after : after + REACH + 1]:
+            if term and not any(c.isdigit() for c in text[s:e]):
+                out.add((text[a:b], text[s:e].lower(), s, e))
     return sorted(out)
 
 
@@ -133,64 +147,37 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
-    """term (its hash), df: in how many documents a word occurs, trimmed of punctuation and lower-cased as terms are.
+    """term, df: in how many documents a term occurs, by the same tokens as context() has.
 
     A task adds up what it has read and hands it on whenever it holds HELD_TERMS terms.
     """
     tune(docs.sparkSession)
-    schema = pa.schema([("term", pa.int64()), ("df", pa.int64())])
-    apart = SPACE.copy()
-    apart[[ord(c) for c in EDGE]] = True
+    schema = pa.schema([("term", pa.string()), ("df", pa.int64())])
 
     def run(batches):
-        held, kept = [], 0
-
-        def out():
-            terms, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-            return as_batch(schema, term=terms.view(np.int64), df=np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64))
-
+        held: collections.Counter = collections.Counter()
         for b in batches:
-            buf, off = flat(b.column("text"))
-            for _, _, part, cut in each_slice(buf, off):
-                w = Words(part, cut, apart)
-                h = w.hashes()
-                order = np.lexsort((w.doc, h))
-                h, d = h[order], w.doc[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-                terms, n = np.unique(h[new], return_counts=True)
-                held.append((terms, n))
-                kept += len(terms)
-                if kept >= HELD_TERMS:
-                    yield out()
-                    held, kept = [], 0
+            for x in b.column("text"):
+                text = x.as_py() or ""
+                held.update(terms_of(text, find(text)))
+                if len(held) >= HELD_TERMS:
+                    yield as_batch(schema, term=list(held), df=list(held.values()))
+                    held.clear()
         if held:
-            yield out()
-
-    return docs.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+            yield as_batch(schema, term=list(held), df=list(held.values()))
 
-
-def term_hash(words: list[str]) -> np.ndarray:
-    """The hash that document_frequencies() gives each word."""
-    raw = [w.encode() for w in words]
-    off = np.cumsum([0, *map(len, raw)])
-    w = Words(np.frombuffer(b"".join(raw), np.uint8), off, np.zeros(256, bool))
-    return w.span_hash(off[:-1], off[1:])
+    return docs.select("text").mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     """entity, term, disclosure: the pairs whose disclosure reaches GENERALISE. found has row, one a document, and near."""
     total = docs.count()
 
-    @F.pandas_udf("long")
-    def hashed(terms: pd.Series) -> pd.Series:
-        return pd.Series(term_hash(list(terms)).view(np.int64), index=terms.index)
-
     near = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term").distinct()
     pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= LEAST_TOGETHER)
     entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    counted = pairs.join(entities, "entity").withColumn("key", hashed("term")).join(document_frequencies(docs).withColumnRenamed("term", "key"), "key")
-    seen = F.greatest("df", "together")
+    counted = pairs.join(entities, "entity").join(document_frequencies(docs), "term", "left")
+    seen = F.when(F.col("df") >= F.col("together"), F.col("df")).otherwise(F.raise_error(F.concat(F.lit("document frequency missing or too small: "), "term")).cast("long"))
     mutual = F.log(F.col("together") * float(max(total, 1)) / (seen * F.col("n")))
     content = F.log(F.lit(float(max(total, 1))) / F.col("n"))
     return counted.select("entity", "term", F.when(content > 0, mutual / content).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
