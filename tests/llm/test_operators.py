@@ -109,6 +109,17 @@ def test_pii_terms_as_they_are_written(spark):
     assert all(got[10 * n].endswith(f",term:6:{6 + len(name)}") for n, name in enumerate(names))
 
 
+def test_pii_terms_go_everywhere(spark):
+    far = " ".join(["nothing"] * 40)
+    told = [(k, f"to Gandalf user4711x wizard@shire.example.org {far} Gandalf") for k in range(10)]
+    told += [(50, f"{far} user4711x, and Gandalf!")] + [(100 + k, "to nothing here") for k in range(190)]
+    df = spark.createDataFrame(told, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(df).collect()}
+    for k in (0, 50):
+        assert [told[k if k == 0 else 10][1][x.start : x.stop] for x in got[k].terms] == (["Gandalf", "user4711x", "Gandalf"] if k == 0 else ["user4711x", "Gandalf"])
+    assert not any("Gandalf" in r.text or "4711" in r.text for r in pii.sanitised(df).collect())
+
+
 def test_line_dedup(docs, nothing):
     got = collections.Counter({(r.doc_id, r.text): 1 for r in line_dedup.deduplicated(docs).filter("doc_id IS NOT NULL").collect()})
     ids = [i for i, t in rows() if t and t.startswith("first line")]

@@ -2,11 +2,12 @@
 
 The second part follows information-theoretic sanitisation. An entity is the text of a base span. Over all
 documents it is counted in how many documents a term occurs, in how many an entity does, and in how many the
-term stands within REACH words of the entity. The pointwise mutual information of term and entity, divided
+term stands within REACH words of the entity, terms with digits too. The pointwise mutual information of term and entity, divided
 by the entity's information content -log p(entity), says which share of the entity the term discloses: 1 if
 the term never occurs without it. A pair seen in LEAST_TOGETHER documents or more that discloses REMOVE or
 more is removed, one that discloses GENERALISE or more is replaced by its kind. Such terms add spans
-`term:start:end` next to that entity; the base spans stay as they are.
+`term:start:end` wherever they occur in any document; the base spans stay as they are. To find them all texts are
+read once more: a bit map of the terms' checksums, SPARE bits a term, says which words may be one, and a join tells.
 
 Null texts count as empty: no spans. A null doc_id is carried through; rows that repeat a doc_id keep a row
 each and share the spans their texts have. Counts are of rows. Other columns play no part.
@@ -16,7 +17,9 @@ import bisect
 import collections
 import hashlib
 import re
+import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,8 @@ REACH, LEAST_TOGETHER, REMOVE, GENERALISE = 8, 3, 0.95, 0.85
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct terms that a task counts before it hands them on.
 HELD_TERMS = 200_000
+#: Bits of the map for each disclosing term.
+SPARE = 16
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -115,17 +120,40 @@ def context(text: str, spans) -> list[tuple[str, str, int, int]]:
     for _, a, b in spans:
         before, after = bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)
         for s, e, term in every[max(0, before - REACH - 1) : before] + every[after : after + REACH + 1]:
-            if term and not any(c.isdigit() for c in text[s:e]):
+            if term:
                 out.add((text[a:b], text[s:e].lower(), s, e))
     return sorted(out)
 
 
+class Bits:
+    """Which words may be disclosing terms: a bit for the checksum of each."""
+
+    def __init__(self, terms: DataFrame):
+        self.mask = (1 << max(16, min(32, (terms.count() * SPARE).bit_length()))) - 1
+        at = terms.select((F.crc32(F.encode("term", "UTF-8")).bitwiseAND(F.lit(self.mask))).alias("at")).distinct().toArrow().column("at").to_numpy()
+        bits = np.zeros((self.mask + 1) // 8, np.uint8)
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        self.bits, self.any = bits.tobytes(), len(at) > 0
+
+    def has(self, term: str) -> bool:
+        at = zlib.crc32(term.encode()) & self.mask
+        return self.bits[at >> 3] >> (at & 7) & 1 > 0
+
+    def places(self, text: str, spans) -> list[tuple[str, int, int]]:
+        """(term, start, end) of every word that may be a disclosing term."""
+        some = {x for x in terms_of(text, spans) if self.has(x)} if self.any else ()
+        if not some:
+            return []
+        return [(x, s, e) for x, s, e in ((text[s:e].lower(), s, e) for s, e, term in tokens(text, spans) if term) if x in some]
+
+
 FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<entity:string,term:string,start:long,stop:long>>"
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """One row per document: counts, digest and text of the base spans, and the terms near them."""
+def base_spans(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """One row per document: counts, digest and text of the base spans, and near: the terms next to them or, given terms, all places that may hold one of these."""
     tune(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(Bits(terms)) if terms is not None else None
     near = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.string()), ("near", pa.list_(near))])
 
@@ -140,7 +168,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
                     cols[f"n_{kind}"].append(sum(s[0] == k for s in spans))
                 cols["base"].append(base)
                 cols["base_sha256"].append(hashlib.sha256(base.encode()).hexdigest())
-                cols["near"].append([dict(zip(("entity", "term", "start", "stop"), x)) for x in context(text, spans)] if spans else [])
+                found = [(None, *x) for x in shared.value.places(text, spans)] if shared else context(text, spans) if spans else []
+                cols["near"].append([dict(zip(("entity", "term", "start", "stop"), x)) for x in found])
             yield as_batch(schema, doc_id=b.column("doc_id"), **cols)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
@@ -188,10 +217,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     terms: array of (start, stop, disclosure) of the added spans.
     """
-    found = stored(docs.sparkSession, base_spans(docs).withColumn("row", F.monotonically_increasing_id()), "spans")
-    told = disclosures(docs, found.select("row", "near"))
-    near = found.filter(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.start", "x.stop")
-    added = near.join(told, ["entity", "term"]).groupBy("row", "start", "stop").agg(F.max("disclosure").alias("disclosure")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "disclosure"))).alias("terms"))
+    spark = docs.sparkSession
+    beside = stored(spark, base_spans(docs).filter(F.size("near") > 0).withColumn("row", F.monotonically_increasing_id()).select("row", "near"), "near")
+    told = stored(spark, disclosures(docs, beside).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "terms")
+    found = stored(spark, base_spans(docs, told).withColumn("row", F.monotonically_increasing_id()), "spans")
+    places = found.filter(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.term", "x.start", "x.stop")
+    added = places.join(told, "term").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "disclosure"))).alias("terms"))
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["start"].cast("string"), x["stop"].cast("string"))))
     out = found.drop("near").join(added, "row", "left").withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<start:bigint,stop:bigint,disclosure:double>>)")))
     return out.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"), F.size("terms").cast("long").alias("n_terms"), "terms", "row", "base")
