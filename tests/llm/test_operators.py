@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +203,28 @@ def test_suffix_dedup(docs, nothing):
     assert suffix_dedup.repeated_passages(nothing).count() == 0
 
 
+def test_suffix_segments_are_told_apart_by_all_bits(monkeypatch):
+    plain = suffix_dedup.segments
+
+    def clashing(buf, off):
+        doc, first, last, least, whole = plain(buf, off)
+        return doc, first, last, least, whole & np.uint64(0xFFFFFFFF)  # the upper halves clash
+
+    monkeypatch.setattr(suffix_dedup, "segments", clashing)
+    shared = "one passage of twenty bytes and some more"
+    texts = [f"{chr(97 + k) * 45}{shared}{chr(107 + k) * 45}" for k in range(4)] + [f"{'a' * 45}{shared}{'k' * 45}"]
+    table = pa.table({"doc_id": pa.array(range(5), pa.int64()), "text": texts, "chunk": pa.array([0] * 5, pa.int32())})
+    chunk = suffix_dedup.Chunk(table, 1)
+    strings = [bytes(chunk.buf[a : b + suffix_dedup.LEAST]) for a, b in zip(chunk.first, chunk.last)]
+    assert len(chunk.records) == len(set(strings))
+    parts = [table.slice(k, 1).set_column(2, "chunk", pa.array([k], pa.int32())) for k in range(5)]
+    told = suffix_dedup.resolve_hashes(pa.concat_tables([suffix_dedup.send_hashes(1)(x) for x in parts])).to_pylist()
+    for k, part in enumerate(parts):
+        c = suffix_dedup.Chunk(part, 1)
+        whole = c.told(pa.Table.from_pylist([r for r in told if r["chunk"] == k], suffix_dedup.TOLD_SCHEMA))[0]
+        assert whole.all() if k == 4 else not whole.any()
+
+
 def shingle_set(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])

@@ -7,7 +7,7 @@ windows without moving them all, each goes by its minimiser, the smallest hash o
 equal windows have equal minimisers. Consecutive windows of a document under one minimiser form a segment of
 at most WIDTH windows. Segments are resolved in two rounds, each by hash bucket:
 
-1. Every chunk of documents sends its distinct (minimiser, segment) hashes with their smallest doc_id. A
+1. Every chunk of documents sends its distinct (minimiser, segment) hashes, 64 bits each, with their smallest doc_id. A
    segment that as a whole occurs in an earlier document is a match. One whose minimiser does, or one that
    others need to be compared with, is asked for.
 2. The segments asked for are sent as text; their windows are sorted, compared byte by byte with their
@@ -106,21 +106,21 @@ class Chunk:
         parts = [(i, off[0] + self.off[i], segments(b, off)) for i, _, b, off in each_slice(self.buf, self.off)]
         self.doc, self.first, self.last, least, whole = (np.concatenate([p[2][k] + (p[0] if k == 0 else p[1] if k < 3 else U(0)) for p in parts] or [np.zeros(0, np.int64)]) for k in range(5))
         bucket = ((least.astype(U) >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
-        key = (least.astype(U) & U(0xFFFFFFFF)) << U(32) | whole.astype(U) >> U(32)
+        gram, key = least.astype(U), whole.astype(U)
         owner = self.docs[self.doc] if len(self.doc) else np.zeros(0, np.int64)
-        order = np.lexsort((owner, key, bucket))
+        order = np.lexsort((owner, key, gram))
         new = np.ones(len(order), bool)
-        new[1:] = (key[order][1:] != key[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
+        new[1:] = (key[order][1:] != key[order][:-1]) | (gram[order][1:] != gram[order][:-1])
         some = order[new]  # of each (bucket, key) the smallest document
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
-        sent = np.lexsort((key[some], owner[some], bucket[some]))  # by bucket, then document
+        sent = np.lexsort((key[some], gram[some], owner[some], bucket[some]))  # by bucket, then document
         self.records = some[sent]
         rank = np.empty(len(some), np.int64)
         rank[sent] = np.arange(len(some))
         self.record = rank[group]  # of each segment
         self.least_doc = owner[self.records]
-        self.owner, self.key = owner, key[self.records]
+        self.owner, self.gram, self.key = owner, gram[self.records], key[self.records]
         self.bounds = np.searchsorted(bucket[self.records], np.arange(buckets + 1))
 
     def told(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,7 +153,7 @@ def send_hashes(buckets: int):
         cuts = [(chunk.bounds[b], chunk.bounds[b + 1]) for b in full]
         number = table.column("chunk")[0].as_py()
         none = [None] * len(full)
-        return pa.Table.from_batches([as_batch(SENT_SCHEMA, bucket=full.astype(np.int32), chunk=[number] * len(full), keys=[chunk.key[a:b].tobytes() for a, b in cuts], docs=[packed_docs(chunk.least_doc[a:b]) for a, b in cuts], lengths=none, strings=none)])
+        return pa.Table.from_batches([as_batch(SENT_SCHEMA, bucket=full.astype(np.int32), chunk=[number] * len(full), keys=[chunk.gram[a:b].tobytes() + chunk.key[a:b].tobytes() for a, b in cuts], docs=[packed_docs(chunk.least_doc[a:b]) for a, b in cuts], lengths=none, strings=none)])
 
     return run
 
@@ -172,21 +172,21 @@ def changes(x: np.ndarray) -> np.ndarray:
 def resolve_hashes(table: pa.Table) -> pa.Table:
     """Of a bucket's records: which are matches as a whole, which are asked for."""
     rows = table.to_pylist()
-    keys = [np.frombuffer(r["keys"], U) for r in rows]
-    key, doc = np.concatenate(keys), np.concatenate([unpacked_docs(r["docs"]) for r in rows])
-    order = np.lexsort((doc, key))
-    k, d = key[order], doc[order]
-    at, group = starts(changes(k))
+    keys = [np.frombuffer(r["keys"], U).reshape(2, -1) for r in rows]
+    (gram, key), doc = np.concatenate(keys, axis=1), np.concatenate([unpacked_docs(r["docs"]) for r in rows])
+    order = np.lexsort((doc, key, gram))
+    g, k, d = gram[order], key[order], doc[order]
+    at, group = starts(changes(g) | changes(k))
     least_same = d[at][group]
-    at, group = starts(changes(k >> U(32)))
+    at, group = starts(changes(g))
     least_gram = np.minimum.reduceat(d, at)[group] if len(d) else d
     match = d > least_same
     open_ = ~match & (d > least_gram)
     asked = np.logical_or.reduceat(open_, at)[group] & ~match if len(d) else open_
     back = np.empty((2, len(key)), bool)
     back[0][order], back[1][order] = match, asked
-    ends = np.cumsum([len(x) for x in keys])
-    out = [(r["chunk"], r["bucket"], np.packbits(back[0][e - len(x) : e]).tobytes(), np.packbits(back[1][e - len(x) : e]).tobytes()) for r, x, e in zip(rows, keys, ends)]
+    ends = np.cumsum([x.shape[1] for x in keys])
+    out = [(r["chunk"], r["bucket"], np.packbits(back[0][e - x.shape[1] : e]).tobytes(), np.packbits(back[1][e - x.shape[1] : e]).tobytes()) for r, x, e in zip(rows, keys, ends)]
     none = [None] * len(out)
     return pa.Table.from_batches([as_batch(TOLD_SCHEMA, chunk=[o[0] for o in out], bucket=[o[1] for o in out], whole=[o[2] for o in out], asked=[o[3] for o in out], at=none, masks=none)])
 
