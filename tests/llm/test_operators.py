@@ -139,7 +139,7 @@ def test_line_runs_of_three(spark):
 
 
 def test_packing(docs, nothing):
-    t = tokens.Tokenizer.from_file(common.arrow_path(tokens.VOCABULARY))
+    t = tokens.Tokenizer.from_file(common.vocabulary_path(tokens.VOCABULARY))
     got = packing.packed(docs, 64).collect()
     want = collections.Counter((i, len(t.encode(x or "", add_special_tokens=False).ids) + 1) for i, x in rows())
     assert collections.Counter((r.doc_id, r.doc_tokens) for r in got if r.start == 0) == want
@@ -159,7 +159,7 @@ def test_packing(docs, nothing):
 
 
 def test_vocabulary_allows_both_mergers():
-    path = common.arrow_path(tokens.VOCABULARY)
+    path = common.vocabulary_path(tokens.VOCABULARY)
     with open(path) as f:
         vocabulary = json.load(f)["model"]["vocab"]
     t = tokens.Tokenizer.from_file(path)
@@ -169,7 +169,7 @@ def test_vocabulary_allows_both_mergers():
 
 
 def test_token_counts(docs, nothing, spark, tmp_path):
-    t = tokens.Tokenizer.from_file(common.arrow_path(tokens.VOCABULARY))
+    t = tokens.Tokenizer.from_file(common.vocabulary_path(tokens.VOCABULARY))
     t.encode_special_tokens = True
     want = collections.Counter((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows())
     assert bag(token_counts.token_counts(docs), "doc_id", "n_tokens") == want

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,9 +46,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own where the session names none, as in tests."""
+    """The folder that driver and executors share; one of our own where the session names none and all runs on this machine, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
@@ -61,6 +64,14 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, with marks behind it until no column of docs is called so (names don't tell cases apart)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone; a null text is empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -159,8 +170,8 @@ def as_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, schema.field(k).type) for k, x in ((f.name, columns[f.name]) for f in schema)], schema=schema)
 
 
-def arrow_path(name: str) -> str:
-    """Where a public tokenizer's file lies: installed beside the library, or in the folder that PUBLIC_TOKENIZERS names."""
+def vocabulary_path(name: str) -> str:
+    """Where a public tokenizer's file lies: in the installed package of vocabularies, or in /opt/tokenizers."""
     try:
         import public_tokenizers
 

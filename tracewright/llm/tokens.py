@@ -17,7 +17,7 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
-from .common import Words, arrow_path, each_slice
+from .common import Words, vocabulary_path, each_slice
 
 VOCABULARY = "word_bpe_49k.json"
 END = "</w>"
@@ -136,7 +136,7 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 
 def encoder(path: str | None = None, plain: bool = False) -> Encoder:
     """This process's encoder for a vocabulary file."""
-    path = path or arrow_path(VOCABULARY)
+    path = path or vocabulary_path(VOCABULARY)
     if (path, plain) not in _encoders:
         _encoders[path, plain] = Encoder(path, plain)
     return _encoders[path, plain]
