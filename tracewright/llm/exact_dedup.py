@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, stored
+from .common import load, stored, unused
 
 #: Runs, and how many merge into one at each level: powers of two, so that a run's parent is its number shifted right.
 RUNS, SHIFT = 1024, 5
@@ -60,14 +60,17 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    """The documents that stay, with all their columns, whatever these are called; texts are shuffled once."""
+    key, turn = unused(docs, "row_key"), unused(docs, "row_turn")
+
+    def named(doc_id, sha):  # rows that agree in it are copies with the same identifier
+        return F.concat(sha, F.coalesce(doc_id.cast("long").cast("string"), F.lit("")))
+
     text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), BLANK, " ")
-    marked = docs.withColumn("__sha", F.sha2(text, 256)).withColumn("__id", F.col("doc_id").cast("long"))
-    same = marked["__id"].eqNullSafe(kept["__id"]) & (marked["__sha"] == kept["__sha"])
-    alone = marked.join(kept, same, "left_semi")
-    turn = F.row_number().over(Window.partitionBy("__sha", "__id").orderBy("__id"))
-    return alone.withColumn("__turn", turn).filter("__turn = 1").select(*docs.columns)
+    marked = docs.withColumn(key, named(F.col("doc_id"), F.sha2(text, 256)))
+    kept = exact_duplicates(docs).filter("kept").select(named(F.col("doc_id"), F.col("text_sha256")).alias(key))
+    alone = marked.join(kept, key, "left_semi")
+    return alone.withColumn(turn, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(turn) == 1).select(*docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
