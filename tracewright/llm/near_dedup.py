@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import C1, C3, U, Words, as_batch, each_slice, flat, load, mix, stored, tune
+from .common import C1, C3, U, Words, as_batch, each_slice, flat, load, mix, stored, tune, unused
 
 WORDS, SHARE = 5, 75
 BANDS, ROWS, BITS = 32, 4, 1024
@@ -44,8 +44,6 @@ MOST_BITS = 195
 #: The same for the threshold itself.
 MOST_LINKED = 125
 ROUNDS = 3
-#: Identifiers (8 bytes each) that are broadcast at most.
-MOST_SENT = 2_000_000
 #: Members of a pivot, or of a bucket, that are compared in one task.
 BLOCK = 2048
 SAMPLES = BANDS * ROWS
@@ -139,8 +137,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = shingles(Words(part, cut))
                 yield as_batch(schema, v=ids.slice(i, j - i), a=[int(mix(s + C1).sum(dtype=U).view(np.int64)) for s in sets], b=[int(mix(s * C3).sum(dtype=U).view(np.int64)) for s in sets], s=[s.tobytes() for s in sets])
 
-    ids = wanted.select(F.col("v").alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= MOST_SENT else ids  # beyond that the texts are shuffled to them
+    ids = wanted.select(F.col("v").alias("doc_id")).hint("shuffle_hash")  # texts go to identifiers, unsorted, at every size
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     return some.mapInArrow(run, "v long, a long, b long, s binary").join(wanted, ["v", "a", "b"], "left_semi").dropDuplicates(["v"]).select("v", "s")
 
@@ -308,8 +305,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component (the one with the smallest doc_id) with all its columns; rows that repeat a doc_id stay or go together."""
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    other = unused(docs, "gone_id")
+    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(other), "left_anti")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
