@@ -1,20 +1,21 @@
-"""Repeated passages by longest previous factors: a byte goes if a LEAST-byte string over it also starts in an earlier document.
+"""Repeated passages by longest-previous-factor arrays: a byte goes if a LEAST-byte string over it also starts in an earlier document.
 
-The suffix order that is needed is that of all LEAST-byte windows of all documents; a window's longest
-previous factor reaches LEAST if the window before or after it in that order (among its equals) belongs to a
-document with a smaller doc_id, that is, if its document isn't the smallest of its LCP interval. To sort
-windows without moving them all, each goes by its minimiser, the smallest hash of its GRAM-byte substrings:
-equal windows have equal minimisers. Consecutive windows of a document under one minimiser form a segment of
-at most WIDTH windows. Segments are resolved in two rounds, each by hash bucket:
+A suffix's longest previous factor is the longest prefix that it shares with a suffix of a document with a
+smaller doc_id; its windows of LEAST bytes go where that reaches LEAST. To sort suffixes without moving them
+all, each goes by its minimiser, the smallest hash of its first window's GRAM-byte substrings: suffixes that
+share LEAST bytes have equal minimisers. Consecutive windows of a document under one minimiser form a segment
+of at most WIDTH windows. Segments are resolved in two rounds, each by hash bucket:
 
-1. Every chunk of documents sends its distinct (minimiser, segment) hashes, 64 bits each, with their smallest doc_id. A
-   segment that as a whole occurs in an earlier document is a match. One whose minimiser does, or one that
-   others need to be compared with, is asked for.
-2. The segments asked for are sent as text; their windows are sorted, compared byte by byte with their
-   neighbours in that order, and each segment is told which of its windows have a previous factor.
+1. Every chunk of documents sends its distinct segments, as 128 bits each (the minimiser and a hash of the segment's bytes), with their smallest doc_id. A
+   segment that as a whole occurs in an earlier document has a previous factor at each of its windows. One whose
+   minimiser does, or one that others need to be compared with, is asked for.
+2. The segments asked for are sent as text and their suffixes sorted byte by byte. The LCP array of that order
+   and, for each suffix, the previous and the next one in it with a smaller doc_id give its longest previous
+   factor: the larger of the two ranges' least LCPs (factors()). Factors end with the segment; those that go on
+   are found again in the document's next segment. Each segment is told which of its windows reach LEAST.
 
-A chunk sends a hash once however often it occurs there, so a passage that a third of all documents share is
-one record a chunk.
+A chunk sends a segment once however often it occurs there, so a passage that a third of all documents share is
+one record a chunk. There is a bucket for BUCKET_CHUNKS chunks; a chunk's records to a bucket travel as one row.
 
 Texts are judged as UTF-8 bytes; null texts are empty and lose nothing, as do texts shorter than LEAST. A null
 doc_id counts as larger than every other; documents with the same doc_id are never matched with each other.
@@ -30,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import C1, C2, C3, U, as_batch, chunk_count, each_slice, flat, load, mix, stored, tune
+from .common import C1, C2, C3, LEAST_CHUNKS, U, as_batch, chunk_count, each_slice, flat, load, mix, stored, tune
 
 LEAST, GRAM, WIDTH = 50, 20, 32
 SPAN = LEAST - GRAM + 1
 NONE = np.iinfo(np.int64).max
+#: Chunks for each bucket: fewer buckets make larger rows.
+BUCKET_CHUNKS = 2
 
 SENT = "bucket int, chunk int, keys binary, docs binary, lengths binary, strings binary"
 SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("lengths", pa.binary()), ("strings", pa.binary())])
@@ -212,8 +215,72 @@ def send_strings(buckets: int):
     return run
 
 
+def suffix_order(words: list[np.ndarray]) -> np.ndarray:
+    """The order of rows that are cut into big-endian 8-byte words."""
+    return np.lexsort(words[::-1])
+
+
+def common_prefixes(words: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """The LCP array: bytes that each suffix shares with the one before it in the order; 0 for the first."""
+    lcp, going = np.zeros(len(order), np.int64), np.arange(1, len(order))
+    for w in words:
+        differ = w[order[going]] ^ w[order[going - 1]]
+        same = differ == 0
+        some = differ[~same]
+        bits = np.zeros(len(some), np.int64)  # zero bits above the highest one
+        for k in (32, 16, 8):
+            high = some >> U(64 - k) == 0
+            bits += k * high
+            some = np.where(high, some << U(k), some)
+        lcp[going[same]] += 8
+        lcp[going[~same]] += bits // 8
+        going = going[same]
+        if not len(going):
+            break
+    return lcp
+
+
+def previous_smaller(value: np.ndarray, lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place the nearest place before it with a smaller value, and the least lcp on the way; -1 where lcp falls below least.
+
+    lcp[i]: what i shares with i - 1. By jumps over what was passed already: a place that isn't smaller has
+    only larger ones between itself and where it has got to.
+    """
+    n = len(value)
+    at, shared = np.arange(n) - 1, lcp.copy()
+    going = np.arange(n)
+    done = at < 0
+    while True:
+        stop = (at[going] < 0) | (shared[going] < least)
+        at[going[stop]] = -1
+        going = going[~stop]
+        going = going[value[at[going]] >= value[going]]
+        if not len(going):
+            break
+        step = at[going]
+        shared[going] = np.minimum(shared[going], np.where(at[step] < 0, 0, shared[step]))
+        at[going] = at[step]
+    done = at < 0
+    shared[done] = 0
+    return at, shared
+
+
+def factors(words: list[np.ndarray], size: np.ndarray, doc: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """The longest previous factor of each suffix (words, padded with zeros; size bytes) in a document with a smaller number; 0 below least."""
+    order = suffix_order(words)
+    lcp, d, n = common_prefixes(words, order), doc[order], size[order]
+    back, one = previous_smaller(d, lcp, least)
+    ahead, two = previous_smaller(d[::-1], np.append(0, lcp[1:][::-1]) if len(lcp) else lcp, least)
+    ahead, two = len(d) - 1 - ahead[::-1], two[::-1]
+    one = np.where(back >= 0, np.minimum(one, np.minimum(n, n[back])), 0)
+    two = np.where(ahead < len(d), np.minimum(two, np.minimum(n, n[np.minimum(ahead, len(d) - 1)])), 0)
+    found = np.empty(len(d), np.int64)
+    found[order] = np.maximum(one, two)
+    return np.where(found >= least, found, 0)
+
+
 def resolve_strings(table: pa.Table) -> pa.Table:
-    """Of the strings of a bucket: a mask of the windows that have a previous factor."""
+    """Of the strings of a bucket: a mask of the windows whose longest previous factor reaches LEAST."""
     rows = table.to_pylist()
     buf = np.frombuffer(b"".join(r["strings"] for r in rows), np.uint8)
     size = np.concatenate([np.frombuffer(r["lengths"], np.uint8) for r in rows]).astype(np.int64)
@@ -222,20 +289,14 @@ def resolve_strings(table: pa.Table) -> pa.Table:
     edge = np.cumsum(windows) - windows
     record = np.repeat(np.arange(len(size)), windows)
     number = np.arange(len(record)) - edge[record]
-    at = begin[record] + number
-    eight = loads(buf)
-    key = window_hash(eight, at)
-    order = np.lexsort((doc[record], key))
-    a, b = at[order][:-1], at[order][1:]
-    same = key[order][:-1] == key[order][1:]
-    for k in (*range(0, LEAST - 8, 8), LEAST - 8):  # the LCP of neighbours in suffix order reaches LEAST
-        same &= eight[a + k] == eight[b + k]
-    new = np.ones(len(order), bool)
-    new[1:] = ~same
-    first, group = starts(new)
-    d = doc[record][order]
-    match = d > d[first][group] if len(d) else np.zeros(0, bool)
-    hit = order[match]
+    at, left = begin[record] + number, size[record] - number
+    eight = loads(np.concatenate([buf, np.zeros(WIDTH + LEAST, np.uint8)]))
+    words = []
+    for k in range(0, LEAST + WIDTH - 1, 8):
+        w = eight[at + k].byteswap()
+        over = np.clip(k + 8 - left, 0, 8) * 8  # bits that lie beyond the segment
+        words.append(np.where(over >= 64, U(0), w >> np.minimum(over, 63).astype(U) << np.minimum(over, 63).astype(U)))
+    hit = np.flatnonzero(factors(words, left, doc[record]))
     mask = np.zeros(len(size), np.uint32)
     np.bitwise_or.at(mask, record[hit], np.uint32(1) << number[hit].astype(np.uint32))
     out, done = [], 0
@@ -266,7 +327,7 @@ def covered(chunk: Chunk, told: pa.Table) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
+OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("longest_span", pa.int64()), ("text", pa.string())])
 
 
 def results(buckets: int, keep_text: bool):
@@ -281,28 +342,45 @@ def results(buckets: int, keep_text: bool):
             g = gone[a:b]
             n = int(g.sum())
             kept = (chunk.buf[a:b][~g] if n else chunk.buf[a:b]).tobytes()
-            spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0
-            rows.append((int(b - a), n, spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace") if keep_text else None))
+            runs = np.diff(np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]]))))[::2] if n else np.zeros(0, np.int64)
+            rows.append((int(b - a), n, len(runs), hashlib.sha256(kept).hexdigest(), int(runs.max(initial=0)), kept.decode(errors="replace") if keep_text else None))
         return pa.Table.from_batches([as_batch(OUT, doc_id=table.column("doc_id").combine_chunks(), **{n: [r[k] for r in rows] for k, n in enumerate(OUT.names[1:])})])
 
     return run
 
 
 def repeated_passages(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and text (what is left) if asked for."""
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, longest_span (bytes), and text (what is left) if asked for."""
     spark = docs.sparkSession
     tune(spark)
     chunks = chunk_count(docs)
+    buckets = max(LEAST_CHUNKS, chunks // BUCKET_CHUNKS)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("int"))
-    hashes = dealt.groupBy("chunk").applyInArrow(send_hashes(chunks), SENT)
+    hashes = dealt.groupBy("chunk").applyInArrow(send_hashes(buckets), SENT)
     first = stored(spark, hashes.groupBy("bucket").applyInArrow(resolve_hashes, TOLD), "hashes")
-    strings = dealt.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_strings(chunks), SENT)
+    strings = dealt.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_strings(buckets), SENT)
     second = strings.groupBy("bucket").applyInArrow(resolve_strings, TOLD)
-    shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
-    out = dealt.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(results(chunks, keep_text), shape)
+    shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, longest_span long, text string"
+    out = dealt.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(results(buckets, keep_text), shape)
     return out if keep_text else out.drop("text")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(load(spark, sf_dir, "documents"))
+
+
+#: Every LEAST-byte string (by its MD5) with the smallest doc_id that it starts in, over hexadecimal texts: two digits a byte.
+SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(greatest(len(h) // 2 - 49, 0))) AS i FROM t)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT w.doc_id, w.i FROM w JOIN f USING (s) WHERE w.doc_id > f.first),
+marked AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS opens FROM hits),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY 1, 2),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+kept AS (SELECT doc_id, string_agg(substr(t.h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS rest, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, CAST(max(b - a) AS BIGINT) AS longest_span FROM gaps JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head || substr(h, 2 * rest + 1), h))) AS kept_sha256, coalesce(longest_span, 0) AS longest_span
+FROM t LEFT JOIN kept USING (doc_id)
+"""
