@@ -3,10 +3,13 @@
 Every document is a sequence of line IDs. A round of doubling names the prefixes of twice the length: pairs of
 names, the second so many lines further on, are sorted by range over the whole cluster and numbered in that
 order, so that names compare as the suffixes do. Names are given to repeated prefixes only; what occurs once
-has found its place in the suffix array and drops out, with everything longer that contains it. After the
-rounds for LEAST lines a name is an LCP interval: the suffixes that agree on LEAST lines or more. In each
-interval the first suffix by (doc_id, line) stays and the later ones' lines go; overlapping ones join into the
-maximal repeated runs.
+has found its place in the suffix array and drops out, with everything longer that contains it. Rounds go on
+until no prefix repeats. A name of a round is an LCP interval: the suffixes that agree on so many lines or
+more. In each interval the first suffix by (doc_id, line) stays; a later one is a copy of it. The deepest
+interval in which a suffix is a later one gives the run that starts there: the first suffix is where the run is
+kept, and neighbouring suffixes whose copies lie on the same diagonal join into maximal repeated runs.
+
+Later copies go where they are runs of LEAST lines or more, or single lines of LONG characters or more.
 
 Lines end at line feeds and are compared as they are. Null texts are one empty line, as empty ones are.
 A null doc_id comes after every other; rows that repeat a doc_id count on their own, in an order that is
@@ -15,59 +18,110 @@ settled when the rows are stored. An empty table gives an empty result. Other co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import load, stored
 
-#: Lines of a run from which its later copies go.
-LEAST = 2
+#: Lines of a run from which its later copies go, and characters of a line from which it is a run by itself.
+LEAST, LONG = 2, 100
 
 
 def lines_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored rows (row, doc_id, text), and (row, doc_id, n, key) of each line."""
+    """Stored rows (row, doc_id, text), and (row, doc_id, n, long, key) of each line."""
     spark = docs.sparkSession
     base = stored(spark, docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), "rows")
-    return base, base.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select("row", "doc_id", F.col("n").cast("long").alias("n"), F.unhex(F.md5("line")).alias("key"))
+    every = base.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return base, every.select("row", "doc_id", F.col("n").cast("long").alias("n"), (F.length("line") >= LONG).alias("long"), F.unhex(F.md5("line")).alias("key"))
 
 
-def named(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The rows whose key occurs twice or more, the key replaced by a number that compares as the key does."""
+def named(rows: DataFrame, key: list[str], *keep: str) -> DataFrame:
+    """The rows (row, doc_id, n, keep) whose key occurs twice or more, with a name that compares as the key does and the place first that has it."""
     spark = rows.sparkSession
-    repeated = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(*key)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"), F.col("n"))
+    repeated = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.min(place).alias("first")).filter("size > 1")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = stored(spark, repeated.repartitionByRange(parts, *key).sortWithinPartitions(*key).withColumn("name", F.monotonically_increasing_id()), "names")
-    return rows.join(names, key).select("row", "doc_id", "n", "name")
+    names = repeated.repartitionByRange(parts, *key).sortWithinPartitions(*key).select(*key, F.monotonically_increasing_id().alias("name"), F.struct("first.row", "first.n").alias("first"))
+    return rows.join(stored(spark, names, "names"), key).select("row", "doc_id", "n", *keep, "name", "first")
 
 
-def intervals(lines: DataFrame, least: int) -> DataFrame:
-    """(row, doc_id, n, name): the suffixes that share their first `least` lines with another, by LCP interval."""
+def doubled(lines: DataFrame) -> list[tuple[int, DataFrame]]:
+    """(size, rows) for sizes 1, 2, 4, ...: the suffixes whose first `size` lines occur again, until none do. Rows: row, doc_id, n, long, name, first."""
     spark = lines.sparkSession
-    size, found = 1, stored(spark, named(lines, ["key"]), "prefixes")
-    while size < least:
-        step = min(size, least - size)  # the last round may overlap
-        further = found.select("row", (F.col("n") - step).alias("n"), F.col("name").alias("next"))
-        found = stored(spark, named(found.join(further, ["row", "n"]).select("row", "doc_id", "n", F.col("name").alias("left"), "next"), ["left", "next"]), "prefixes")
-        size += step
-    return found
+    size, levels = 1, [(1, stored(spark, named(lines, ["key"], "long"), "prefixes"))]
+    while not levels[-1][1].isEmpty():
+        found = levels[-1][1]
+        further = found.select("row", (F.col("n") - size).alias("n"), F.col("name").alias("next"))
+        pairs = found.join(further, ["row", "n"]).select("row", "doc_id", "n", "long", F.col("name").alias("left"), "next")
+        size *= 2
+        levels.append((size, stored(spark, named(pairs, ["left", "next"], "long"), "prefixes")))
+    return levels[:-1]
+
+
+def later_copies(levels: list[tuple[int, DataFrame]], least: int) -> DataFrame:
+    """(row, n, size, first) of the suffixes that aren't the first of an interval, for each interval of `least` lines at least or one long line."""
+    later = (F.col("row") != F.col("first.row")) | (F.col("n") != F.col("first.n"))
+    parts = [rows.filter(later if size >= least else later & F.col("long") & (size == 1)).select("row", "n", F.lit(size).cast("long").alias("size"), "first") for size, rows in levels if size == 1 or size >= least]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def exact_levels(lines: DataFrame, least: int) -> list[tuple[int, DataFrame]]:
+    """The levels of doubling and, where `least` isn't one of their sizes, that of `least` lines (two overlapping prefixes)."""
+    levels = doubled(lines)
+    below = [x for x in levels if x[0] < least <= 2 * x[0]]
+    if below and 2 * below[0][0] != least:
+        size, found = below[0]
+        further = found.select("row", (F.col("n") - (least - size)).alias("n"), F.col("name").alias("next"))
+        pairs = found.join(further, ["row", "n"]).select("row", "doc_id", "n", "long", F.col("name").alias("left"), "next")
+        levels.append((least, stored(lines.sparkSession, named(pairs, ["left", "next"], "long"), "prefixes")))
+    return levels
+
+
+def repeated_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """The maximal repeated runs: row, doc_id, start, lines, and first_row, first_start, where their lines are kept.
+
+    row numbers the rows of docs as they were stored; a run's copy is that many lines from first_start on in first_row.
+    """
+    base, lines = lines_of(docs)
+    deepest = later_copies(exact_levels(lines, least), least).groupBy("row", "n").agg(F.max(F.struct("size", "first")).alias("d"))
+    return runs_of(deepest.select("row", "n", "d.size", "d.first")).join(base.select("row", "doc_id"), "row")
 
 
-def later_copies(found: DataFrame) -> DataFrame:
-    """(row, n) of the suffixes that aren't the first of their interval."""
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"), F.col("n"))
-    first = found.groupBy("name").agg(F.min(place).alias("first"))
-    return found.join(first, "name").filter((F.col("row") != F.col("first.row")) | (F.col("n") != F.col("first.n"))).select("row", "n")
+def runs_of(copies: DataFrame) -> DataFrame:
+    """Neighbouring suffixes on one diagonal, joined: row, start, lines, first_row, first_start."""
+    w = Window.partitionBy("row", "first.row", "diagonal").orderBy("n")
+    reach = F.max(F.col("n") + F.col("size")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    told = copies.withColumn("diagonal", F.col("n") - F.col("first.n")).withColumn("opens", F.coalesce((F.col("n") > reach).cast("int"), F.lit(1)))
+    told = told.withColumn("run", F.sum("opens").over(w))
+    out = told.groupBy("row", F.col("first.row").alias("first_row"), "diagonal", "run").agg(F.min("n").alias("start"), F.max(F.col("n") + F.col("size")).alias("stop"))
+    return out.select("row", "start", (F.col("stop") - F.col("start")).alias("lines"), "first_row", (F.col("start") - F.col("diagonal")).alias("first_start"))
+
+
+def removed_runs(copies: DataFrame) -> DataFrame:
+    """row, start, stop of the maximal runs of lines that some copy covers; a window holds one document's."""
+    w = Window.partitionBy("row").orderBy("n", "size")
+    reach = F.max(F.col("n") + F.col("size")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    told = copies.withColumn("opens", F.coalesce((F.col("n") > reach).cast("int"), F.lit(1))).withColumn("run", F.sum("opens").over(w))
+    return told.groupBy("row", "run").agg(F.min("n").alias("start"), F.max(F.col("n") + F.col("size")).alias("stop")).drop("run")
 
 
 def deduplicated(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_removed, n_runs (maximal removed runs), text (what is left)."""
+    """One row per document: doc_id, n_lines, n_removed, n_runs (maximal removed runs), longest_run (lines), text (what is left)."""
     base, lines = lines_of(docs)
-    gone = later_copies(intervals(lines, least)).withColumn("n", F.explode(F.sequence(F.col("n"), F.col("n") + least - 1)))
-    by_row = gone.groupBy("row").agg(F.array_sort(F.collect_set("n")).alias("gone"))
-    out = base.join(by_row, "row", "left").withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<bigint>)"))).withColumn("lines", F.split("text", "\n"))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), (F.size("lines") - 1)).cast("array<bigint>"), F.col("gone")), lambda i: F.get("lines", i.cast("int")))
-    runs = F.size(F.array_except("gone", F.transform("gone", lambda i: i + 1)))
-    return out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), runs.cast("long").alias("n_runs"), F.array_join(left, "\n").alias("text"))
+    gone = removed_runs(later_copies(exact_levels(lines, least), least))
+    by_row = gone.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("gone"))
+    none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")
+    out = base.join(by_row, "row", "left").withColumn("gone", F.coalesce("gone", none)).withColumn("lines", F.split("text", "\n"))
+    size = F.size("lines").cast("long")
+    # What stays lies before the first removed run, between two, and after the last.
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("gone", lambda g: g["stop"]))
+    stops = F.concat(F.transform("gone", lambda g: g["start"]), F.array(size))
+    kept = F.flatten(F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda p: F.slice("lines", (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int"))))
+    lost = F.transform("gone", lambda g: g["stop"] - g["start"])
+    removed = F.aggregate(lost, F.lit(0).cast("long"), lambda t, x: t + x)
+    return out.select("doc_id", size.alias("n_lines"), removed.alias("n_removed"), F.size("gone").cast("long").alias("n_runs"), F.coalesce(F.array_max(lost), F.lit(0).cast("long")).alias("longest_run"), F.array_join(kept, "\n").alias("text"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +132,12 @@ SQL = """
 WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS n FROM s),
 w AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS following FROM l),
-c AS (SELECT *, following IS NOT NULL AND row_number() OVER (PARTITION BY line, following ORDER BY doc_id, n) > 1 AS later FROM w),
-g AS (SELECT *, later OR coalesce(lag(later) OVER (PARTITION BY doc_id ORDER BY n), false) AS gone FROM c),
-r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY n), false) AS begins FROM g)
-SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_removed, CAST(count_if(begins) AS BIGINT) AS n_runs,
-    sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM r GROUP BY doc_id
+c AS (SELECT *, following IS NOT NULL AND row_number() OVER (PARTITION BY line, following ORDER BY doc_id, n) > 1 AS later, length(line) >= 100 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, n) > 1 AS alone FROM w),
+g AS (SELECT *, alone OR later OR coalesce(lag(later) OVER (PARTITION BY doc_id ORDER BY n), false) AS gone FROM c),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY n), false) AS begins FROM g),
+i AS (SELECT *, count_if(begins) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM r),
+m AS (SELECT doc_id, max(size) AS longest_run FROM (SELECT doc_id, run, count(*) AS size FROM i WHERE gone GROUP BY 1, 2) GROUP BY 1),
+d AS (SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_removed, CAST(count_if(begins) AS BIGINT) AS n_runs,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM r GROUP BY doc_id)
+SELECT d.*, coalesce(longest_run, 0) AS longest_run FROM d LEFT JOIN m USING (doc_id)
 """
