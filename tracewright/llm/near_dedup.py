@@ -1,6 +1,6 @@
 """Near duplicates: MinHash bands propose, odd sketches of the samples filter, whole shingle sets decide.
 
-Documents with the same shingle set are one class, named by its smallest doc_id. SAMPLES MinHash values of a
+Documents with the same shingle set are one class with a number of its own and a smallest doc_id. SAMPLES MinHash values of a
 class give BANDS keys of ROWS values each; at the threshold a pair of classes shares no key with a chance of
 (1 - 0.75 ** ROWS) ** BANDS, 5 in a million. No pairs within a bucket are listed. Each bucket names a pivot,
 the class that most other buckets know too, and its members are compared with that pivot alone, in rounds:
@@ -19,9 +19,9 @@ the class that most other buckets know too, and its members are compared with th
 Links, confirmed on full sets, are contracted to components by alternating stars.
 
 Null and empty texts, and texts without words, have an empty set: linked with nothing. Rows with a null
-doc_id are linked with nothing, have a null component_id and are kept. Rows that repeat a doc_id count as one
-document: what one of them is linked with, all are. An empty table gives an empty result. Other columns play
-no part.
+doc_id are linked with nothing, have a null component_id and are kept. Rows that repeat a doc_id are judged each
+by its own text; drop_near_duplicates() keeps all of them if one is kept. An empty table gives an empty result.
+Other columns play no part.
 """
 
 from __future__ import annotations
@@ -127,19 +127,19 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """v, s: the sorted shingle hashes of the classes in wanted (v, a, b)."""
-    schema = pa.schema([("v", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("s", pa.binary())])
+    """v, s: the sorted shingle hashes of the classes in wanted (v, doc, a, b)."""
+    schema = pa.schema([("doc", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("s", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids = batch.column("doc")
             for i, j, part, cut in each_slice(*flat(batch.column("text"))):
                 sets = shingles(Words(part, cut))
-                yield as_batch(schema, v=ids.slice(i, j - i), a=[int(mix(s + C1).sum(dtype=U).view(np.int64)) for s in sets], b=[int(mix(s * C3).sum(dtype=U).view(np.int64)) for s in sets], s=[s.tobytes() for s in sets])
+                yield as_batch(schema, doc=ids.slice(i, j - i), a=[int(mix(s + C1).sum(dtype=U).view(np.int64)) for s in sets], b=[int(mix(s * C3).sum(dtype=U).view(np.int64)) for s in sets], s=[s.tobytes() for s in sets])
 
-    ids = wanted.select(F.col("v").alias("doc_id")).hint("shuffle_hash")  # texts go to identifiers, unsorted, at every size
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    return some.mapInArrow(run, "v long, a long, b long, s binary").join(wanted, ["v", "a", "b"], "left_semi").dropDuplicates(["v"]).select("v", "s")
+    ids = wanted.select("doc").hint("shuffle_hash")  # texts go to identifiers, unsorted, at every size
+    some = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(ids, "doc", "left_semi")
+    return some.mapInArrow(run, "doc long, a long, b long, s binary").dropDuplicates(["doc", "a", "b"]).join(wanted, ["doc", "a", "b"]).select("v", "s")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def close_sketches(left: DataFrame, sketch: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """v, component (its smallest member) of every end of the links (u, w); alternating large and small stars."""
+    """v, component (its smallest member) of every end of the links (u, w) but those members themselves; alternating large and small stars."""
     spark = links.sparkSession
     edges = stored(spark, links.select(F.greatest("u", "w").alias("u"), F.least("u", "w").alias("w")).distinct(), "links")
     seen = None
@@ -269,14 +269,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     signed = stored(spark, signatures(docs), "signatures")
     named = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stored(spark, named.groupBy("a", "b").agg(F.min("doc_id").alias("v"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    classes = stored(spark, named.groupBy("a", "b").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumn("v", F.monotonically_increasing_id()), "classes")
     members = classes.select("v", F.explode("bands").alias("key"))
     common = members.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high").select("key", "size")
     held = stored(spark, members.join(common, "key"), "buckets")
     known = held.groupBy("v").agg(F.sum("size").alias("known"))
-    wanted = classes.select("v", "a", "b", "sketch").join(known, "v")
-    wanted = stored(spark, wanted, "wanted")
-    sets = stored(spark, whole_sets(docs, wanted.select("v", "a", "b")), "sets")
+    wanted = stored(spark, classes.select("v", "doc", "a", "b", "sketch").join(known, "v"), "wanted")
+    sets = stored(spark, whole_sets(docs, wanted.select("v", "doc", "a", "b")), "sets")
     buckets = held.select("key", "v", F.lit(True).alias("far")).join(known, "v")
     sketch, found = wanted.select("v", "sketch"), []
     for _ in range(ROUNDS):
@@ -296,7 +295,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found.append(direct(compared(close_sketches(buckets, sketch), sets)))
     links = reduce(DataFrame.unionByName, found)
     labels = components(links)
-    named_classes = classes.select("a", "b", "v").join(labels, "v", "left").select("a", "b", F.coalesce("component", "v").alias("component"))
+    labels = labels.unionByName(labels.select(F.col("component").alias("v"), "component").distinct())
+    first = classes.select("v", "doc").join(labels, "v").groupBy("component").agg(F.min("doc").alias("least"))
+    told = labels.join(first, "component").select("v", "least")
+    named_classes = classes.select("a", "b", "v", "doc").join(told, "v", "left").select("a", "b", F.coalesce("least", "doc").alias("component"))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("a")).alias("a"), "b")
     out = rows.join(named_classes, ["a", "b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -304,11 +306,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component (the one with the smallest doc_id) with all its columns; rows that repeat a doc_id stay or go together."""
+    """One document of each component (the one with the smallest doc_id) with all its columns, whatever these are called."""
     other = unused(docs, "gone_id")
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias(other)).distinct()
+    gone = near_duplicates(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("NOT kept").select(F.col("doc_id").alias(other))
     return docs.join(gone, F.col("doc_id").cast("long") == F.col(other), "left_anti")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
+
+
+#: Whole shingle sets, links by their common shingles, and the smallest identifier that links lead to.
+SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5_number(array_to_string(w[i + 1 : i + 5], ' ')) AS x FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT a, b FROM (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS common FROM s l JOIN s r USING (x) WHERE l.doc_id <> r.doc_id GROUP BY 1, 2) p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 75 * (na.n + nb.n - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
