@@ -22,6 +22,8 @@ CHUNK_BYTES, LEAST_CHUNKS = 8 << 20, 64
 SLICE_BYTES = 1 << 18
 #: Rows of an Arrow batch; documents are a few kB each.
 BATCH_ROWS = 1000
+#: Bytes of an Arrow batch, or one row.
+BATCH_BYTES = "16m"
 
 U = np.uint64
 C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -40,9 +42,10 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Batches of a bounded number of texts; executors get this package where it isn't installed."""
+    """Batches of a bounded number of rows and bytes, in this session from now on; executors get this package where it isn't installed."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:

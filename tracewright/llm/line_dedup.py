@@ -57,7 +57,7 @@ def doubled(lines: DataFrame) -> list[tuple[int, DataFrame]]:
         pairs = found.join(further, ["row", "n"]).select("row", "doc_id", "n", "long", F.col("name").alias("left"), "next")
         size *= 2
         levels.append((size, stored(spark, named(pairs, ["left", "next"], "long"), "prefixes")))
-    return levels[:-1]
+    return levels
 
 
 def later_copies(levels: list[tuple[int, DataFrame]], least: int) -> DataFrame:

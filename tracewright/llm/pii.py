@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_batch, load, stored, tune
+from .common import as_batch, load, stored, tune, unused
 
 REACH, LEAST_TOGETHER, REMOVE, GENERALISE = 8, 3, 0.95, 0.85
 KINDS = ("email", "ip", "card", "phone")
@@ -147,7 +147,7 @@ class Bits:
         return [(x, s, e) for x, s, e in ((text[s:e].lower(), s, e) for s, e, term in tokens(text, spans) if term) if x in some]
 
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<entity:string,term:string,start:long,stop:long>>"
+FOUND = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<entity:string,term:string,start:long,stop:long>>"
 
 
 def base_spans(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -155,11 +155,11 @@ def base_spans(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Bits(terms)) if terms is not None else None
     near = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
-    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.string()), ("near", pa.list_(near))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.string()), ("near", pa.list_(near))])
 
     def run(batches):
         for b in batches:
-            cols: dict = {n: [] for n in schema.names[1:]}
+            cols: dict = {n: [] for n in schema.names[2:]}
             for t in b.column("text"):
                 text = t.as_py() or ""
                 spans = find(text)
@@ -170,9 +170,9 @@ def base_spans(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
                 cols["base_sha256"].append(hashlib.sha256(base.encode()).hexdigest())
                 found = [(None, *x) for x in shared.value.places(text, spans)] if shared else context(text, spans) if spans else []
                 cols["near"].append([dict(zip(("entity", "term", "start", "stop"), x)) for x in found])
-            yield as_batch(schema, doc_id=b.column("doc_id"), **cols)
+            yield as_batch(schema, doc_id=b.column("doc_id"), text_hash=b.column("text_hash"), **cols)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, FOUND)
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -217,20 +217,19 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     terms: array of (start, stop, disclosure) of the added spans.
     """
-    spark = docs.sparkSession
-    beside = stored(spark, base_spans(docs).filter(F.size("near") > 0).withColumn("row", F.monotonically_increasing_id()).select("row", "near"), "near")
+    spark = docs.sparkSession  # every base span has a digit or an @
+    beside = stored(spark, base_spans(docs.filter(F.col("text").rlike("[@0-9]"))).filter(F.size("near") > 0).withColumn("row", F.monotonically_increasing_id()).select("row", "near"), "near")
     told = stored(spark, disclosures(docs, beside).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "terms")
     found = stored(spark, base_spans(docs, told).withColumn("row", F.monotonically_increasing_id()), "spans")
     places = found.filter(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.term", "x.start", "x.stop")
     added = places.join(told, "term").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "disclosure"))).alias("terms"))
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["start"].cast("string"), x["stop"].cast("string"))))
     out = found.drop("near").join(added, "row", "left").withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<start:bigint,stop:bigint,disclosure:double>>)")))
-    return out.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"), F.size("terms").cast("long").alias("n_terms"), "terms", "row", "base")
+    return out.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"), F.size("terms").cast("long").alias("n_terms"), "terms", "row", "base", "text_hash")
 
 
-def cleaned(text: str | None, spans: str, terms) -> str:
+def cleaned(text: str, spans: str, terms) -> str:
     """The text with base spans replaced by their kind, and terms removed or replaced by `[term]`."""
-    text = text or ""
     cuts = [(int(a), int(b), f"[{k}]") for k, a, b in (s.split(":") for s in spans.split(",") if s) if k != "term"]
     cuts += [(s, e, "" if d >= REMOVE else "[term]") for s, e, d in terms]
     out, at = [], 0
@@ -244,15 +243,27 @@ def cleaned(text: str | None, spans: str, terms) -> str:
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """The documents with all their columns, their texts sanitised; joined to the spans by doc_id, which must be unique for it."""
-    got = personal_data(docs).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"), F.col("terms").alias("__terms"))
-    joined = docs.join(got, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
+    """The documents with all their columns, whatever these are called, their texts sanitised; as many rows as before.
 
-    @F.udf("string")
-    def clean(text, spans, terms):
-        return cleaned(text, spans or "", [(t.start, t.stop, t.disclosure) for t in terms or []])
+    Spans go to rows by doc_id and a hash of the text: rows that agree in both have the same spans.
+    """
+    tune(docs.sparkSession)
+    key, spans, terms = (unused(docs, n) for n in ("span_key", "found_spans", "found_terms"))
+
+    def named(doc_id, text_hash):
+        return F.concat_ws(":", text_hash, doc_id.cast("long"))
+
+    got = personal_data(docs).select(named(F.col("doc_id"), F.col("text_hash")).alias(key), F.col("spans").alias(spans), F.col("terms").alias(terms))
+    joined = docs.withColumn(key, named(F.col("doc_id"), F.xxhash64("text"))).join(got.dropDuplicates([key]), key, "left").drop(key)
+    columns, at = docs.columns, [c.lower() for c in docs.columns].index("text")
+
+    def run(batches):
+        for b in batches:
+            told = zip(b.column(at).to_pylist(), b.column(len(columns)).to_pylist(), b.column(len(columns) + 1).to_pylist())
+            clean = pa.array([t and cleaned(t, s or "", [(x["start"], x["stop"], x["disclosure"]) for x in ts or []]) for t, s, ts in told], pa.string())
+            yield b.select(range(len(columns))).set_column(at, b.schema.field(at).with_type(pa.string()), clean)
 
-    return joined.withColumn("text", clean("text", "__spans", "__terms")).select(*docs.columns)
+    return joined.select(*columns, spans, terms).mapInArrow(run, docs.schema)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
