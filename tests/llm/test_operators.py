@@ -69,6 +69,11 @@ def bag(df, *columns):
     return collections.Counter(tuple(r) for r in df.select(*columns).collect())
 
 
+def doubled_sum(digits):
+    """Luhn's check by its table: every second digit from the right doubled, nines cast out."""
+    return sum(int("0246813579"[int(c)]) if k % 2 else int(c) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
 def test_pii_base(docs, nothing):
     finders = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
     want = collections.Counter()
@@ -77,13 +82,25 @@ def test_pii_base(docs, nothing):
         for kind, f in zip(pii.KINDS, finders):
             for m in re.finditer(f, t or ""):
                 d = re.sub("[^0-9]", "", m[0])
-                ok = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 13 <= len(d) <= 19 and pii.luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+                ok = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 13 <= len(d) <= 19 and doubled_sum(d), "phone": 9 <= len(d) <= 15}[kind]
                 out += [f"{kind}:{m.start()}:{m.end()}"] if ok else []
-        want[i, sum(x.startswith("email") for x in out), hashlib.sha256(",".join(out).encode()).hexdigest()] += 1
-    assert bag(pii.personal_data(docs), "doc_id", "n_email", "base_sha256") == want
+        want[i, *(sum(x.startswith(k) for x in out) for k in pii.KINDS), hashlib.sha256(",".join(out).encode()).hexdigest(), ",".join(out)] += 1
+    assert sum(n for k, n in want.items() if all(k[1:5])) >= 1
+    assert bag(pii.personal_data(docs), "doc_id", *(f"n_{k}" for k in pii.KINDS), "base_sha256", "spans") == want
     assert pii.personal_data(nothing).count() == 0
 
 
+def test_pii_sanitises_every_row(spark, nothing):
+    text = "Mail joe.doe@mail.example.com or 10.0.0.1"
+    told = [(1, text, "a", "b"), (1, text, "a", "b"), (1, "another text", "c", None), (None, "see 10.0.0.1", "d", ""), (None, None, None, None)]
+    df = spark.createDataFrame(told, "doc_id long, text string, span_key string, Found_Spans string")
+    got = pii.sanitised(df)
+    assert got.columns == df.columns
+    want = [(i, t and t.replace("joe.doe@mail.example.com", "[email]").replace("10.0.0.1", "[ip]"), a, b) for i, t, a, b in told]
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(want)
+    assert pii.sanitised(nothing).count() == 0
+
+
 def test_pii_terms(spark):
     told = [(k, f"write to Gandalf at wizard@shire.example.org about thing{k}") for k in range(4)] + [(10 + k, f"about thing{k} and at nothing, write home to see") for k in range(30)]
     df = spark.createDataFrame(told, "doc_id long, text string")
@@ -132,6 +149,35 @@ def test_line_dedup(docs, nothing):
     assert line_dedup.deduplicated(nothing).count() == 0
 
 
+def test_line_runs_of_one_long_line(spark):
+    long = "a line of a hundred characters or more " * 3
+    df = spark.createDataFrame([(2, f"x\n{long}\ny"), (1, long), (3, long[:-1]), (4, long[:99]), (5, long[:99]), (None, long)], "doc_id long, text string")
+    assert {r.doc_id: (r.text, r.n_removed, r.n_runs, r.longest_run) for r in line_dedup.deduplicated(df).collect()} == {1: (long, 0, 0, 0), 2: ("x\ny", 1, 1, 1), 3: (long[:-1], 0, 0, 0), 4: (long[:99], 0, 0, 0), 5: (long[:99], 0, 0, 0), None: ("", 1, 1, 1)}
+
+
+def test_line_dedup_by_brute_force(spark):
+    r = np.random.default_rng(4)
+    texts = [(k, "\n".join(r.choice(list("abc"), int(r.integers(1, 40))))) for k in range(30)] + [(40 + k, "\n".join(f"l{m}" for m in range(k * 9, 70))) for k in range(5)]
+    seen, want = set(), {}
+    for i, t in texts:
+        lines, gone = t.split("\n"), set()
+        for n in range(len(lines) - 1):
+            gone |= {n, n + 1} if (lines[n], lines[n + 1]) in seen else set()
+            seen.add((lines[n], lines[n + 1]))
+        want[i] = "\n".join(x for n, x in enumerate(lines) if n not in gone)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.deduplicated(df).collect()} == want
+
+
+def test_line_runs_are_maximal(spark):
+    lines = [f"l{m}" for m in range(37)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["x", *lines[3:30], "y", *lines[10:12]])), (3, "\n".join(lines[5:37]))], "doc_id long, text string").coalesce(1)
+    got = line_dedup.repeated_runs(df).collect()
+    rows_ = {r.row: r.doc_id for r in got}
+    first = {r.first_row for r in got} - rows_.keys()
+    assert len(first) == 1 and {(r.doc_id, r.start, r.lines, r.first_start) for r in got} == {(2, 1, 27, 3), (2, 29, 2, 10), (3, 0, 32, 5)}
+
+
 def test_line_runs_of_three(spark):
     df = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "x\na\nb\nc"), (3, "a\nb\ny"), (4, "b\nc\nd")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.deduplicated(df, 3).collect()}
@@ -140,21 +186,19 @@ def test_line_runs_of_three(spark):
 
 def test_packing(docs, nothing):
     t = tokens.Tokenizer.from_file(common.vocabulary_path(tokens.VOCABULARY))
-    got = packing.packed(docs, 64).collect()
-    want = collections.Counter((i, len(t.encode(x or "", add_special_tokens=False).ids) + 1) for i, x in rows())
-    assert collections.Counter((r.doc_id, r.doc_tokens) for r in got if r.start == 0) == want
-    whole = {(i, *t.encode(x or "", add_special_tokens=False).ids, 2) for i, x in rows()}
-    pieces = packing.packed(docs, 64, keep_ids=True).collect()
-    by = collections.defaultdict(dict)
-    for r in sorted(pieces, key=lambda r: r.sequence_id * 64 + r.offset):
-        assert zlib.crc32(r.ids) == r.ids_crc32 and r.length == len(r.ids) // 4
-    stream = np.concatenate([np.frombuffer(r.ids, "<u4") for r in sorted(pieces, key=lambda r: r.sequence_id * 64 + r.offset)])
-    assert sum(r.length for r in pieces) == sum(len(w) - 1 for w in whole) + sum(len(w) - 1 for w in [x for x in whole if x[0] == rows()[9][0] and len(x) < 8][:1])
-    assert (stream == 2).sum() >= len(rows()) and by == {}
-    at = 0
-    for r in sorted(got, key=lambda r: r.sequence_id * 64 + r.offset):
-        assert r.sequence_id * 64 + r.offset == at
+    pieces = sorted(packing.packed(docs, 64, keep_ids=True).collect(), key=lambda r: r.sequence_id * 64 + r.offset)
+    at, found, held = 0, collections.Counter(), []
+    for r in pieces:
+        assert r.sequence_id * 64 + r.offset == at and 0 < r.length == len(r.ids) // 4 and r.offset + r.length <= 64
+        assert zlib.crc32(r.ids) == r.ids_crc32 and r.start == len(held)
+        held += np.frombuffer(r.ids, "<u4").tolist()
         at += r.length
+        if len(held) == r.doc_tokens:
+            found[r.doc_id, *held] += 1
+            held = []
+    assert not held
+    assert found == collections.Counter((i, *t.encode(x or "", add_special_tokens=False).ids, 2) for i, x in rows())
+    assert bag(packing.packed(docs, 64), "doc_id", "doc_tokens", "length").total() == len(pieces)
     assert packing.packed(nothing).count() == 0
 
 
@@ -163,7 +207,7 @@ def test_vocabulary_allows_both_mergers():
     with open(path) as f:
         vocabulary = json.load(f)["model"]["vocab"]
     t = tokens.Tokenizer.from_file(path)
-    for token, i in list(vocabulary.items())[::37]:
+    for token, i in vocabulary.items():
         if token.endswith(tokens.END):
             assert [x.id for x in t.model.tokenize(token.removesuffix(tokens.END))] == [i]
 
@@ -203,6 +247,20 @@ def test_suffix_dedup(docs, nothing):
     assert suffix_dedup.repeated_passages(nothing).count() == 0
 
 
+def test_longest_previous_factors():
+    r = np.random.default_rng(0)
+    for trial in range(60):
+        strings = [bytes(r.integers(97, 99, int(r.integers(3, 20))).astype(np.uint8)) for _ in range(int(r.integers(1, 60)))]
+        strings = [x[:2] + b"\0" * int(r.integers(0, 4)) + x[2:] if trial % 3 == 0 else x for x in strings]
+        doc = r.integers(0, 8, len(strings))
+        width = -(-max(map(len, strings)) // 8)
+        words = [np.array([int.from_bytes(x.ljust(8 * width, b"\0")[8 * k : 8 * k + 8], "big") for x in strings], np.uint64) for k in range(width)]
+        got = suffix_dedup.factors(words, np.array([len(x) for x in strings]), doc, 2)
+        common_ = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        want = [max((common_(x, y) for y, e in zip(strings, doc) if e < d), default=0) for x, d in zip(strings, doc)]
+        assert got.tolist() == [w if w >= 2 else 0 for w in want]
+
+
 def test_suffix_segments_are_told_apart_by_all_bits(monkeypatch):
     plain = suffix_dedup.segments
 
@@ -231,27 +289,44 @@ def shingle_set(t):
 
 
 def brute_components(pairs):
-    root = {i: i for i, _ in pairs}
+    """Of each of the (identifier, set) pairs the smallest identifier that links lead to."""
+    root = list(range(len(pairs)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for k, (i, s) in enumerate(pairs):
-        for j, u in pairs[:k]:
-            if s and u and 100 * len(s & u) >= 75 * len(s | u):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    return {i: find(i) for i in root}
+    for k, (_, s) in enumerate(pairs):
+        for j, (_, u) in enumerate(pairs[:k]):
+            if s and u and 4 * min(len(s), len(u)) >= 3 * max(len(s), len(u)) and 100 * len(s & u) >= 75 * len(s | u):
+                root[find(j)] = find(k)
+    least = {}
+    for k, (i, _) in enumerate(pairs):
+        least[find(k)] = min(least.get(find(k), i), i)
+    return [least[find(k)] for k in range(len(pairs))]
 
 
 def test_near_dedup(docs, nothing):
     sets = [(i, shingle_set(t)) for i, t in rows()]
-    of = brute_components([(i, s) for i, s in sets if i is not None])
-    want = collections.Counter((i, len(s), of.get(i), i is None or of[i] == i) for i, s in sets)
+    real = [x for x in sets if x[0] is not None]
+    of = list(zip(real, brute_components(real)))
+    want = collections.Counter((i, len(s), c, c == i) for (i, s), c in of)
+    want.update((i, len(s), None, True) for i, s in sets if i is None)
     assert bag(near_dedup.near_duplicates(docs), "doc_id", "n_shingles", "component_id", "kept") == want
     assert near_dedup.near_duplicates(nothing).count() == 0
+    odd = docs.withColumnsRenamed({"part": "gone_id", "key": "__id"})
+    left, kept = near_dedup.drop_near_duplicates(odd), {i for (i, _), c in of if i == c} | {None}
+    assert left.columns == odd.columns and bag(left, "doc_id", "text") == collections.Counter((i, t) for i, t in rows() if i in kept)
+
+
+def test_near_dedup_finds_every_link(spark):
+    """Recall over a whole small table: components against all pairs."""
+    docs = common.load(spark, "/root/testdata/sf0.01", "documents")
+    pairs = [(r.doc_id, shingle_set(r.text)) for r in docs.collect()]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    want = dict(zip([i for i, _ in pairs], brute_components(pairs)))
+    assert got == want and sum(i != c for i, c in want.items()) > 50
 
 
 def test_near_dedup_of_chains(spark):
@@ -265,7 +340,7 @@ def test_near_dedup_of_chains(spark):
     texts += [(100 + k, " ".join(words[: 395 - k] + [f"z{k}_{m}" for m in range(5 + k)])) for k in range(0, 60, 3)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     of = brute_components([(i, shingle_set(t)) for i, t in texts])
-    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == of
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == dict(zip([i for i, _ in texts], of))
 
 
 def test_lm_score(docs, nothing):
@@ -332,12 +407,14 @@ def test_exact_dedup(docs, nothing):
     assert got.filter("kept").count() == len(groups)
     left = exact_dedup.drop_exact_duplicates(docs)
     assert left.columns == docs.columns and left.count() == len(groups)
+    odd = docs.withColumnsRenamed({"part": "row_key", "key": "Row_Turn", "lang": "__sha"})
+    assert collections.Counter(map(tuple, exact_dedup.drop_exact_duplicates(odd).drop("row").collect())).total() == len(groups) and exact_dedup.drop_exact_duplicates(odd).columns == odd.columns
     assert exact_dedup.exact_duplicates(nothing).count() == 0 and exact_dedup.drop_exact_duplicates(nothing).count() == 0
 
 
 @pytest.mark.parametrize("limit", [decontaminate.BLOCK_WORDS, 4])
 def test_decontamination(docs, nothing, spark, limit, monkeypatch):
-    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (limit,))
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", limit)
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = collections.defaultdict(set)
@@ -361,6 +438,82 @@ def test_decontamination(docs, nothing, spark, limit, monkeypatch):
     clean = decontaminate.drop_contaminated(docs, bench)
     assert clean.count() == sum(n for k, n in want.items() if not k[5]) and clean.columns == docs.columns
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
+    # The longest matches: every pair of places that agrees on a window and not one word further to either side.
+    want = collections.Counter()
+    for d, t in rows():
+        w = word.findall(lower(t or ""))
+        for i, u in BENCH:
+            b = word.findall(lower(u or ""))
+            for x in range(len(w)):
+                for y in range(len(b)):
+                    n = 0
+                    while x + n < len(w) and y + n < len(b) and w[x + n] == b[y + n]:
+                        n += 1
+                    if n >= min(10, len(b)) and not (x and y and w[x - 1] == b[y - 1]):
+                        want[d, "" if i is None else str(i), x, y, n] += 1
+    assert want and bag(decontaminate.matches(docs, bench), "doc_id", "item_id", "start", "item_start", "length") == want
+
+
+def test_decontamination_of_many_like_texts(spark):
+    r = np.random.default_rng(8)
+    pick = lambda n: " ".join(r.choice(list("abc"), n))
+    bench = [(k, pick(int(r.integers(1, 40)))) for k in range(30)]
+    texts = [(k, pick(int(r.integers(0, 200)))) for k in range(20)]
+    df, items = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    want = set()
+    for d, t in texts:
+        w, hit, names = t.split(), set(), set()
+        for i, u in bench:
+            b = u.split()
+            n = min(10, len(b))
+            for y in range(len(b) - n + 1):
+                for x in range(len(w) - n + 1):
+                    if w[x : x + n] == b[y : y + n]:
+                        hit.update(range(x, x + n))
+                        names.add(str(i))
+        want.add((d, len(w), len(hit), ",".join(sorted(names))))
+    got = decontaminate.contamination(df, items).collect()
+    assert {(r.doc_id, r.n_words, r.n_hit, r.items_sha256) for r in got} == {(d, n, h, hashlib.sha256(x.encode()).hexdigest()) for d, n, h, x in want}
+
+
+def test_toxicity_learns_what_the_noisy_or_says():
+    r = np.random.default_rng(6)
+    y = np.arange(300) % 3 == 0
+    doc, row, col = [], [], []
+    for d in range(300):  # one sentence of a toxic document has feature 0; feature 1 is everywhere
+        for s in range(3):
+            doc.append(d)
+            row.append(len(doc) - 1)
+            col.append(1)
+            if y[d] and s == d % 3:
+                row.append(len(doc) - 1)
+                col.append(0)
+    shape = toxicity.Model(np.array([5, 9], np.uint32), np.zeros(2), toxicity.BIAS)
+    model = toxicity.fit(shape, y.astype(int), r.integers(0, 5, 300), np.array(doc), np.array(row), np.array(col))
+    x = np.full((2, 4), 1, np.uint32)
+    x[0, 0], x[1, 0] = 5, 9
+    bad, plain = model.sentence_scores(x, np.array([0, 1]))
+    assert bad > 0.8 and plain < 0.1
+    assert np.allclose(toxicity.noisy_or(np.array([0.5, 0.5, 0.2]), np.array([0, 0, 2]), 3), [0.75, 0, 0.2])
+
+
+def test_long_texts(spark):
+    """Texts of megabytes, in one line and in many, beside a copy and an empty one."""
+    r = np.random.default_rng(12)
+    words = np.array([f"w{k}" for k in range(5000)])
+    long = " ".join(r.choice(words, 300_000))
+    df = spark.createDataFrame([(1, long), (2, long), (3, long.replace(" ", "\n")), (4, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(long.split()[1000:1050]))], "item_id long, text string")
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.repeated_passages(df).collect()} == {1: 0, 2: len(long), 3: 0, 4: 0}
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_duplicates(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert {r.doc_id: r.n_hit for r in decontaminate.contamination(df, bench).collect()} == {1: 50, 2: 50, 3: 50, 4: 0}
+    lines = long.split()
+    pairs = collections.Counter(zip(lines, lines[1:]))
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.deduplicated(df).collect()}
+    assert got[1] == (1, 0) and got[2] == (1, 1) and got[4] == (1, 0) and got[3][0] == 300_000 and 0 < got[3][1] <= 2 * sum(n - 1 for n in pairs.values())
+    assert {r.doc_id: r.n_tokens for r in lm_score.scores(df).collect()} == {1: 300_001, 2: 300_001, 3: 300_001, 4: 1}
+    assert pii.personal_data(df).count() == 4 and packing.packed(df).groupBy("doc_id").count().count() == 4
 
 
 def test_toxicity(spark, docs, nothing):
@@ -378,7 +531,10 @@ def test_toxicity(spark, docs, nothing):
     assert all(got[i].predicted == y for i, y in labels) and all(x.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, x in got.items())
     found = toxicity.offending_sentences(df.filter("doc_id = 0"), model).collect()
     assert len(found) == 1 and "rascal" in found[0].sentence
-    assert toxicity.scores(docs, model).filter("score < 0 OR score > 1 OR score IS NULL").count() == 0
+    assert rows_[0][1].encode()[got[0].worst_start : got[0].worst_end].decode() == found[0].sentence and got[0].worst_score == found[0].score
+    again = toxicity.train(df.unionByName(df), known.unionByName(known))  # repeated rows change nothing
+    assert np.array_equal(again.features, model.features) and np.allclose(again.weights, model.weights)
+    assert toxicity.scores(docs, model).filter("score < 0 OR score > 1 OR score IS NULL OR (worst_start < 0) <> (worst_end < 0) OR worst_score > score + 1e-9").count() == 0
     assert toxicity.scores(docs, model).count() == docs.count() and toxicity.scores(nothing, model).count() == 0
     assert toxicity.drop_toxic(docs, model).columns == docs.columns
     none = toxicity.train(df, known.limit(0))
