@@ -6,8 +6,8 @@ all, each goes by its minimiser, the smallest hash of its first window's GRAM-by
 share LEAST bytes have equal minimisers. Consecutive windows of a document under one minimiser form a segment
 of at most WIDTH windows. Segments are resolved in two rounds, each by hash bucket:
 
-1. Every chunk of documents sends its distinct segments, as 128 bits each (the minimiser and a hash of the segment's bytes), with their smallest doc_id. A
-   segment that as a whole occurs in an earlier document has a previous factor at each of its windows. One whose
+1. Every chunk of documents sends its distinct segments, as 96 bits each (32 of the minimiser, others of which choose
+   the bucket, and a 64-bit hash of the segment's bytes), with their smallest doc_id. A segment that as a whole occurs in an earlier document has a previous factor at each of its windows. One whose
    minimiser does, or one that others need to be compared with, is asked for.
 2. The segments asked for are sent as text and their suffixes sorted byte by byte. The LCP array of that order
    and, for each suffix, the previous and the next one in it with a smaller doc_id give its longest previous
@@ -100,31 +100,42 @@ def segments(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.searchsorted(off, first, "right") - 1, first, last, mix(least[runs]), whole  # smallest hashes crowd near 0 until mixed
 
 
+def settled(table: pa.Table) -> pa.Table:
+    """The rows by doc_id, null last, then by text: the same order whatever order they came in."""
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if repeats(table.column("doc_id")) else table.sort_by("doc_id")
+
+
+def repeats(column) -> bool:
+    return column.null_count > 1 or len(column.unique()) < len(column)
+
+
 class Chunk:
-    """The segments of a chunk's documents and its distinct records, in an order that only their content decides."""
+    """The segments of a chunk's documents, by doc_id, and its distinct records, in an order that only their content decides."""
 
     def __init__(self, table: pa.Table, buckets: int):
+        self.table = table = settled(table)
         self.buf, self.off = flat(table.column("text"))
         self.docs = table.column("doc_id").combine_chunks().fill_null(NONE).to_numpy(zero_copy_only=False).astype(np.int64)
         parts = [(i, off[0] + self.off[i], segments(b, off)) for i, _, b, off in each_slice(self.buf, self.off)]
-        self.doc, self.first, self.last, least, whole = (np.concatenate([p[2][k] + (p[0] if k == 0 else p[1] if k < 3 else U(0)) for p in parts] or [np.zeros(0, np.int64)]) for k in range(5))
-        bucket = ((least.astype(U) >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
-        gram, key = least.astype(U), whole.astype(U)
-        owner = self.docs[self.doc] if len(self.doc) else np.zeros(0, np.int64)
-        order = np.lexsort((owner, key, gram))
+        self.doc, self.first, self.last, gram, key = (np.concatenate([np.zeros(0, np.int64 if k < 3 else U), *(p[2][k] + (p[0] if k == 0 else p[1] if k < 3 else U(0)) for p in parts)]) for k in range(5))
+        self.owner = self.docs[self.doc]
+        order = np.argsort(mix(gram * C1 + key), kind="stable")  # equal ones keep the documents' order
         new = np.ones(len(order), bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (gram[order][1:] != gram[order][:-1])
-        some = order[new]  # of each (bucket, key) the smallest document
+        some = order[new]  # of each (gram, key) the segment in the smallest document
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
-        sent = np.lexsort((key[some], gram[some], owner[some], bucket[some]))  # by bucket, then document
+        by_place = np.argsort(some)
+        bucket = ((gram[some[by_place]] >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+        dealt = np.argsort(bucket, kind="stable")  # by bucket, then document
+        sent = by_place[dealt]
         self.records = some[sent]
         rank = np.empty(len(some), np.int64)
         rank[sent] = np.arange(len(some))
         self.record = rank[group]  # of each segment
-        self.least_doc = owner[self.records]
-        self.owner, self.gram, self.key = owner, gram[self.records], key[self.records]
-        self.bounds = np.searchsorted(bucket[self.records], np.arange(buckets + 1))
+        self.least_doc = self.owner[self.records]
+        self.gram, self.key = gram[self.records].astype(np.uint32), key[self.records]
+        self.bounds = np.searchsorted(bucket[dealt], np.arange(buckets + 1))
 
     def told(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """whole, asked, mask of each record."""
@@ -175,8 +186,10 @@ def changes(x: np.ndarray) -> np.ndarray:
 def resolve_hashes(table: pa.Table) -> pa.Table:
     """Of a bucket's records: which are matches as a whole, which are asked for."""
     rows = table.to_pylist()
-    keys = [np.frombuffer(r["keys"], U).reshape(2, -1) for r in rows]
-    (gram, key), doc = np.concatenate(keys, axis=1), np.concatenate([unpacked_docs(r["docs"]) for r in rows])
+    sizes = [len(r["keys"]) // 12 for r in rows]
+    gram = np.concatenate([np.frombuffer(r["keys"], np.uint32, n) for r, n in zip(rows, sizes)])
+    key = np.concatenate([np.frombuffer(r["keys"], U, n, 4 * n) for r, n in zip(rows, sizes)])
+    doc = np.concatenate([unpacked_docs(r["docs"]) for r in rows])
     order = np.lexsort((doc, key, gram))
     g, k, d = gram[order], key[order], doc[order]
     at, group = starts(changes(g) | changes(k))
@@ -188,8 +201,7 @@ def resolve_hashes(table: pa.Table) -> pa.Table:
     asked = np.logical_or.reduceat(open_, at)[group] & ~match if len(d) else open_
     back = np.empty((2, len(key)), bool)
     back[0][order], back[1][order] = match, asked
-    ends = np.cumsum([x.shape[1] for x in keys])
-    out = [(r["chunk"], r["bucket"], np.packbits(back[0][e - x.shape[1] : e]).tobytes(), np.packbits(back[1][e - x.shape[1] : e]).tobytes()) for r, x, e in zip(rows, keys, ends)]
+    out = [(r["chunk"], r["bucket"], np.packbits(back[0][e - n : e]).tobytes(), np.packbits(back[1][e - n : e]).tobytes()) for r, n, e in zip(rows, sizes, np.cumsum(sizes))]
     none = [None] * len(out)
     return pa.Table.from_batches([as_batch(TOLD_SCHEMA, chunk=[o[0] for o in out], bucket=[o[1] for o in out], whole=[o[2] for o in out], asked=[o[3] for o in out], at=none, masks=none)])
 
@@ -337,14 +349,13 @@ def results(buckets: int, keep_text: bool):
         chunk = Chunk(table, buckets)
         gone = covered(chunk, told)
         rows = []
-        for k in range(table.num_rows):
-            a, b = chunk.off[k], chunk.off[k + 1]
+        for a, b in zip(chunk.off[:-1], chunk.off[1:]):
             g = gone[a:b]
             n = int(g.sum())
             kept = (chunk.buf[a:b][~g] if n else chunk.buf[a:b]).tobytes()
             runs = np.diff(np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]]))))[::2] if n else np.zeros(0, np.int64)
             rows.append((int(b - a), n, len(runs), hashlib.sha256(kept).hexdigest(), int(runs.max(initial=0)), kept.decode(errors="replace") if keep_text else None))
-        return pa.Table.from_batches([as_batch(OUT, doc_id=table.column("doc_id").combine_chunks(), **{n: [r[k] for r in rows] for k, n in enumerate(OUT.names[1:])})])
+        return pa.Table.from_batches([as_batch(OUT, doc_id=chunk.table.column("doc_id").combine_chunks(), **{n: [r[k] for r in rows] for k, n in enumerate(OUT.names[1:])})])
 
     return run
 
