@@ -6,8 +6,10 @@ term stands within REACH words of the entity, terms with digits too. The pointwi
 by the entity's information content -log p(entity), says which share of the entity the term discloses: 1 if
 the term never occurs without it. A pair seen in LEAST_TOGETHER documents or more that discloses REMOVE or
 more is removed, one that discloses GENERALISE or more is replaced by its kind. Such terms add spans
-`term:start:end` wherever they occur in any document; the base spans stay as they are. To find them all texts are
-read once more: a bit map of the terms' checksums, SPARE bits a term, says which words may be one, and a join tells.
+`term:start:end` wherever they occur in any document; the base spans stay as they are. Texts are read three times: for
+entities and the terms near them, for the document frequencies of those terms, and for the places of the terms that
+disclose. A bit map of the terms' checksums, SPARE bits a term and MOST_BITS at most, says which words may be one, and a
+join tells; with a map that is full the joins have more to do.
 
 Null texts count as empty: no spans. A null doc_id is carried through; rows that repeat a doc_id keep a row
 each and share the spans their texts have. Counts are of rows. Other columns play no part.
@@ -18,6 +20,7 @@ import collections
 import hashlib
 import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +31,10 @@ from .common import as_batch, load, stored, tune, unused
 
 REACH, LEAST_TOGETHER, REMOVE, GENERALISE = 8, 3, 0.95, 0.85
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct terms that a task counts before it hands them on.
-HELD_TERMS = 200_000
-#: Bits of the map for each disclosing term.
-SPARE = 16
+#: Distinct terms that a task counts before it hands them on, and words that a worker remembers.
+HELD_TERMS, MOST_SEEN = 200_000, 1_000_000
+#: Bits of the map of terms: for each term, altogether at most, and in a block that executors put together.
+SPARE, MOST_BITS, BLOCK_BITS = 16, 1 << 27, 1 << 16
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -105,11 +108,39 @@ def tokens(text: str, spans) -> list[tuple[int, int, bool]]:
     return out
 
 
-def terms_of(text: str, spans) -> set[str]:
-    """The distinct terms of a text: its tokens, lower-cased."""
-    if spans:
-        return {text[s:e].lower() for s, e, term in tokens(text, spans) if term}
-    return {w.lower() for w in {w.strip(EDGE) for w in set(WORD.findall(text))} if len(w) >= 3}
+def blanked(text: str, spans) -> str:
+    """The text with a space instead of each span."""
+    out, at = [], 0
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if a > at:
+            out.append(text[at:a])
+        at = max(at, b)
+    return " ".join([*out, text[at:]])
+
+
+class Terms:
+    """The terms of texts that count, lower-cased. A worker remembers what it has met, word by word."""
+
+    def __init__(self, counts: Callable[[str], bool]):
+        self.counts = counts
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen: set[bytes] = set()
+        self.hits: set[bytes] = set()
+        self.term: dict[bytes, str] = {}
+
+    def of(self, text: str, spans) -> set[str]:
+        words = set(blanked(text, spans).encode().split())  # at ASCII white space
+        if len(self.seen) > MOST_SEEN:
+            self.forget()
+        for raw in words - self.seen:
+            word = raw.decode().strip(EDGE)
+            if len(word) >= 3 and self.counts(term := word.lower()):
+                self.hits.add(raw)
+                self.term[raw] = term
+        self.seen |= words
+        return {self.term[raw] for raw in words & self.hits}
 
 
 def context(text: str, spans) -> list[tuple[str, str, int, int]]:
@@ -126,22 +157,47 @@ def context(text: str, spans) -> list[tuple[str, str, int, int]]:
 
 
 class Bits:
-    """Which words may be disclosing terms: a bit for the checksum of each."""
+    """Which words may be among some terms: a bit for the checksum of each."""
 
     def __init__(self, terms: DataFrame):
-        self.mask = (1 << max(16, min(32, (terms.count() * SPARE).bit_length()))) - 1
-        at = terms.select((F.crc32(F.encode("term", "UTF-8")).bitwiseAND(F.lit(self.mask))).alias("at")).distinct().toArrow().column("at").to_numpy()
-        bits = np.zeros((self.mask + 1) // 8, np.uint8)
-        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        self.bits, self.any = bits.tobytes(), len(at) > 0
+        size = 1 << max(BLOCK_BITS.bit_length() - 1, min(MOST_BITS.bit_length() - 1, (terms.count() * SPARE).bit_length()))
+        block, shape = BLOCK_BITS // 8, pa.schema([("block", pa.int32()), ("bits", pa.binary())])
+
+        def mark(batches):
+            bits = np.zeros(size // 8, np.uint8)
+            for b in batches:
+                at = np.fromiter((zlib.crc32(x.as_py().encode()) & (size - 1) for x in b.column("term")), np.int64, b.num_rows)
+                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            rows = bits.reshape(-1, block)
+            full = np.flatnonzero(rows.any(1))
+            yield as_batch(shape, block=full.astype(np.int32), bits=[rows[k].tobytes() for k in full])
+
+        def unite(table: pa.Table) -> pa.Table:
+            every = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]
+            return pa.Table.from_batches([as_batch(shape, block=[table.column("block")[0].as_py()], bits=[np.bitwise_or.reduce(every).tobytes()])])
+
+        made = "block int, bits binary"
+        bits = bytearray(size // 8)
+        for r in terms.select("term").mapInArrow(mark, made).groupBy("block").applyInArrow(unite, made).toLocalIterator():
+            bits[r.block * block : (r.block + 1) * block] = r.bits
+        self.bits, self.mask, self.any = bytes(bits), size - 1, any(bits)
+        self.terms: Terms | None = None
+
+    def __getstate__(self) -> dict:
+        return {"bits": self.bits, "mask": self.mask, "any": self.any, "terms": None}
 
     def has(self, term: str) -> bool:
         at = zlib.crc32(term.encode()) & self.mask
         return self.bits[at >> 3] >> (at & 7) & 1 > 0
 
+    def of(self, text: str, spans) -> set[str]:
+        """The distinct words that may be among the terms."""
+        self.terms = self.terms or Terms(self.has)
+        return self.terms.of(text, spans) if self.any else set()
+
     def places(self, text: str, spans) -> list[tuple[str, int, int]]:
-        """(term, start, end) of every word that may be a disclosing term."""
-        some = {x for x in terms_of(text, spans) if self.has(x)} if self.any else ()
+        """(term, start, end) of every word that may be among the terms."""
+        some = self.of(text, spans)
         if not some:
             return []
         return [(x, s, e) for x, s, e in ((text[s:e].lower(), s, e) for s, e, term in tokens(text, spans) if term) if x in some]
@@ -175,12 +231,13 @@ def base_spans(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, FOUND)
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """term, df: in how many documents a term occurs, by the same tokens as context() has.
+def document_frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """term, df: in how many documents a term occurs, of all in wanted (term) and maybe others; the same tokens as context() has.
 
     A task adds up what it has read and hands it on whenever it holds HELD_TERMS terms.
     """
     tune(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(Bits(wanted))
     schema = pa.schema([("term", pa.string()), ("df", pa.int64())])
 
     def run(batches):
@@ -188,7 +245,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
         for b in batches:
             for x in b.column("text"):
                 text = x.as_py() or ""
-                held.update(terms_of(text, find(text)))
+                held.update(shared.value.of(text, find(text)))
                 if len(held) >= HELD_TERMS:
                     yield as_batch(schema, term=list(held), df=list(held.values()))
                     held.clear()
@@ -203,9 +260,9 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     total = docs.count()
 
     near = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= LEAST_TOGETHER)
+    pairs = stored(docs.sparkSession, near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= LEAST_TOGETHER), "pairs")
     entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    counted = pairs.join(entities, "entity").join(document_frequencies(docs), "term", "left")
+    counted = pairs.join(entities, "entity").join(document_frequencies(docs, pairs.select("term").distinct()), "term", "left")
     seen = F.when(F.col("df") >= F.col("together"), F.col("df")).otherwise(F.raise_error(F.concat(F.lit("document frequency missing or too small: "), "term")).cast("long"))
     mutual = F.log(F.col("together") * float(max(total, 1)) / (seen * F.col("n")))
     content = F.log(F.lit(float(max(total, 1))) / F.col("n"))
