@@ -1,117 +1,15 @@
-"""Resource catalog and verb ids, as small dimension tables."""
+"""Resource catalog and verb ids: small dimension tables, read from the CSV files beside this module or from others in their form."""
 
 from __future__ import annotations
 
+import configparser
+import csv
+import pkgutil
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Group, version, resource[/subresource], type id, sub id, namespaced, verbs.
-# Verbs: * all eight; otherwise c create, d delete, D deletecollection, g get, l list, p patch, u update, w watch.
-CATALOG = """
-admissionregistration.k8s.io v1 mutatingwebhookconfigurations 41 0 false *
-admissionregistration.k8s.io v1 validatingwebhookconfigurations 42 0 false *
-apiextensions.k8s.io v1 customresourcedefinitions 801 0 false *
-apiextensions.k8s.io v1 customresourcedefinitions/status 801 1 false gpu
-apiregistration.k8s.io v1 apiservices 800 0 false *
-apiregistration.k8s.io v1 apiservices/status 800 1 false gpu
-apps v1 controllerrevisions 39 0 true *
-apps v1 daemonsets 44 0 true *
-apps v1 daemonsets/status 44 1 true gpu
-apps v1 deployments 16 0 true *
-apps v1 deployments/scale 16 2 true gpu
-apps v1 deployments/status 16 1 true gpu
-apps v1 replicasets 17 0 true *
-apps v1 replicasets/scale 17 2 true gpu
-apps v1 replicasets/status 17 1 true gpu
-apps v1 statefulsets 18 0 true *
-apps v1 statefulsets/scale 18 2 true gpu
-apps v1 statefulsets/status 18 1 true gpu
-authentication.k8s.io v1 selfsubjectreviews 12 0 false c
-authentication.k8s.io v1 tokenreviews 806 0 false c
-authorization.k8s.io v1 localsubjectaccessreviews 27 0 true c
-authorization.k8s.io v1 selfsubjectaccessreviews 13 0 false c
-authorization.k8s.io v1 selfsubjectrulesreviews 14 0 false c
-authorization.k8s.io v1 subjectaccessreviews 28 0 false c
-autoscaling v2 horizontalpodautoscalers 803 0 true *
-autoscaling v2 horizontalpodautoscalers/status 803 1 true gpu
-batch v1 cronjobs 19 0 true *
-batch v1 cronjobs/status 19 1 true gpu
-batch v1 jobs 20 0 true *
-batch v1 jobs/status 20 1 true gpu
-certificates.k8s.io v1 certificatesigningrequests 9 0 false *
-certificates.k8s.io v1 certificatesigningrequests/approval 9 2 false gpu
-certificates.k8s.io v1 certificatesigningrequests/status 9 1 false gpu
-coordination.k8s.io v1 leases 29 0 true *
-core v1 bindings 900 0 true c
-core v1 componentstatuses 901 0 false gl
-core v1 configmaps 3 0 true *
-core v1 endpoints 902 0 true *
-core v1 events 40 0 true *
-core v1 limitranges 33 0 true *
-core v1 namespaces 10 0 false cdglpuw
-core v1 namespaces/finalize 10 2 false u
-core v1 namespaces/status 10 1 false gpu
-core v1 nodes 15 0 false *
-core v1 nodes/proxy 15 8 false cdgpu
-core v1 nodes/status 15 1 false gpu
-core v1 persistentvolumeclaims 21 0 true *
-core v1 persistentvolumeclaims/status 21 1 true gpu
-core v1 persistentvolumes 22 0 false *
-core v1 persistentvolumes/status 22 1 false gpu
-core v1 pods 1 0 true *
-core v1 pods/attach 1 2 true cg
-core v1 pods/binding 1 3 true c
-core v1 pods/ephemeralcontainers 1 7 true gpu
-core v1 pods/eviction 1 9 true c
-core v1 pods/exec 1 4 true cg
-core v1 pods/log 1 5 true g
-core v1 pods/portforward 1 6 true cg
-core v1 pods/proxy 1 8 true cdgpu
-core v1 pods/status 1 1 true gpu
-core v1 podtemplates 35 0 true *
-core v1 replicationcontrollers 904 0 true *
-core v1 replicationcontrollers/scale 904 2 true gpu
-core v1 replicationcontrollers/status 904 1 true gpu
-core v1 resourcequotas 11 0 true *
-core v1 resourcequotas/status 11 1 true gpu
-core v1 secrets 2 0 true *
-core v1 serviceaccounts 4 0 true *
-core v1 serviceaccounts/token 4 2 true c
-core v1 services 26 0 true *
-core v1 services/proxy 26 8 true cdgpu
-core v1 services/status 26 1 true gpu
-discovery.k8s.io v1 endpointslices 23 0 true *
-events.k8s.io v1 events 903 0 true *
-flowcontrol.apiserver.k8s.io v1beta3 flowschemas 802 0 false *
-flowcontrol.apiserver.k8s.io v1beta3 flowschemas/status 802 1 false gpu
-flowcontrol.apiserver.k8s.io v1beta3 prioritylevelconfigurations 805 0 false *
-flowcontrol.apiserver.k8s.io v1beta3 prioritylevelconfigurations/status 805 1 false gpu
-networking.k8s.io v1 ingressclasses 24 0 false *
-networking.k8s.io v1 ingresses 25 0 true *
-networking.k8s.io v1 ingresses/status 25 1 true gpu
-networking.k8s.io v1 networkpolicies 34 0 true *
-node.k8s.io v1 runtimeclasses 43 0 false *
-policy v1 poddisruptionbudgets 804 0 true *
-policy v1 poddisruptionbudgets/status 804 1 true gpu
-rbac.authorization.k8s.io v1 clusterrolebindings 8 0 false *
-rbac.authorization.k8s.io v1 clusterroles 7 0 false *
-rbac.authorization.k8s.io v1 rolebindings 6 0 true *
-rbac.authorization.k8s.io v1 roles 5 0 true *
-scheduling.k8s.io v1 priorityclasses 36 0 false *
-storage.k8s.io v1 csidrivers 30 0 false *
-storage.k8s.io v1 csinodes 31 0 false *
-storage.k8s.io v1 csistoragecapacities 32 0 true *
-storage.k8s.io v1 storageclasses 37 0 false *
-storage.k8s.io v1 volumeattachments 38 0 false *
-storage.k8s.io v1 volumeattachments/status 38 1 false gpu
-unknown.fbk.eu noversion externalcrd 666 0 false *
-unknown.fbk.eu noversion externalcrdwithns 667 0 true *
-"""
-
-# Verb ids.
-VERB_IDS = {"create": 1, "delete": 2, "deletecollection": 2, "get": 3, "list": 3, "patch": 4, "update": 4, "watch": 5}
-LETTERS = dict(zip("cdDglpuw", VERB_IDS))
+# Entries in catalog.csv (group, version, resource[/subresource], type id, sub id, namespaced, a column a verb) and verb ids in verbs.csv.
 
 # Sentinels.
 UNKNOWN, IGNORE, BOUNDARY = -1, -2, -3
@@ -119,36 +17,57 @@ CRD_TYPES = (666, 667)
 IGNORED_NAMESPACES = ("falco", "kube-flannel")
 
 
+def csv_rows(text: str) -> list[list[str]]:
+    return [r for r in csv.reader(text.splitlines()) if r and not r[0].startswith("#")]
+
+
 def parse_catalog(text: str) -> list[tuple]:
-    """(api_group, api_version, name, type_id, sub_id, namespaced, verbs); a repeated key or (type, sub) is an error."""
+    """(api_group, api_version, name, type_id, sub_id, namespaced, verbs); blank verbs are left out, a repeated key or (type, sub) is an error."""
     rows, keys, ids = [], set(), set()
-    for line in text.strip().splitlines():
-        if not line.strip() or line.startswith("#"):
-            continue
-        group, version, name, kind, sub, namespaced, verbs = line.split()
+    for group, version, name, kind, sub, namespaced, *verbs in csv_rows(text):
         if (group, version, name) in keys or (kind, sub) in ids:
-            raise ValueError(f"catalog entry twice: {line}")
+            raise ValueError(f"catalog entry twice: {group}/{version}/{name} {kind}.{sub}")
         keys.add((group, version, name))
         ids.add((kind, sub))
-        rows.append((group, version, name, int(kind), int(sub), namespaced == "true", [LETTERS[c] for c in ("cdDglpuw" if verbs == "*" else verbs)]))
+        rows.append((group, version, name, int(kind), int(sub), namespaced == "true", [v for v in verbs if v]))
     return rows
 
 
+def parse_verbs(text: str) -> dict[str, int]:
+    return {verb: int(i) for verb, i in csv_rows(text)}
+
+
+def parse_toggles(text: str) -> tuple[str, ...]:
+    """The rules that an ini file (section ignore_log) turns off; what it doesn't name stays on."""
+    ini = configparser.ConfigParser()
+    ini.read_string(text)
+    return tuple(k for k in ini["ignore_log"] if not ini["ignore_log"].getboolean(k))
+
+
+def beside(name: str) -> str:
+    return pkgutil.get_data(__package__, name).decode()  # from a zip file too
+
+
 @cache
 def catalog_rows() -> tuple[tuple, ...]:
-    return tuple(parse_catalog(CATALOG))
+    return tuple(parse_catalog(beside("catalog.csv")))
+
+
+VERB_IDS = parse_verbs(beside("verbs.csv"))
 
 
-CATALOG_SCHEMA = "cat_group string, cat_version string, cat_name string, type_id int, sub_id int, namespaced boolean, verbs array<string>"
+def quoted(v) -> str:
+    return "'" + str(v).replace("'", "''") + "'"
 
 
-def catalog(spark: SparkSession) -> DataFrame:
-    """98 rows; a join broadcasts them."""
-    return spark.createDataFrame([tuple(r) for r in catalog_rows()], CATALOG_SCHEMA)
+def catalog(spark: SparkSession, rows=None) -> DataFrame:
+    """The entries (98 in the one that comes with this) as an inline relation, which a join broadcasts without a job."""
+    values = ", ".join(f"({quoted(g)}, {quoted(v)}, {quoted(n)}, {t}, {s}, {str(ns).lower()}, array({', '.join(map(quoted, vs))}))" for g, v, n, t, s, ns, vs in rows or catalog_rows())
+    return spark.sql(f"SELECT * FROM VALUES {values} AS c(cat_group, cat_version, cat_name, type_id, sub_id, namespaced, verbs)")
 
 
 def verbs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(VERB_IDS.items()), "verb string, verb_id int")
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({quoted(v)}, {i})" for v, i in VERB_IDS.items()) + " AS v(verb, verb_id)")
 
 
 def catalog_sql() -> str:

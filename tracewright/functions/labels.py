@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import CRD_TYPES, IGNORE, IGNORED_NAMESPACES, UNKNOWN, VERB_IDS, catalog
+from .catalog import CRD_TYPES, IGNORE, IGNORED_NAMESPACES, UNKNOWN, VERB_IDS, catalog, catalog_rows
 
 #: Verbs that may stand for each other when an operation is checked.
 ALIKE = [("get", "list"), ("update", "patch"), ("delete", "deletecollection")]
@@ -52,15 +52,12 @@ def allowed(verb: Column, verbs: Column) -> Column:
 def with_entry(records: DataFrame) -> DataFrame:
     """Each record with its catalog entry: unseen groups take the external resource, unlisted ones of known groups none."""
     spark = records.sparkSession
-    known = catalog(spark)
-    groups = F.broadcast(known.select(F.col("cat_group").alias("known_group")).distinct())
     group = F.coalesce("api_group", F.lit("core"))
-    marked = records.join(groups, group == F.col("known_group"), "left")
-    seen = F.col("known_group").isNotNull()
+    seen = group.isin(*sorted({r[0] for r in catalog_rows()}))
     name = F.concat_ws("/", F.col("resource"), F.when(truthy(F.col("subresource")), F.col("subresource")))
-    keyed = marked.withColumns({"_g": F.when(seen, group).otherwise("unknown.fbk.eu"), "_v": F.when(seen, F.col("api_version")).otherwise("noversion"), "_n": F.when(seen, name).otherwise("externalcrd")})
-    entry = F.broadcast(known)
-    return keyed.join(entry, (F.col("_g") == F.col("cat_group")) & (F.col("_v") == F.col("cat_version")) & (F.col("_n") == F.col("cat_name")), "left").drop("_g", "_v", "_n", "known_group")
+    keyed = records.withColumns({"_g": F.when(seen, group).otherwise("unknown.fbk.eu"), "_v": F.when(seen, F.col("api_version")).otherwise("noversion"), "_n": F.when(seen, name).otherwise("externalcrd")})
+    entry = F.broadcast(catalog(spark))  # as many rows as the catalog
+    return keyed.join(entry, (F.col("_g") == F.col("cat_group")) & (F.col("_v") == F.col("cat_version")) & (F.col("_n") == F.col("cat_name")), "left").drop("_g", "_v", "_n")
 
 
 def propose(records: DataFrame) -> DataFrame:
@@ -85,7 +82,7 @@ def label_space(spark) -> DataFrame:
     flags = F.explode(F.array(F.lit(False), F.lit(True)))
     full = entries.withColumn("ns", flags).withColumn("single", flags)
     made = full.select(encode(F.col("type_id"), F.col("sub_id"), F.col("ns"), F.col("single"), F.col("verb_id")).alias("label")).distinct()
-    return made.unionByName(spark.createDataFrame([(UNKNOWN,)], "label int"))
+    return made.unionByName(spark.sql(f"SELECT {UNKNOWN} AS label"))
 
 
 def decoded(labels: DataFrame) -> DataFrame:

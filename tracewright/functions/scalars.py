@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 AGENT = ("tool", "version", "platform", "arch", "h", "extra")
 
 # The model's features, by path.
@@ -62,7 +64,7 @@ def format_ts(us: Column) -> Column:
 
 def color_hue(key: Column) -> Column:
     """A hue that is the same in every run."""
-    return F.pmod(F.xxhash64(key), F.lit(360)).cast("int")
+    return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % 360).cast("int")
 
 
 def binarised(c: Column, present: Column) -> Column:
@@ -84,7 +86,7 @@ def informative(records: DataFrame) -> DataFrame:
     extra = {k: F.to_json(F.try_variant_get("raw", p, "variant")) for k, p in optional.items()} if "raw" in records.columns else {}
     if extra:
         extra |= {"reason": F.try_variant_get("raw", "$.responseObject.reason", "string"), "uid": uid()}
-    return records.filter("has_ref").select("line_idx", "username", "verb", "resource", "subresource", "namespace", "name", F.substring_index("uri", "?", 1).alias("requestURI"), *[c.alias(k) for k, c in extra.items()])
+    return records.filter("has_ref").select("line_idx", "username", "verb", "resource", "subresource", "namespace", "name", F.substring_index("uri", "?", 1).alias("requestURI"), *[F.col(c) for c in ("received_raw", "stage_raw") if c in records.columns], *[c.alias(k) for k, c in extra.items()])
 
 
 def path_of(feature: str) -> str:
@@ -114,16 +116,24 @@ def features(records: DataFrame, drop: tuple[int, ...] = ()) -> DataFrame:
     return records.select("line_idx", *[one(f).alias(f) for f in names])
 
 
-def flattened(records: DataFrame, depth: int = 8) -> DataFrame:
-    """(line_idx, path, value) of every scalar, as a.b and a[0].b; empty objects and lists vanish."""
+def stage_epoch(stage: Column) -> Column:
+    """Whole seconds of a stage timestamp."""
+    return F.unix_seconds(F.try_to_timestamp(stage))
+
+
+def flattened(records: DataFrame) -> DataFrame:
+    """(line_idx, path, value) of every scalar, as a.b and a[0].b, however deep; empty objects and lists vanish. A step a level, each stored."""
+    spark = records.sparkSession
     level = records.select("line_idx", F.lit("").alias("path"), F.col("raw").alias("v"))
     out = None
-    for _ in range(depth):
+    while True:
         kind = F.schema_of_variant("v")
-        inner = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        leaf = level.filter(~inner).select("line_idx", "path", F.coalesce(F.try_variant_get("v", "$", "string"), F.lit(None)).alias("value"))
+        known = stored(spark, level.select("line_idx", "path", F.to_json("v").alias("json"), (kind.startswith("OBJECT") | kind.startswith("ARRAY")).alias("inner"), F.try_variant_get("v", "$", "string").alias("value")), "level")
+        leaf = known.filter("NOT inner").select("line_idx", "path", "value")
         out = leaf if out is None else out.unionByName(leaf)
-        exploded = level.filter(inner).lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        more = known.filter("inner").select("line_idx", "path", F.parse_json("json").alias("v"))
+        if more.isEmpty():
+            return out
+        exploded = more.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
         name = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos"), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), F.col("key")))
         level = exploded.select("line_idx", name.alias("path"), F.col("value").alias("v"))
-    return out

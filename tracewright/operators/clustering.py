@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels, rules
 from ..session import ship
+from ..sources.audit import optional
 from . import windows
 
 # What a match is worth, and the least that joins a cluster.
@@ -14,6 +15,8 @@ USER, VERB, RESOURCE, OWNED, OWNER, INVOLVED, INVOLVED_RESOURCE, CLAIM, CLAIM_RE
 LEAST = 60
 CONTROL_PLANE = "2020"
 NEAR_US = 15_000_000
+#: Records of a cluster that a row of cluster_table() holds at most.
+MOST_LINES = 10_000
 
 
 def is_trigger() -> Column:
@@ -23,9 +26,9 @@ def is_trigger() -> Column:
 
 def trivial(records: DataFrame) -> DataFrame:
     """Adds case: `single` and `triggers` give a cluster a row, `fold` needs the scorer. Wants label, trigger."""
-    w = Window.partitionBy("label")
-    n, t = F.count(F.lit(1)).over(w), F.sum(F.col("trigger").cast("long")).over(w)
-    return records.withColumn("case", F.when(n == 1, "single").when(t == n, "triggers").otherwise("fold"))
+    sizes = records.groupBy("label").agg(F.count(F.lit(1)).alias("_n"), F.count_if("trigger").alias("_t"))
+    told = sizes.select("label", F.when(F.col("_n") == 1, "single").when(F.col("_t") == F.col("_n"), "triggers").otherwise("fold").alias("case"))
+    return records.join(F.broadcast(told), "label")  # a row a label: labels have 22 bits, those of the catalog are 1357
 
 
 def cluster_id(first) -> Column:
@@ -34,7 +37,7 @@ def cluster_id(first) -> Column:
 
 
 class Cluster:
-    def __init__(self, first, row):
+    def __init__(self, first: str, row: dict):
         self.first, self.anchor = first, row["ts_us"]
         self.users, self.verbs = set(), {row["verb"]} - {None, ""}
         self.resources, self.uids, self.owners, self.involved, self.claims = set(), set(), set(), set(), set()
@@ -43,8 +46,7 @@ class Cluster:
         if r["username"]:
             self.users.add(r["username"])
         place = (r["resource"], r["namespace"], r["name"])
-        if r["resource"]:
-            self.resources.add(place)
+        self.resources.add(place)
         if r["resource"] == "namespaces" and r["name"]:
             if r["verb"] == "create":
                 self.resources.add(("limitranges", r["name"], None))
@@ -74,58 +76,124 @@ class Cluster:
 
 
 def assign(rows: list[dict], merge: bool = False) -> dict[int, str]:
-    """line_idx -> first line of its cluster (or CONTROL_PLANE). Triggers seed clusters, the others join the best or found one."""
-    clusters: list[Cluster] = []
-    out: dict = {}
-    shared = None
+    """line_idx -> first line of its cluster (or CONTROL_PLANE). Triggers seed clusters, the others join the best or found one.
+
+    merge: control-plane records, triggers among them, share one cluster. Its anchor and verb are those of the last such
+    trigger, as each takes the seed's place; the earlier ones then join in order like other records.
+    """
+    seeds: dict[str, dict] = {}
     for r in rows:
         if r["trigger"]:
-            clusters.append(Cluster(r["line_idx"], r))
-            clusters[-1].take(r)
-            out[r["line_idx"]] = str(r["line_idx"])
+            seeds[CONTROL_PLANE if merge and r["cp"] is not None else str(r["line_idx"])] = r
+    clusters = {}
+    out: dict = {}
+    for name, r in seeds.items():
+        clusters[name] = Cluster(name, r)
+        clusters[name].take(r)
+        out[r["line_idx"]] = name
     for r in rows:
-        if r["trigger"]:
+        if r["line_idx"] in out:
             continue
         if merge and r["cp"] is not None:
-            if shared is None:
-                shared = Cluster(CONTROL_PLANE, r)
-                clusters.append(shared)
-            shared.take(r)
-            out[r["line_idx"]] = CONTROL_PLANE
-            continue
-        scored = [(c.score(r), c) for c in clusters if c.anchor is not None]
-        best = max((s for s, _ in scored), default=0)
-        if best >= LEAST:
-            ties = [c for s, c in scored if s == best]
-            near = ties[0] if r["ts_us"] is None else min(ties, key=lambda c: abs(r["ts_us"] - c.anchor))  # the first of equally near ones
-            near.take(r)
-            out[r["line_idx"]] = str(near.first)
+            name = CONTROL_PLANE
         else:
-            clusters.append(Cluster(r["line_idx"], r))
-            clusters[-1].take(r)
-            out[r["line_idx"]] = str(r["line_idx"])
+            scored = [(c.score(r), c) for c in clusters.values() if c.anchor is not None]
+            best = max((s for s, _ in scored), default=0)
+            ties = [c for s, c in scored if s == best] if best >= LEAST else []
+            near = ties and (ties[0] if r["ts_us"] is None else min(ties, key=lambda c: abs(r["ts_us"] - c.anchor)))  # the first of equally near ones
+            name = near.first if near else str(r["line_idx"])
+        if name not in clusters:
+            clusters[name] = Cluster(name, r)
+        clusters[name].take(r)
+        out[r["line_idx"]] = name
     return out
 
 
+def match_score(row: str = "", seed: str = "s_") -> Column:
+    """What a record scores against a cluster of one record, by columns with these prefixes: the pairwise form of Cluster.score()."""
+
+    def r(c):
+        return F.col(row + c)
+
+    def s(c):
+        return F.col(seed + c)
+
+    def when(points, *conditions):
+        both = F.lit(True)
+        for x in conditions:
+            both = both & F.coalesce(x, F.lit(False))
+        return F.when(both, points).otherwise(0)
+
+    def same(x, y):
+        return x.eqNullSafe(y)
+
+    full = lambda c: F.coalesce(c != "", F.lit(False))
+    named = full(s("name")) & same(s("resource"), F.lit("namespaces"))
+    made, gone = named & same(s("verb"), F.lit("create")), named & same(s("verb"), F.lit("delete"))
+    # The seed's places: its own and the one that stands for what follows a namespace's creation or deletion.
+    extra = F.when(made, F.lit("limitranges")).when(gone, F.lit("namespaces"))
+
+    def at(resource, namespace, name):
+        own = same(s("resource"), resource) & same(s("namespace"), namespace) & same(s("name"), name)
+        return own | (extra.isNotNull() & same(extra, resource) & same(s("name"), namespace) & name.isNull())
+
+    def placed(namespace, name):
+        return (same(s("namespace"), namespace) & same(s("name"), name)) | (extra.isNotNull() & same(s("name"), namespace) & name.isNull())
+
+    inv, claim, s_inv, s_claim = r("involved"), r("claim"), s("involved"), s("claim")
+    score = when(USER, full(r("username")), r("username") == s("username")) + when(VERB, full(r("verb")), r("verb") == s("verb"))
+    score += when(RESOURCE, at(r("resource"), r("namespace"), r("name")))
+    score += when(OWNED, full(r("uid")), F.array_contains(s("owner_uids"), r("uid"))) + when(OWNER, full(s("uid")), F.array_contains(r("owner_uids"), s("uid")))
+    score += when(INVOLVED, inv.isNotNull(), inv == s_inv) + when(INVOLVED_RESOURCE, inv.isNotNull(), at(inv["resource"], inv["namespace"], inv["name"]))
+    score += when(CLAIM, claim.isNotNull(), claim == s_claim) + when(CLAIM_RESOURCE, claim.isNotNull(), placed(claim["namespace"], claim["name"]))
+    human = full(s("username")) & ~s("username").startswith("system:")
+    inside = same(s("namespace"), r("namespace")) | (extra.isNotNull() & same(s("name"), r("namespace")))
+    score += when(LIMITS, r("username") == "system:apiserver", r("verb") == "list", r("resource") == "limitranges", full(r("namespace")), human, inside)
+    left = (same(s("resource"), F.lit("namespaces")) & same(s("namespace"), r("namespace")) & s("name").isNull()) | (gone & same(s("name"), r("namespace")))
+    return score + when(NAMESPACE_GONE, r("verb").isin("deletecollection", "get"), full(r("namespace")), ~same(r("resource"), F.lit("namespaces")), left)
+
+
+def seed_metadata(triggers: DataFrame) -> DataFrame:
+    """Of each label the sizes of the seven sets that its triggers would seed clusters with: users, verbs, resources, uids, owners, involved and claims."""
+    own = F.struct(F.coalesce("resource", F.lit("")).alias("r"), F.col("namespace").alias("ns"), F.col("name").alias("n"))
+    named = F.col("name").isNotNull() & (F.col("name") != "") & (F.col("resource") == "namespaces")
+    more = F.when(named & (F.col("verb") == "create"), F.lit("limitranges")).when(named & (F.col("verb") == "delete"), F.lit("namespaces"))
+    extra = F.when(more.isNotNull(), F.struct(more.alias("r"), F.col("name").alias("ns"), F.lit(None).cast("string").alias("n")))
+    lists = {"users": F.array("username"), "verbs": F.array("verb"), "resources": F.array(F.to_json(own), F.to_json(extra)), "uids": F.array("uid"), "owners": F.col("owner_uids"), "involved": F.array(F.to_json("involved")), "claims": F.array(F.to_json("claim"))}
+    told = triggers.select("label", *[F.array_compact(v).alias(k) for k, v in lists.items()])
+
+    def named(k: str):
+        return F.transform(F.coalesce(k, F.array().cast("array<string>")), lambda v: F.struct(F.lit(k).alias("set"), v.alias("v")))
+
+    each = told.select("label", F.explode(F.flatten(F.array(*map(named, lists)))).alias("x")).select("label", "x.set", "x.v").distinct()
+    return each.groupBy(F.col("label").cast("long").alias("label")).agg(*[F.count_if(F.col("set") == k).alias(k) for k in lists])
+
+
 OPTIONAL = {"uid": "string", "owner_uids": "array<string>", "involved": "struct<kind:string,namespace:string,name:string,resource:string>", "claim": "struct<kind:string,namespace:string,name:string>"}
 
 
+def with_optional(records: DataFrame) -> DataFrame:
+    """The records with uid, owner_uids, involved and claim: from the payload where there is one, else null where they are missing."""
+    if "raw" in records.columns:
+        return optional(records)
+    return records.withColumns({c: F.lit(None).cast(kind) for c, kind in OPTIONAL.items() if c not in records.columns})
+
+
 def clustered(records: DataFrame, merge: bool = False, limit_us: int = windows.LIMIT_US, most: int = windows.MOST_ROWS) -> DataFrame:
     """line_idx, label, cluster_id of every labelled record. Wants ts_us, label, proposal and the record's columns.
 
-    Most rows never reach Python: the trivial cases are window functions. The fold runs per (label, window),
-    which holds at most `most` rows.
+    Most rows never reach Python: the trivial cases are an aggregate by label. The fold runs per (label, window),
+    which holds at most `most` rows with a timestamp. A record without a timestamp belongs to the window that it
+    stands in; between two windows it belongs to none and its cluster_id is null.
     """
     import pandas as pd
 
     ship(records.sparkSession)
-    marked = trivial(records.filter(F.col("label").isNotNull()).withColumns({"trigger": is_trigger(), "cp": rules.control_plane_code()}))
-    merged = F.lit(merge) & F.col("cp").isNotNull() & ~F.col("trigger")
+    marked = trivial(with_optional(records.filter(F.col("label").isNotNull()).withColumns({"trigger": is_trigger(), "cp": rules.control_plane_code()})))
+    merged = F.lit(merge) & F.col("cp").isNotNull()
     easy = marked.filter("case <> 'fold'").select("line_idx", "label", F.when(merged, CONTROL_PLANE).otherwise(F.col("line_idx").cast("string")).alias("first"))
-    rest = windows.anchored_windows(marked.filter("case = 'fold'"), ["label"], limit_us=limit_us, most=most)
-    for c, kind in OPTIONAL.items():
-        if c not in rest.columns:
-            rest = rest.withColumn(c, F.lit(None).cast(kind))
+    open_ = marked.filter("case = 'fold'")
+    found = windows.anchored_windows(open_, ["label"], limit_us=limit_us, most=most).drop("label")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("line_idx").astype(object).where(lambda d: d.notna(), None).to_dict("records")
@@ -137,14 +205,32 @@ def clustered(records: DataFrame, merge: bool = False, limit_us: int = windows.L
         return pd.DataFrame({"line_idx": list(got), "label": int(pdf["label"].iloc[0]), "first": list(got.values())})
 
     wanted = ["line_idx", "label", "window_start", "ts_us", "trigger", "cp", "username", "verb", "resource", "namespace", "name", *OPTIONAL]
-    hard = rest.select(*wanted).groupBy("label", "window_start").applyInPandas(fold, "line_idx long, label int, first string")
-    every = easy.unionByName(hard)
+    rest = open_.join(found, "line_idx", "left").select(*wanted)
+    hard = rest.filter("window_start IS NOT NULL").groupBy("label", "window_start").applyInPandas(fold, "line_idx long, label int, first string")
+    outside = rest.filter("window_start IS NULL").select("line_idx", "label", F.lit(None).cast("string").alias("first"))
+    every = easy.unionByName(hard).unionByName(outside)
     return every.select("line_idx", "label", F.when(F.col("first") == CONTROL_PLANE, CONTROL_PLANE).otherwise(cluster_id(F.col("first"))).alias("cluster_id"))
 
 
-def cluster_table(assigned: DataFrame) -> DataFrame:
-    """One row per cluster: size, label of its first record, records in order."""
-    return assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("num_lines"), F.min_by("label", "line_idx").alias("label"), F.array_sort(F.collect_list("line_idx")).alias("indices"))
+def cluster_table(assigned: DataFrame, informative: DataFrame | None = None, most: int = MOST_LINES) -> DataFrame:
+    """One row per cluster: size, label of its first record, records in order and, given them, their informative lines (JSON).
+
+    A cluster of more than `most` records comes as several rows, numbered by part: no task ever holds more of one.
+    """
+    rows = windows.numbered(assigned.filter(F.col("cluster_id").isNotNull()), ["cluster_id"], ["line_idx"], "at")
+    if informative is not None:
+        told = informative.select("line_idx", F.to_json(F.struct(*[c for c in informative.columns if c != "line_idx"])).alias("line"))
+        rows = rows.join(told, "line_idx", "left")
+    has_lines = informative is not None
+    parts = rows.groupBy("cluster_id", F.floor(F.col("at") / most).alias("part")).agg(F.array_sort(F.collect_list(F.struct("line_idx", *(["line"] if has_lines else [])))).alias("r"))
+    sizes = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("num_lines"), F.min_by("label", "line_idx").alias("label"))
+    out = parts.join(sizes, "cluster_id")
+    return out.select("cluster_id", "part", "num_lines", "label", F.col("r.line_idx").alias("indices"), *([F.col("r.line").alias("lines")] if has_lines else []))
+
+
+def write_clusters(table: DataFrame, path: str) -> None:
+    """One compact JSON object for each row of cluster_table()."""
+    table.select(F.to_json(F.struct(*table.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
 def nearest(rows: DataFrame, others: DataFrame, key: str, limit_us: int = NEAR_US) -> DataFrame:
@@ -168,10 +254,11 @@ def heartbeats(records: DataFrame, assigned: DataFrame, limit_us: int = NEAR_US)
     reads = own.filter("verb = 'get' AND resource = 'nodes'")
     renewals = own.filter("verb IN ('update', 'patch') AND (resource = 'nodes' OR (resource = 'leases' AND namespace = 'kube-node-lease'))").withColumn("priority", F.expr("CASE WHEN resource = 'leases' THEN 0 ELSE 1 END"))
     moved = nearest(reads, renewals.filter(is_trigger()), "node", limit_us).join(assigned.select(F.col("line_idx").alias("other_idx"), F.col("cluster_id").alias("to")), "other_idx").select("line_idx", "to")
-    return assigned.join(moved, "line_idx", "left").withColumn("cluster_id", F.coalesce("to", "cluster_id")).drop("to")
+    to = F.when(F.col("cluster_id").isNotNull() & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("cluster_id"))
+    return assigned.join(moved, "line_idx", "left").withColumn("cluster_id", to).drop("to")
 
 
 def cluster_log(records: DataFrame, merge: bool = False) -> DataFrame:
-    """Labelled records to clusters, heartbeats repaired."""
+    """Labelled records, as read from a log, to clusters: line_idx, label, cluster_id; heartbeats repaired."""
     proposed = labels.propose(records)
     return heartbeats(proposed, clustered(proposed, merge))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.catalog import BOUNDARY
+from ..functions.catalog import BOUNDARY, catalog_rows
+from ..functions.labels import decode, decoded, encode
+from .windows import in_chunks, row_numbers
 
 
 def fit_ordinal(df: DataFrame, column: str, order: str = "line_idx") -> DataFrame:
     """value, code: codes in order of first appearance; null is a value."""
     first = df.groupBy(F.col(column).alias("value")).agg(F.min(order).alias("first"))
-    return first.select("value", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("code"))
+    return row_numbers(first, "first").select("value", F.col("i").alias("code"))
 
 
 def encode_ordinal(df: DataFrame, column: str, mapping: DataFrame, order: str = "line_idx") -> DataFrame:
@@ -19,7 +23,7 @@ def encode_ordinal(df: DataFrame, column: str, mapping: DataFrame, order: str =
     values = df.groupBy(F.col(column).alias("value")).agg(F.min(order).alias("first"))
     fresh = values.join(mapping, values["value"].eqNullSafe(mapping["value"]), "left_anti")
     top = mapping.agg(F.coalesce(F.max("code"), F.lit(-1)).alias("top"))
-    added = fresh.crossJoin(F.broadcast(top)).select("value", (F.col("top") + F.row_number().over(Window.orderBy("first"))).cast("long").alias("code"))  # top is one row
+    added = row_numbers(fresh, "first").crossJoin(F.broadcast(top)).select("value", (F.col("top") + F.col("i") + 1).cast("long").alias("code"))  # top is one row
     every = mapping.unionByName(added)
     return df.join(every, df[column].eqNullSafe(every["value"]), "left").drop("value")
 
@@ -60,21 +64,180 @@ def majority(predictions: DataFrame) -> DataFrame:
     return n.groupBy("k").agg(F.min(F.struct((-F.col("count")).alias("c"), "label")).alias("b")).select("k", F.col("b.label").alias("predicted"))
 
 
-def fit_classifier(train: DataFrame, columns: list[str], label: str, kind: str = "forest", seed: int = 7):
+def vote_errors(predictions: DataFrame, truth: DataFrame, width: int, unscored: tuple[int, ...] = (-1, -2)) -> DataFrame:
+    """Of each labelled record that all windows voted on: line, true_label, predicted, correct, bucket.
+
+    truth: (line, true_label). bucket tells how a wrong one came about (`one, not in it`, `many, not in it`, `many, in it`: how
+    many labels were voted for and whether the true one was); null where it is right or one of the labels can't be decoded.
+    """
+    told = weighted_vote(predictions, width).filter(F.col("predicted") != BOUNDARY)
+    options = votes(predictions, width).groupBy("k").agg(F.collect_set("label").alias("labels"))  # at most `width` of them
+    rows = truth.filter(F.col("true_label").isNotNull() & ~F.col("true_label").isin(*unscored)).join(told, truth["line"] == told["k"]).join(options, "k")
+    right = F.col("true_label") == F.col("predicted")
+    had = F.array_contains("labels", F.col("true_label"))
+    bucket = F.when(right, None).when(F.size("labels") <= 1, "one, not in it").when(had, "many, in it").otherwise("many, not in it")
+    out = rows.withColumns({"correct": right, "_b": bucket})
+    known = decoded(out.select(F.col("true_label").alias("label")).unionByName(out.select(F.col("predicted").alias("label"))).distinct()).filter("NOT error").select("label")
+    ok = out.join(F.broadcast(known.withColumnRenamed("label", "_t")), F.col("true_label") == F.col("_t"), "left").join(F.broadcast(known.withColumnRenamed("label", "_q")), F.col("predicted") == F.col("_q"), "left")  # labels have 22 bits
+    return ok.select("line", "true_label", "predicted", "correct", F.when(F.col("_t").isNotNull() & F.col("_q").isNotNull(), F.col("_b")).alias("bucket"))
+
+
+def indecisions(errors: DataFrame, predictions: DataFrame, width: int) -> DataFrame:
+    """line, true_label, predicted, label, weight: all labels voted for, of the records that had the true one among several."""
+    v = votes(predictions, width).select(F.col("k").alias("line"), F.col("label"), "weight")
+    return errors.filter("bucket = 'many, in it'").select("line", "true_label", "predicted").join(v, "line")
+
+
+#: The five parts of a label that the model predicts, each by a classifier of its own.
+PARTS = ("type_id", "sub_id", "is_namespaced", "is_single", "verb_id")
+
+
+def class_values() -> list[int]:
+    """Type ids and 0, in order: a value's place is its class. All five parts share them."""
+    return sorted({r[3] for r in catalog_rows()} | {0})
+
+
+def class_of(value: Column) -> Column:
+    """0 for what isn't among the values."""
+    at = F.array_position(F.array(*map(F.lit, class_values())), value)
+    return F.when(at > 0, at - 1).otherwise(0).cast("int")
+
+
+def value_of(cls: Column) -> Column:
+    return F.get(F.array(*map(F.lit, class_values())), cls.cast("int"))
+
+
+def component_classes(spark) -> DataFrame:
+    """value, class: the 59 classes as a table."""
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({v}, {k}L)" for k, v in enumerate(class_values())) + " AS c(value, class)")
+
+
+def label_parts(label: Column) -> dict[str, Column]:
+    """The five parts as numbers, 0 where the label says nothing."""
+    return {k: F.coalesce(c.cast("int"), F.lit(0)) for k, c in decode(label).items()}
+
+
+def fit_classifier(train: DataFrame, columns: list[str], label: str, kind: str = "forest", seed: int = 7, **settings):
     """The stand-in for the recurrent model: an ML pipeline over a record's and its neighbours' codes."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    made = {"forest": lambda: RandomForestClassifier(labelCol=label, numTrees=10, maxDepth=6, seed=seed), "logistic": lambda: LogisticRegression(labelCol=label, maxIter=20), "tree": lambda: DecisionTreeClassifier(labelCol=label, maxDepth=5, seed=seed)}[kind]()
+    made = {"forest": lambda: RandomForestClassifier(labelCol=label, seed=seed, **{"numTrees": 10, "maxDepth": 6} | settings), "logistic": lambda: LogisticRegression(labelCol=label, **{"maxIter": 20} | settings), "tree": lambda: DecisionTreeClassifier(labelCol=label, seed=seed, **{"maxDepth": 5} | settings)}[kind]()
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep"), made]).fit(train)
 
 
+class Bundle:
+    """What inference needs: encoders of the feature columns, the context columns and a classifier for each part of the label."""
+
+    def __init__(self, columns: list[str], key: list[str], encoders: dict[str, DataFrame], models: dict):
+        self.columns, self.key, self.encoders, self.models = columns, key, encoders, models
+
+    def coded(self, records: DataFrame) -> tuple[DataFrame, list[str]]:
+        """The records' columns as codes of the encoders, those of neighbours beside them; unseen values get a code beyond the known ones."""
+        out = records
+        for c, mapping in self.encoders.items():
+            known = mapping.select(F.col("value").alias("_v"), F.col("code").alias(f"code_{c}"))
+            out = out.join(known, out[c].eqNullSafe(known["_v"]), "left").drop("_v").fillna(mapping.count(), [f"code_{c}"])
+        return context_columns(out, [f"code_{c}" for c in self.columns], self.key)
+
+    def infer(self, records: DataFrame) -> DataFrame:
+        """line_idx and predicted, the label that the parts make up."""
+        out, _ = self.coded(records)
+        for part, model in self.models.items():
+            out = model.transform(out).withColumn(f"_{part}", value_of(F.col("prediction"))).drop("features", "rawPrediction", "probability", "prediction")
+        made = encode(F.col("_type_id"), F.col("_sub_id"), F.col("_is_namespaced") == 1, F.col("_is_single") == 1, F.col("_verb_id"))
+        return out.select("line_idx", made.alias("predicted"))
+
+    def save(self, path: str) -> None:
+        """Models, encoders and the feature list under one folder, which Spark reads and writes."""
+        spark = next(iter(self.encoders.values())).sparkSession
+        for part, model in self.models.items():
+            model.write().overwrite().save(f"{path}/model-{part}")
+        for c, mapping in self.encoders.items():
+            mapping.write.mode("overwrite").parquet(f"{path}/encoder-{c}")
+        spark.createDataFrame([(json.dumps({"columns": self.columns, "key": self.key, "parts": list(self.models)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/features")
+
+    @staticmethod
+    def load(spark, path: str) -> Bundle:
+        from pyspark.ml import PipelineModel
+
+        told = json.loads(spark.read.text(f"{path}/features").first().value)
+        return Bundle(told["columns"], told["key"], {c: spark.read.parquet(f"{path}/encoder-{c}") for c in told["columns"]}, {p: PipelineModel.load(f"{path}/model-{p}") for p in told["parts"]})
+
+
+def train_bundle(records: DataFrame, columns: list[str], key: list[str], label: str = "label", kind: str = "tree", seed: int = 7) -> Bundle:
+    """Encoders by first appearance and five classifiers, one for each part of the label. Wants line_idx, the columns, key and label."""
+    bundle = Bundle(columns, key, {c: fit_ordinal(records, c) for c in columns}, {})
+    rows, features = bundle.coded(records.filter(F.col(label).isNotNull()).withColumns({f"true_{k}": class_of(v) for k, v in label_parts(F.col(label)).items()}))
+    bundle.models = {p: fit_classifier(rows, features, f"true_{p}", kind, seed) for p in PARTS}
+    return bundle
+
+
+def attempts(records: DataFrame, columns: list[str], key: list[str], label: str = "label", seeds: range = range(40), test: float = 0.1) -> DataFrame:
+    """attempt, metric, value of repeated training, each on a fresh split: accuracy, precision, recall and F1 on what was held out."""
+    from .metrics import core_metrics
+
+    out = None
+    for seed in seeds:
+        held = F.pmod(F.xxhash64("line_idx", F.lit(seed)), F.lit(1000)) < int(1000 * test)
+        bundle = train_bundle(records.filter(~held), columns, key, label, seed=seed)
+        # Neighbours of a record may lie in the other part, as windows overlap: all rows are coded, held-out ones are counted.
+        pairs = bundle.infer(records).join(records.filter(held).select("line_idx", F.col(label).alias("actual")), "line_idx").filter("actual IS NOT NULL").select("actual", "predicted")
+        row = core_metrics(pairs).select(F.lit(seed).alias("attempt"), F.stack(F.lit(4), *[x for m in ("accuracy", "precision", "recall", "f1") for x in (F.lit(m), F.col(m))]).alias("metric", "value"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def search(train: DataFrame, columns: list[str], label: str, grid: dict[str, list] | None = None, share: float = 0.9, seed: int = 7) -> DataFrame:
+    """The settings of a forest that were tried, best first: settings (JSON) and the weighted F1 on what was held out."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+
+    forest = RandomForestClassifier(labelCol=label, seed=seed)
+    build = ParamGridBuilder()
+    for name, values in (grid or {"numTrees": [5, 10], "maxDepth": [4, 8]}).items():
+        build = build.addGrid(forest.getParam(name), values)
+    pipeline = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep"), forest])
+    tried = build.build()
+    split = TrainValidationSplit(estimator=pipeline, estimatorParamMaps=tried, evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="f1"), trainRatio=share, seed=seed).fit(train)
+    rows = [(json.dumps({p.name: v for p, v in m.items()}, sort_keys=True), float(f1)) for m, f1 in zip(tried, split.validationMetrics)]
+    return train.sparkSession.createDataFrame(rows, "settings string, f1 double").orderBy(F.desc("f1"), "settings")
+
+
+def early_stopped(train: DataFrame, valid: DataFrame, columns: list[str], label: str, rounds: int = 20, least_gain: float = 0.01, seed: int = 7):
+    """Boosted trees for a target of 0 and 1 that stop once a round gains less on the validation rows."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = train.withColumn("_valid", F.lit(False)).unionByName(valid.withColumn("_valid", F.lit(True)))
+    trees = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=3, validationIndicatorCol="_valid", validationTol=least_gain, seed=seed)
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep"), trees]).fit(rows)
+
+
+def surrogate(train: DataFrame, test: DataFrame, columns: list[str], label: str, depth: int = 5) -> tuple[DataFrame, str]:
+    """A decision tree that mimics a model: fidelity to the model and to the truth on rows it wasn't fitted on, and the tree with named features.
+
+    Wants the model's predictions in `mimic`.
+    """
+    tree = fit_classifier(train, columns, "mimic", "tree", maxDepth=depth)
+    rows = tree.transform(test)
+    told = rows.agg(F.avg((F.col("mimic") == F.col("prediction")).cast("double")).alias("fidelity_model"), F.avg((F.col(label) == F.col("prediction")).cast("double")).alias("fidelity_truth"))
+    text = tree.stages[-1].toDebugString
+    for j in reversed(range(len(columns))):
+        text = text.replace(f"feature {j} ", f"{columns[j]}_t0 ")
+    return told, text
+
+
 def context_columns(df: DataFrame, columns: list[str], key: list[str], reach: int = 1, order: str = "line_idx") -> tuple[DataFrame, list[str]]:
     """Adds the columns' values of the rows before and after (-1 where there is none)."""
-    w = Window.partitionBy(*key).orderBy(order)
+    rows, w, own = in_chunks(df, key, [order], behind=reach, ahead=reach)
     extra = {f"{c}_{d:+d}".replace("-", "m").replace("+", "p"): F.coalesce(F.lag(c, d).over(w) if d > 0 else F.lead(c, -d).over(w), F.lit(-1)) for c in columns for d in range(-reach, reach + 1) if d}
-    return df.withColumns(extra), [*columns, *extra]
+    return rows.withColumns(extra).filter(own).drop("_i", "_own", "_chunk"), [*columns, *extra]
 
 
 def predict_hook(predict, columns: list[str], batch: int = 1024):

@@ -5,11 +5,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import catalog, labels, rules, scalars
 from .operators import clustering, metrics, sequence, windows
+from .session import shared_dir, stored
+from .sources import audit
 from .sources.audit import audit_sql, audit_view
 from .streaming import sessions
 
@@ -59,6 +63,17 @@ def events(spark, sf_dir) -> DataFrame:
     return audit_view(spark, sf_dir)
 
 
+def records(spark, sf_dir) -> DataFrame:
+    """The same as JSON lines, read as a log is, with the optional parts of each record."""
+    return audit.optional(audit.envelope(audit.parsed(audit.audit_lines(spark, sf_dir))))
+
+
+def labelled_records(spark, sf_dir) -> DataFrame:
+    """records() with the labels of labelled(); has_ref is false where a record names no object."""
+    label = F.when(F.col("line_idx") % 19 == 0, None).when(F.col("line_idx") % 23 == 0, 17808).otherwise(F.col("proposal")).cast("int")
+    return labels.propose(records(spark, sf_dir)).withColumn("label", label)
+
+
 # A: sources
 
 
@@ -72,43 +87,108 @@ def a10_csv_verbs(spark, sf_dir):
     return catalog.verbs(spark)
 
 
+OFF = "[ignore_log]\nresponse_started_watch = True\nnodes_getting_their_own_status = False\ncni_and_external_namespaces = no\n"
+
+
 @query(f"WITH {AUDIT} SELECT {rules.noise_sql(('nodes_getting_their_own_status', 'cni_and_external_namespaces'))} AS decision, count(*) AS n FROM audit GROUP BY 1")
 def a11_ini_toggles(spark, sf_dir):
-    decision = rules.noise_decision(("nodes_getting_their_own_status", "cni_and_external_namespaces"))
+    decision = rules.noise_decision(catalog.parse_toggles(OFF))
     return events(spark, sf_dir).groupBy(decision.alias("decision")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_valid(props) AND ts IS NOT NULL")
+READ = "line_idx, uri, verb, stage, username, CASE WHEN has_ref THEN api_group END AS api_group, CASE WHEN has_ref THEN api_version END AS api_version, CASE WHEN has_ref THEN resource END AS resource, CASE WHEN has_ref THEN subresource END AS subresource, CASE WHEN has_ref AND has_namespace_key THEN namespace END AS namespace, CASE WHEN has_ref THEN name END AS name, CAST(code AS BIGINT) AS code, decision, has_ref, has_ref AND has_namespace_key AS has_namespace_key, ts_us"
+
+
+@query(f"WITH {AUDIT} SELECT {READ} FROM audit")
+def a01_read_audit_jsonl(spark, sf_dir):
+    r = audit.envelope(audit.parsed(audit.audit_lines(spark, sf_dir), strict=True))
+    return r.select("line_idx", "uri", "verb", "stage", "username", "api_group", "api_version", "resource", "subresource", "namespace", "name", long("code"), "decision", "has_ref", "has_namespace_key", "ts_us")
+
+
+@query(f"WITH {AUDIT} SELECT line_idx, ts_us, verb FROM audit WHERE line_idx % 11 <> 0 AND line_idx % 13 <> 0 AND line_idx % 17 <> 0 AND line_idx % 7 <> 0")
 def a02_read_tolerant(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("raw", F.try_parse_json("props"))
-    return df.filter("raw IS NOT NULL AND ts IS NOT NULL").select("event_id", F.try_variant_get("raw", "$.k", "string").alias("k"))
+    lines, i = audit.audit_lines(spark, sf_dir), F.col("line_idx")
+    stamp = '"requestReceivedTimestamp":"'
+    dirty = F.when(i % 11 == 0, " ").when(i % 13 == 0, F.substring("value", 1, 40)).when(i % 17 == 0, F.replace("value", F.lit(stamp), F.lit('"other":"'))).when(i % 7 == 0, F.replace("value", F.lit(stamp), F.lit(stamp + "soon "))).otherwise(F.col("value"))
+    return audit.tolerant(lines.withColumn("value", dirty)).select("line_idx", "ts_us", "verb")
 
 
-@query("SELECT event_id, user_id AS cluster, event_type FROM events WHERE user_id % 10 <> 0")
+@query(f"WITH {AUDIT} SELECT line_idx, concat('c', CAST(user_id AS VARCHAR)) AS cluster, username FROM audit WHERE line_idx % 5 <> 0")
 def a03_read_clusterized(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id % 10 <> 0").select("event_id", F.col("user_id").alias("cluster"), "event_type")
+    lines = audit.audit_view(spark, sf_dir, True)
+    with_id = F.concat(F.substring("line", F.lit(1), F.length("line") - 1), F.lit(',"uuid_new":"c'), F.col("user_id").cast("string"), F.lit('"}'))
+    value = F.when(F.col("line_idx") % 5 == 0, F.col("line")).otherwise(with_id)
+    return audit.clusterized(lines.select("line_idx", value.alias("value"))).select("line_idx", F.col("cluster_id").alias("cluster"), "username")
+
 
+@query("SELECT count(*) AS n, true AS in_order FROM events")
+def a04_write_jsonl(spark, sf_dir):
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    audit.write_jsonl(records(spark, sf_dir), path)
+    back = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.get_json_object("value", "$.requestReceivedTimestamp").alias("t"))
+    w = Window.partitionBy("file").orderBy("at")
+    within = back.withColumn("before", F.lag("t").over(w)).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.bool_and(F.coalesce(F.col("before") <= F.col("t"), F.lit(True))).alias("ok"))
+    files = Window.orderBy("file")  # a row a file
+    return within.withColumn("ok", F.col("ok") & F.coalesce(F.lag("hi").over(files) <= F.col("lo"), F.lit(True))).agg(F.sum("n").alias("n"), F.bool_and("ok").alias("in_order"))
 
-@query("SELECT user_id AS cluster, count(*) AS num_lines, arg_min(event_type, event_id) AS first_type, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS indices FROM events GROUP BY user_id")
+
+@query(f"""WITH {AUDIT}, l AS (SELECT *, concat('{{"username":"', username, '","verb":"', verb, '"}}') AS shown FROM audit)
+SELECT CAST(user_id AS VARCHAR) AS cluster, count(*) AS num_lines, arg_min(k, line_idx) AS label, string_agg(CAST(line_idx AS VARCHAR), ',' ORDER BY line_idx) AS indices, sha256(string_agg(shown, chr(10) ORDER BY line_idx)) AS lines_sha256 FROM l GROUP BY user_id""")
 def a05_write_clusters(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("cluster_id"), F.col("event_id").alias("line_idx"), F.col("event_type").alias("label"))
-    t = clustering.cluster_table(df)
-    return t.select(F.col("cluster_id").alias("cluster"), "num_lines", F.col("label").alias("first_type"), F.array_join(F.transform("indices", lambda x: x.cast("string")), ",").alias("indices"))
+    e = events(spark, sf_dir)
+    t = clustering.cluster_table(e.select("line_idx", F.col("user_id").cast("string").alias("cluster_id"), F.col("k").alias("label")), e.select("line_idx", "username", "verb"))
+    path = f"{shared_dir(spark)}/clusters-{uuid.uuid4().hex}"
+    clustering.write_clusters(t, path)
+    back = spark.read.schema("cluster_id string, part long, num_lines long, label int, indices array<long>, lines array<string>").json(path)
+    parts = back.groupBy(F.col("cluster_id").alias("cluster"), "num_lines", "label").agg(F.array_sort(F.collect_list(F.struct("part", "indices", "lines"))).alias("p"))
+    return parts.select("cluster", "num_lines", "label", F.array_join(F.transform(F.flatten("p.indices"), lambda x: x.cast("string")), ",").alias("indices"), F.sha2(F.array_join(F.flatten("p.lines"), "\n"), 256).alias("lines_sha256"))
 
 
-@query("SELECT e.event_id, e.event_type, CASE WHEN e.event_id % 4 = 0 THEN NULL ELSE e.event_id % 7 END AS predicted_label FROM events e")
+@query("SELECT concat(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), 'Z') AS received, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 7 END AS predicted_label FROM events")
 def a06_write_labelled(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
-    p = e.filter("event_id % 4 <> 0").select("event_id", (F.col("event_id") % 7).alias("predicted_label"))
-    return e.join(p, "event_id", "left")
+    r = records(spark, sf_dir)
+    path = f"{shared_dir(spark)}/labelled-{uuid.uuid4().hex}"
+    audit.write_labelled(r, r.filter("line_idx % 4 <> 0").select("line_idx", (F.col("line_idx") % 7).alias("predicted")), path)
+    back = spark.read.text(path)
+    return back.select(F.get_json_object("value", "$.requestReceivedTimestamp").alias("received"), F.get_json_object("value", "$.predicted_label").cast("long").alias("predicted_label"))
+
+
+FEATURE_COLUMNS = ["verb", "resource", "api_group", "username"]
+
+
+@query(f"WITH {AUDIT} SELECT count(*) AS n, count(*) AS agree FROM audit")
+def a07_model_bundle(spark, sf_dir):
+    r = stored(spark, labelled(spark, sf_dir).select("line_idx", "event_type", "label", *FEATURE_COLUMNS), "records")
+    made = sequence.train_bundle(r, FEATURE_COLUMNS, ["event_type"])
+    path = f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    made.save(path)
+    again = sequence.Bundle.load(spark, path).infer(r).withColumnRenamed("predicted", "other")
+    return made.infer(r).join(again, "line_idx").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted") == F.col("other")).alias("agree"))
+
+
+@query("SELECT event_id AS line_idx FROM events WHERE event_id % 50 <> 0")
+def a08_file_cut(spark, sf_dir):
+    lines = audit.audit_lines(spark, sf_dir)
+    return audit.cut_log(lines.withColumn("value", F.when(F.col("line_idx") % 50 == 0, F.expr("substring(value, 12)")).otherwise(F.col("value")))).select("line_idx")
 
 
 # B: projections and functions
 
 
-@query(f"WITH {AUDIT} SELECT line_idx, username, verb, resource, subresource, namespace, name, split_part(uri, '?', 1) AS requesturi FROM audit WHERE has_ref")
+@query(f"WITH {AUDIT} SELECT line_idx, username, verb, resource, subresource, CASE WHEN has_namespace_key THEN namespace END AS namespace, name, split_part(uri, '?', 1) AS requesturi, concat(strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%f'), 'Z') AS received, CASE line_idx % 4 WHEN 0 THEN concat('uid-', k) WHEN 2 THEN concat('det-', k) WHEN 3 THEN concat('uid-', k) END AS uid, line_idx % 6 IN (1, 4) AS owned, line_idx % 9 = 2 AS involved, line_idx % 15 = 4 AS claimed FROM audit WHERE has_ref")
 def b01_informative(spark, sf_dir):
-    return scalars.informative(events(spark, sf_dir)).withColumnRenamed("requestURI", "requesturi")
+    i = scalars.informative(records(spark, sf_dir))
+    return i.select("line_idx", "username", "verb", "resource", "subresource", "namespace", "name", F.col("requestURI").alias("requesturi"), F.col("received_raw").alias("received"), "uid", F.col("ownerReferences").isNotNull().alias("owned"), F.col("involvedObject").isNotNull().alias("involved"), F.col("claimRef").isNotNull().alias("claimed"))
+
+
+@query(f"WITH {AUDIT} SELECT line_idx, CASE line_idx % 4 WHEN 0 THEN concat('uid-', k) WHEN 2 THEN concat('det-', k) WHEN 3 THEN concat('uid-', k) END AS uid FROM audit")
+def b02_uid_coalesce(spark, sf_dir):
+    return audit.parsed(audit.audit_lines(spark, sf_dir)).select("line_idx", scalars.uid().alias("uid"))
+
+
+@query(f"WITH {AUDIT} SELECT line_idx, replace(substr(t.fullkey, 3), '\"', '') AS path, t.atom ->> '$' AS value FROM audit, json_tree(CAST(line AS JSON)) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')")
+def b04_flatten(spark, sf_dir):
+    return scalars.flattened(audit.parsed(audit.audit_lines(spark, sf_dir)))
 
 
 @query("SELECT event_id, json_exists(props, '$.k') AS has_k, json_exists(props, '$.missing') AS has_missing FROM events")
@@ -201,6 +281,11 @@ def b17_verb_to_id(spark, sf_dir):
     return events(spark, sf_dir).select("line_idx", labels.verb_id(F.col("verb")).alias("verb_id"))
 
 
+@query("SELECT event_id AS line_idx, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS stage_s FROM events")
+def b18_stage_epoch(spark, sf_dir):
+    return records(spark, sf_dir).select("line_idx", scalars.stage_epoch(F.col("received_raw")).alias("stage_s"))
+
+
 @query(f"WITH {AUDIT} SELECT line_idx, CASE WHEN username LIKE 'system:serviceaccount:%' THEN concat('sys:sa:', substr(username, 23)) WHEN username LIKE 'system:%' THEN concat('sys:', substr(username, 8)) ELSE username END AS short FROM audit")
 def b19_short_username(spark, sf_dir):
     return events(spark, sf_dir).select("line_idx", scalars.short_username(F.col("username")).alias("short"))
@@ -216,7 +301,7 @@ def b21_format_ts(spark, sf_dir):
     return events(spark, sf_dir).select(F.col("line_idx").alias("event_id"), scalars.format_ts(F.col("ts_us")).alias("shown"))
 
 
-@query()
+@query(f"WITH {AUDIT} SELECT DISTINCT username, CAST(CAST(concat('0x', substr(md5(username), 1, 8)) AS BIGINT) % 360 AS INTEGER) AS hue FROM audit")
 def b22_color_key(spark, sf_dir):
     return events(spark, sf_dir).select("username").distinct().select("username", scalars.color_hue(F.col("username")).alias("hue"))
 
@@ -258,20 +343,38 @@ def c04_auto_label(spark, sf_dir):
     return proposed(spark, sf_dir).select("line_idx", rules.auto_label().cast("long").alias("label"), rules.auto_label(False).cast("long").alias("loose_label"))
 
 
+@query(f"""WITH {PROPOSED}, a AS (SELECT *, {rules.auto_label_sql()} AS auto FROM labelled),
+f AS (SELECT *, unnest([false, true]) AS forced FROM a),
+n AS (SELECT *, CASE WHEN label IS NULL OR label = auto THEN auto WHEN auto = -1 THEN label WHEN forced THEN auto ELSE label END AS new FROM f)
+SELECT line_idx, forced, CAST(new AS BIGINT) AS label, CASE WHEN label IS NOT NULL AND label <> auto AND auto = -1 THEN line_idx % 2 = 0 WHEN new <> -1 THEN true ELSE line_idx % 2 = 0 END AS cplabel FROM n""")
+def c04_relabel(spark, sf_dir):
+    r = labelled(spark, sf_dir).withColumn("cplabel", F.col("line_idx") % 2 == 0)
+    parts = [rules.relabelled(r, force=f).select("line_idx", F.lit(f).alias("forced"), long("new_label", "label"), F.col("new_cplabel").alias("cplabel")) for f in (False, True)]
+    return parts[0].unionByName(parts[1])
+
+
 LOOK = "OVER (PARTITION BY user_id ORDER BY line_idx ROWS BETWEEN 1 FOLLOWING AND 19 FOLLOWING)"
 
 
 @query(f"WITH {AUDIT} SELECT line_idx, " + ", ".join(f"first_value(CASE WHEN verb IN ({v}) THEN line_idx END IGNORE NULLS) {LOOK} AS next_{n}" for n, v in (("watch", "'watch'"), ("create", "'create'"), ("change", "'patch', 'update'"), ("delete", "'delete', 'deletecollection'"))) + " FROM audit")
 def c05_next_verb_lookahead(spark, sf_dir):
-    e = events(spark, sf_dir)
+    rows, w, own = windows.in_chunks(events(spark, sf_dir).select("line_idx", "user_id", "verb"), ["user_id"], ["line_idx"], ahead=19)
     kinds = {"watch": ["watch"], "create": ["create"], "change": ["patch", "update"], "delete": ["delete", "deletecollection"]}
-    return e.select("line_idx", *[windows.lookahead(e, F.col("verb").isin(*v), 19, F.col("line_idx"), ["user_id"]).alias(f"next_{n}") for n, v in kinds.items()])
+    found = rows.select("line_idx", own.alias("own"), *[windows.lookahead(w, F.col("verb").isin(*v), 19, F.col("line_idx")).alias(f"next_{n}") for n, v in kinds.items()])
+    return found.filter("own").drop("own")
+
+
+@query(f"WITH {PROPOSED}, n AS (SELECT *, {rules.control_plane_sql()} IS NULL AND NOT username LIKE 'system:%' AS other FROM proposed), l AS (SELECT line_idx, first_value(CASE WHEN other THEN line_idx END IGNORE NULLS) OVER (ORDER BY line_idx ROWS BETWEEN 1 FOLLOWING AND 39 FOLLOWING) AS next_line, first_value(CASE WHEN other THEN proposal END IGNORE NULLS) OVER (ORDER BY line_idx ROWS BETWEEN 1 FOLLOWING AND 39 FOLLOWING) AS next_label FROM n) SELECT line_idx, next_line, CAST(next_label AS BIGINT) AS next_label FROM l")
+def c05_next_user_action(spark, sf_dir):
+    rows, w, own = windows.in_chunks(proposed(spark, sf_dir).withColumn("other", rules.control_plane_code().isNull() & ~F.col("username").startswith("system:")).select("line_idx", "proposal", "other"), [], ["line_idx"], ahead=39)
+    found = rows.select("line_idx", own.alias("own"), windows.lookahead(w, F.col("other"), 39, F.col("line_idx")).alias("next_line"), windows.lookahead(w, F.col("other"), 39, F.col("proposal")).cast("long").alias("next_label"))
+    return found.filter("own").drop("own")
 
 
 @query(f"WITH {AUDIT} SELECT line_idx, ts_us - lag(ts_us) OVER w AS before_us, " + ", ".join(f"lead(ts_us, {k}) OVER w - ts_us AS after{k}_us" for k in range(1, 5)) + " FROM audit WINDOW w AS (PARTITION BY user_id ORDER BY line_idx)")
 def c05_ts_delta_lead_lag(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("line_idx")
-    return events(spark, sf_dir).select("line_idx", (F.col("ts_us") - F.lag("ts_us").over(w)).alias("before_us"), *[(F.lead("ts_us", k).over(w) - F.col("ts_us")).alias(f"after{k}_us") for k in range(1, 5)])
+    rows, w, own = windows.in_chunks(events(spark, sf_dir).select("line_idx", "user_id", "ts_us"), ["user_id"], ["line_idx"], behind=1, ahead=4)
+    return rows.select("line_idx", own.alias("own"), (F.col("ts_us") - F.lag("ts_us").over(w)).alias("before_us"), *[(F.lead("ts_us", k).over(w) - F.col("ts_us")).alias(f"after{k}_us") for k in range(1, 5)]).filter("own").drop("own")
 
 
 @query(f"WITH {PROPOSED}, s AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS other FROM proposed WHERE proposal >= 0) SELECT line_idx, other, CAST(proposal - proposal // 16 % 8 * 16 + other * 16 AS BIGINT) AS label FROM s")
@@ -283,16 +386,31 @@ def c05_equiv_verb_label(spark, sf_dir):
 # D: features, votes
 
 
-@query(f"WITH {AUDIT} SELECT line_idx, api_group, resource, subresource, {VERBS} AS verb_id, CAST(code AS BIGINT) AS code, decision FROM audit")
+FEATURED = """f AS (SELECT line_idx, unnest([{{'feature': 'objectRef.apiGroup', 'value': CASE WHEN has_ref THEN api_group END}}, {{'feature': 'objectRef.namespace', 'value': CASE WHEN has_ref AND has_namespace_key THEN CASE WHEN namespace <> '' THEN '1' ELSE '0' END END}},
+    {{'feature': 'objectRef.resource', 'value': CASE WHEN has_ref THEN resource END}}, {{'feature': 'objectRef.subresource', 'value': CASE WHEN has_ref THEN subresource END}}, {{'feature': 'user.groups[0]', 'value': 'system:authenticated'}}, {{'feature': 'user.groups[1]', 'value': concat('g', user_id % 3)}},
+    {{'feature': 'userAgent.tool', 'value': concat('tool-', user_id)}}, {{'feature': 'userAgent.version', 'value': 'v1'}}, {{'feature': 'userAgent.extra', 'value': NULL}}, {{'feature': 'verb', 'value': CAST({verbs} AS VARCHAR)}}, {{'feature': 'responseObject.kind', 'value': concat('K', k % 5)}},
+    {{'feature': 'responseObject.involvedObject.kind', 'value': CASE WHEN line_idx % 9 = 2 THEN 'Pod' END}}, {{'feature': 'responseObject.involvedObject.namespace', 'value': CASE WHEN line_idx % 9 = 2 THEN '1' END}}, {{'feature': 'responseObject.involvedObject.resource', 'value': CASE WHEN line_idx % 9 = 2 THEN 'pods' END}},
+    {{'feature': 'annotations.authorization.k8s.io/decision', 'value': decision}}, {{'feature': 'responseStatus.code', 'value': CAST(code AS VARCHAR)}}]) AS x FROM audit)"""
+
+
+@query(f"WITH {AUDIT}, {FEATURED.format(verbs=VERBS)} SELECT line_idx, x.feature AS feature, x.value AS value FROM f WHERE x.value IS NOT NULL")
 def d01_preprocess(spark, sf_dir):
-    return events(spark, sf_dir).select("line_idx", "api_group", "resource", "subresource", labels.verb_id(F.col("verb")).alias("verb_id"), long("code"), "decision")
+    f = scalars.features(records(spark, sf_dir))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("value")) for c in f.columns if c != "line_idx"])).alias("x")
+    return f.select("line_idx", each).select("line_idx", "x.feature", "x.value").filter("value IS NOT NULL")
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}')" for f in scalars.FEATURES) + ") v(feature)")
 def d02_feature_list(spark, sf_dir):
     return spark.createDataFrame([(f,) for f in sorted(scalars.FEATURES)], "feature string")
 
 
+@query("SELECT feature FROM (VALUES " + ", ".join(f"('{f}')" for f in scalars.FEATURES) + ") v(feature) WHERE feature NOT IN ('annotations.authorization.k8s.io/decision', 'objectRef.namespace', 'verb')")
+def d03_feature_drop(spark, sf_dir):
+    kept = [c for c in scalars.features(records(spark, sf_dir), drop=(0, 2, 38)).columns if c != "line_idx"]
+    return spark.createDataFrame([(c,) for c in kept], "feature string")
+
+
 FIRST = "SELECT {c} AS value, row_number() OVER (ORDER BY min(line_idx)) - 1 AS code FROM audit GROUP BY 1"
 
 
@@ -313,12 +431,15 @@ def d06_ordinal_decode(spark, sf_dir):
     return sequence.decode_ordinal(e, sequence.fit_ordinal(e, "username"), "k").select("line_idx", "decoded")
 
 
-@query(f"WITH {PROPOSED}, t AS (SELECT DISTINCT type_id FROM catalog UNION SELECT 0), r AS (SELECT type_id, row_number() OVER (ORDER BY type_id) - 1 AS class FROM t) SELECT line_idx, r.class FROM (SELECT line_idx, CASE WHEN proposal >= 0 THEN proposal // 4096 ELSE 0 END AS t FROM proposed) p JOIN r ON r.type_id = p.t")
+@query(f"""WITH {DECODED}, t AS (SELECT DISTINCT type_id AS v FROM catalog UNION SELECT 0), r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS class FROM t),
+p AS (SELECT line_idx, CASE WHEN label >= 0 THEN label // 4096 ELSE 0 END AS a, CASE WHEN label >= 0 THEN label // 512 % 8 + 8 * (label % 16) ELSE 0 END AS b, CASE WHEN label >= 0 THEN label // 256 % 2 ELSE 0 END AS c, CASE WHEN label >= 0 THEN label // 128 % 2 ELSE 0 END AS d, CASE WHEN label >= 0 THEN label // 16 % 8 ELSE 0 END AS e FROM d)
+SELECT line_idx, ra.class AS type_class, rb.class AS sub_class, rc.class AS namespaced_class, rd.class AS single_class, re.class AS verb_class FROM p JOIN r ra ON ra.v = a JOIN r rb ON rb.v = b JOIN r rc ON rc.v = c JOIN r rd ON rd.v = d JOIN r re ON re.v = e""")
 def d07_label_components(spark, sf_dir):
-    types = catalog.catalog(spark).select("type_id").union(spark.createDataFrame([(0,)], "type_id int")).distinct()
-    ranked = types.select("type_id", (F.row_number().over(Window.orderBy("type_id")) - 1).cast("long").alias("class"))
-    p = proposed(spark, sf_dir).select("line_idx", F.coalesce(labels.decode(F.col("proposal"))["type_id"], F.lit(0)).alias("type_id"))
-    return p.join(F.broadcast(ranked), "type_id").select("line_idx", "class")
+    classes, out = sequence.component_classes(spark), proposed(spark, sf_dir).select("line_idx", *[v.alias(k) for k, v in sequence.label_parts(F.col("proposal")).items()])
+    for part, name in zip(sequence.PARTS, ("type_class", "sub_class", "namespaced_class", "single_class", "verb_class")):
+        known = F.broadcast(classes.select(F.col("value").alias(f"_{part}"), F.col("class").alias(name)))  # 59 rows
+        out = out.join(known, out[part] == known[f"_{part}"])
+    return out.select("line_idx", "type_class", "sub_class", "namespaced_class", "single_class", "verb_class")
 
 
 @query(f"WITH {AUDIT}, s AS (SELECT line_idx, event_type, count(*) OVER w AS n, CAST(sum(k) OVER w AS BIGINT) AS sum_k, CAST(sum(user_id) OVER w AS BIGINT) AS sum_user FROM audit WINDOW w AS (PARTITION BY event_type ORDER BY line_idx ROWS BETWEEN CURRENT ROW AND 59 FOLLOWING)) SELECT line_idx, event_type, sum_k, sum_user FROM s WHERE n = 60")
@@ -341,8 +462,10 @@ def d10_kfold(spark, sf_dir):
 
 
 def coded(spark, sf_dir):
-    e = events(spark, sf_dir).withColumns({"verb_id": labels.verb_id(F.col("verb")), "target": (F.col("user_id") % 8 < 4).cast("int")})
-    return sequence.context_columns(e, ["verb_id", "k"], ["event_type"])
+    """Codes of a record and its neighbours; target: whether it is the control plane's."""
+    e = events(spark, sf_dir).withColumns({"verb_id": labels.verb_id(F.col("verb")), "kind": F.pmod(F.xxhash64("resource"), F.lit(97)).cast("int"), "who": F.pmod(F.xxhash64("username"), F.lit(97)).cast("int"), "target": rules.control_plane_code().isNotNull().cast("int")})
+    df, columns = sequence.context_columns(e, ["verb_id", "kind", "who"], ["event_type"])
+    return stored(spark, df.select("line_idx", "target", *columns), "coded"), columns
 
 
 @query()
@@ -354,17 +477,48 @@ def d12_sequence_model_binary(spark, sf_dir):
 
 @query()
 def d11_sequence_model_multiclass(spark, sf_dir):
+    r = stored(spark, labelled(spark, sf_dir).select("line_idx", "event_type", "label", *FEATURE_COLUMNS), "records")
+    return sequence.train_bundle(r.filter("line_idx % 10 <> 0"), FEATURE_COLUMNS, ["event_type"]).infer(r).filter("line_idx % 10 = 0").select("line_idx", long("predicted"))
+
+
+@query()
+def d13_early_stopping(spark, sf_dir):
+    df, columns = coded(spark, sf_dir)
+    model = sequence.early_stopped(df.filter("line_idx % 10 > 1"), df.filter("line_idx % 10 = 1"), columns, "target")
+    return model.transform(df.filter("line_idx % 10 = 0")).select("line_idx", "target", "prediction")
+
+
+@query()
+def d14_statistics_mode(spark, sf_dir):
+    r = stored(spark, labelled(spark, sf_dir).select("line_idx", "event_type", "label", *FEATURE_COLUMNS), "records")
+    return sequence.attempts(r, FEATURE_COLUMNS, ["event_type"], seeds=range(2))
+
+
+@query()
+def d15_infer(spark, sf_dir):
+    r = stored(spark, labelled(spark, sf_dir).select("line_idx", "event_type", "label", *FEATURE_COLUMNS), "records")
+    path = f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    sequence.train_bundle(r.filter("line_idx % 10 <> 0"), FEATURE_COLUMNS, ["event_type"]).save(path)
+    one = sequence.Bundle.load(spark, path).infer(r)
+    # A record's prediction stands in every window that holds it; the vote then resolves them, boundaries left out.
+    i = windows.row_numbers(one, "line_idx")
+    votes = i.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(5)))).select((F.col("i") - F.col("offset")).alias("window_idx"), "offset", F.col("predicted").alias("label"))
+    last = r.count() - 6
+    return sequence.weighted_vote(votes.filter((F.col("window_idx") >= 0) & (F.col("window_idx") <= last)), 6).select("k", long("predicted"), "n_votes")
+
+
+@query()
+def d18_hyperparam_search(spark, sf_dir):
     df, columns = coded(spark, sf_dir)
-    model = sequence.fit_classifier(df.filter("line_idx % 10 <> 0").withColumn("component", F.col("k") % 5), columns, "component")
-    return model.transform(df.filter("line_idx % 10 = 0")).select("line_idx", "prediction")
+    return sequence.search(df, columns, "target", {"numTrees": [3, 6], "maxDepth": [3, 6]})
 
 
 @query()
 def d19_tree_surrogate(spark, sf_dir):
     df, columns = coded(spark, sf_dir)
-    model = sequence.fit_classifier(df, columns, "target", "logistic").transform(df).select("line_idx", *columns, F.col("prediction").alias("mimic"))
-    tree = sequence.fit_classifier(model, columns, "mimic", "tree")
-    return tree.transform(model).agg(F.avg((F.col("mimic") == F.col("prediction")).cast("double")).alias("fidelity"))
+    model = sequence.fit_classifier(df.filter("line_idx % 10 <> 0"), columns, "target", "logistic").transform(df).select("line_idx", "target", *columns, F.col("prediction").alias("mimic"))
+    told, text = sequence.surrogate(model.filter("line_idx % 10 <> 0"), model.filter("line_idx % 10 = 0"), columns, "target")
+    return told.withColumn("tree", F.lit(text))
 
 
 VOTES = "p AS (SELECT e.event_id AS window_idx, o.j AS voted, e.event_id + o.j AS k, (e.event_id * 7 + o.j * 3) % 5 AS label FROM events e, (SELECT unnest(range(6)) AS j) o), v AS (SELECT k, label, CAST(sum(6 - abs(2 * voted - 6)) AS BIGINT) AS weight, min(window_idx) AS first, count(*) AS n FROM p GROUP BY k, label)"
@@ -380,10 +534,25 @@ def d16_weighted_vote(spark, sf_dir):
     return sequence.weighted_vote(predictions(spark, sf_dir), 6).select("k", long("predicted"), "n_votes")
 
 
-@query(f"WITH {VOTES}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY weight DESC, first, label) AS place, sum(n) OVER (PARTITION BY k) AS all_n FROM v), b AS (SELECT k, CASE WHEN all_n < 6 THEN -3 ELSE label END AS predicted FROM r WHERE place = 1) SELECT count(*) AS accounted, CAST(count_if(predicted = k % 5) AS BIGINT) AS correct FROM b WHERE predicted <> -3")
+REAL = "CASE {x} % 5 WHEN 0 THEN 61632 WHEN 1 THEN 61616 WHEN 2 THEN 119232 WHEN 3 THEN 17808 ELSE 5 END"
+
+
+@query(f"WITH {VOTES}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY weight DESC, first, label) AS place, sum(n) OVER (PARTITION BY k) AS all_n, count(*) OVER (PARTITION BY k) AS kinds, max(CASE WHEN label = k % 5 THEN 1 ELSE 0 END) OVER (PARTITION BY k) AS had FROM v), b AS (SELECT k, k % 5 AS t, label AS p, kinds, had FROM r WHERE place = 1 AND all_n >= 6 AND k < (SELECT max(event_id) FROM events) AND k % 19 <> 0 AND k % 17 <> 0) SELECT k AS line, CAST({REAL.format(x='t')} AS BIGINT) AS true_label, CAST({REAL.format(x='p')} AS BIGINT) AS predicted, t = p AS correct, CASE WHEN t = p OR t = 4 OR p = 4 THEN NULL WHEN kinds = 1 THEN 'one, not in it' WHEN had = 1 THEN 'many, in it' ELSE 'many, not in it' END AS bucket FROM b JOIN events ON event_id = k")
 def d17_vote_errors(spark, sf_dir):
-    v = sequence.weighted_vote(predictions(spark, sf_dir), 6).filter("predicted <> -3")
-    return v.agg(F.count(F.lit(1)).alias("accounted"), F.count_if(F.col("predicted") == F.col("k") % 5).alias("correct"))
+    real = lambda c: F.expr(REAL.format(x=c))
+    p = predictions(spark, sf_dir).withColumn("label", real("label"))
+    t = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("line"), F.when(F.col("event_id") % 19 == 0, None).when(F.col("event_id") % 17 == 0, -1).otherwise(real("event_id")).alias("true_label"))
+    last = t.agg(F.max("line").alias("last"))
+    t = t.crossJoin(F.broadcast(last)).filter("line < last").drop("last")  # last is one row
+    return sequence.vote_errors(p, t, 6).select("line", long("true_label"), long("predicted"), "correct", "bucket")
+
+
+@query(f"WITH {VOTES}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY weight DESC, first, label) AS place, sum(n) OVER (PARTITION BY k) AS all_n, max(CASE WHEN label = k % 5 THEN 1 ELSE 0 END) OVER (PARTITION BY k) AS had FROM v), b AS (SELECT k FROM r JOIN events ON event_id = k WHERE place = 1 AND all_n >= 6 AND label <> k % 5 AND had = 1 AND label <> 4 AND k % 5 <> 4) SELECT k AS line, CAST({REAL.format(x='label')} AS BIGINT) AS label, weight FROM v JOIN b USING (k)")
+def d17_indecisions(spark, sf_dir):
+    real = lambda c: F.expr(REAL.format(x=c))
+    p = predictions(spark, sf_dir).withColumn("label", real("label"))
+    t = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("line"), real("event_id").alias("true_label"))
+    return sequence.indecisions(sequence.vote_errors(p, t, 6), p, 6).select("line", long("label"), "weight")
 
 
 @query("SELECT 'event_type' AS feature, count(DISTINCT event_type) AS n FROM events UNION ALL SELECT 'user_id', count(DISTINCT user_id) FROM events UNION ALL SELECT 'k', count(DISTINCT json_extract_string(props, '$.k')) FROM events")
@@ -404,9 +573,8 @@ FROM w JOIN e ON e.event_type = w.event_type AND e.r = w.r + 1)"""
 
 @query(ANCHORED.format(t=TEN_HOURS, m=50) + " SELECT event_id, event_type, window_start FROM w")
 def e01_anchored_windows(spark, sf_dir):
-    e = events(spark, sf_dir).select("line_idx", "ts_us", "event_type")
-    found = windows.anchored_windows_arrow(e, ["event_type"], limit_us=TEN_HOURS, most=50)
-    return e.join(found, "line_idx").select(F.col("line_idx").alias("event_id"), "event_type", "window_start")
+    found = windows.anchored_windows(events(spark, sf_dir), ["event_type"], limit_us=TEN_HOURS, most=50)
+    return found.select(F.col("line_idx").alias("event_id"), "event_type", "window_start")
 
 
 @query(f"WITH {AUDIT}, g AS (SELECT line_idx, event_type, CASE WHEN ts_us - lag(ts_us) OVER w > 3600000000 THEN 1 ELSE 0 END AS jump FROM audit WINDOW w AS (PARTITION BY event_type ORDER BY line_idx)) SELECT line_idx, CAST(sum(jump) OVER (PARTITION BY event_type ORDER BY line_idx) AS BIGINT) AS gap_id FROM g")
@@ -419,9 +587,10 @@ def e03_window_members(spark, sf_dir):
     return e01_anchored_windows(spark, sf_dir).groupBy("event_type", "window_start").agg(F.count(F.lit(1)).alias("members"), F.max("event_id").alias("last"))
 
 
-@query(f"WITH {AUDIT}, g AS (SELECT line_idx, user_id, ts_us, CASE WHEN ts_us - lag(ts_us) OVER w > 300000000 THEN ts_us - lag(ts_us) OVER w - 60000000 ELSE 0 END AS s FROM audit WINDOW w AS (PARTITION BY user_id ORDER BY line_idx)) SELECT line_idx, CAST(sum(s) OVER (PARTITION BY user_id ORDER BY line_idx) AS BIGINT) AS shift_us, CAST(ts_us - sum(s) OVER (PARTITION BY user_id ORDER BY line_idx) AS BIGINT) AS compact_us FROM g")
+@query(f"WITH {AUDIT}, g AS (SELECT line_idx, ts_us, CASE WHEN ts_us - lag(ts_us) OVER w > 300000000 THEN ts_us - lag(ts_us) OVER w - 60000000 ELSE 0 END AS s FROM audit WINDOW w AS (ORDER BY line_idx)) SELECT line_idx, CAST(sum(s) OVER (ORDER BY line_idx) AS BIGINT) AS shift_us, CAST(ts_us - sum(s) OVER (ORDER BY line_idx) AS BIGINT) AS compact_us, CAST(ts_us + 1500 - sum(s) OVER (ORDER BY line_idx) AS BIGINT) AS compact_stage_us FROM g")
 def e04_gap_compact(spark, sf_dir):
-    return windows.compacted(events(spark, sf_dir), ("user_id",)).select("line_idx", "shift_us", "compact_us")
+    e = events(spark, sf_dir).select("line_idx", "ts_us", (F.col("ts_us") + 1500).alias("stage_us"))
+    return windows.compacted(e, stamps=("ts_us", "stage_us")).select("line_idx", "shift_us", "compact_us", "compact_stage_us")
 
 
 @query(f"WITH {AUDIT}, s AS (SELECT min(ts_us) AS lo, max(ts_us) AS hi FROM audit), u AS (SELECT username, dense_rank() OVER (ORDER BY username) - 1 AS user_row FROM (SELECT DISTINCT username FROM audit)) SELECT line_idx, round((ts_us - (lo - (hi - lo) * 0.05)) / greatest(hi - lo + 2 * ((hi - lo) * 0.05), 1.0) * 1500, 3) AS x, user_row FROM audit JOIN u USING (username) CROSS JOIN s")
@@ -443,43 +612,62 @@ def f02_trivial_clusters(spark, sf_dir):
     return clustering.trivial(rows).select("line_idx", F.col("case").alias("kind"))
 
 
-@query(f"WITH {PROPOSED} SELECT CAST(label AS BIGINT) AS label, line_idx, row_number() OVER (PARTITION BY label ORDER BY line_idx) AS seed FROM valid WHERE is_trigger")
-def f03_trigger_seeding(spark, sf_dir):
-    w = Window.partitionBy("label").orderBy("line_idx")
-    return labelled(spark, sf_dir).filter(clustering.is_trigger()).select(long("label"), "line_idx", F.row_number().over(w).cast("long").alias("seed"))
+SEED = """, e AS (SELECT line_idx, label, is_trigger, ts_us AS t, row_number() OVER (PARTITION BY label ORDER BY line_idx) AS r FROM valid WHERE label IS NOT NULL),
+w AS (SELECT label, line_idx, is_trigger, r, t AS t0, line_idx AS window_start, 1 AS n FROM e WHERE r = 1
+UNION ALL SELECT e.label, e.line_idx, e.is_trigger, e.r, CASE WHEN e.t - w.t0 <= 36000000000 AND w.n < 1000 THEN w.t0 ELSE e.t END, CASE WHEN e.t - w.t0 <= 36000000000 AND w.n < 1000 THEN w.window_start ELSE e.line_idx END, CASE WHEN e.t - w.t0 <= 36000000000 AND w.n < 1000 THEN w.n + 1 ELSE 1 END FROM w JOIN e ON e.label = w.label AND e.r = w.r + 1)"""
 
 
-SEEDED = f"""WITH {PROPOSED}, s AS (SELECT * FROM valid WHERE is_trigger AND user_id % 10 = 3), o AS (SELECT * FROM valid WHERE NOT is_trigger AND user_id % 10 = 3)
-SELECT o.line_idx, s.line_idx AS seed, CAST((CASE WHEN o.username = s.username THEN 30 ELSE 0 END) + (CASE WHEN o.verb = s.verb THEN 30 ELSE 0 END) + (CASE WHEN o.resource = s.resource AND o.namespace IS NOT DISTINCT FROM s.namespace AND o.name IS NOT DISTINCT FROM s.name THEN 100 ELSE 0 END) AS BIGINT) AS score
-FROM o JOIN s ON o.user_id = s.user_id AND o.event_type = s.event_type WHERE abs(o.ts_us - s.ts_us) <= 3600000000"""
+@query(f"WITH RECURSIVE {PROPOSED}{SEED} SELECT CAST(label AS BIGINT) AS label, window_start, line_idx, row_number() OVER (PARTITION BY label, window_start ORDER BY line_idx) AS seed FROM w WHERE is_trigger")
+def f03_trigger_seeding(spark, sf_dir):
+    rows = stored(spark, labelled(spark, sf_dir).filter("label IS NOT NULL").select("line_idx", "label", "ts_us", clustering.is_trigger().alias("trigger")), "rows")
+    found = windows.anchored_windows(rows, ["label"], limit_us=TEN_HOURS).drop("label")
+    w = Window.partitionBy("label", "window_start").orderBy("line_idx")  # at most 1000 rows
+    return rows.filter("trigger").join(found, "line_idx").select(long("label"), "window_start", "line_idx", F.row_number().over(w).cast("long").alias("seed"))
 
 
-@query(SEEDED)
-def f06_match_score(spark, sf_dir):
-    rows = labelled(spark, sf_dir).withColumn("is_trigger", clustering.is_trigger()).filter("user_id % 10 = 3")
-    keep = ["line_idx", "ts_us", "username", "verb", "resource", "namespace", "name"]
-    s = rows.filter("is_trigger").select("user_id", "event_type", *[F.col(c).alias(f"s_{c}") for c in keep])
-    o = rows.filter("NOT is_trigger").select("user_id", "event_type", *keep)
-    same = F.col("resource").eqNullSafe(F.col("s_resource")) & F.col("namespace").eqNullSafe(F.col("s_namespace")) & F.col("name").eqNullSafe(F.col("s_name"))
-    score = F.when(F.col("username") == F.col("s_username"), clustering.USER).otherwise(0) + F.when(F.col("verb") == F.col("s_verb"), clustering.VERB).otherwise(0) + F.when(same, clustering.RESOURCE).otherwise(0)
-    return o.join(s, ["user_id", "event_type"]).filter("abs(ts_us - s_ts_us) <= 3600000000").select("line_idx", F.col("s_line_idx").alias("seed"), score.cast("long").alias("score"))
+PARTS = """o AS (SELECT line_idx, ts_us, user_id, is_trigger, username, verb, CASE WHEN has_ref THEN resource END AS resource, CASE WHEN has_ref AND has_namespace_key THEN namespace END AS namespace, CASE WHEN has_ref THEN name END AS name,
+    CASE line_idx % 4 WHEN 0 THEN concat('uid-', k) WHEN 2 THEN concat('det-', k) WHEN 3 THEN concat('uid-', k) END AS uid, CASE line_idx % 6 WHEN 1 THEN concat('uid-', (k + 1) % 100) WHEN 4 THEN concat('uid-', (k + 2) % 100) END AS owner,
+    CASE WHEN line_idx % 9 = 2 THEN concat('obj-', k) END AS inv, CASE WHEN line_idx % 15 = 4 THEN concat('team-', k % 4) END AS claim_ns, CASE WHEN line_idx % 15 = 4 THEN concat('obj-', k) END AS claim_name FROM valid)"""
 
 
-@query(f"WITH {PROPOSED} SELECT CAST(label AS BIGINT) AS label, count(DISTINCT username) AS users, count(DISTINCT verb) AS verbs, count(DISTINCT concat_ws('|', resource, coalesce(namespace, ''), coalesce(name, ''))) AS resources FROM valid WHERE is_trigger GROUP BY 1")
+@query(f"""WITH {PROPOSED}, {PARTS}, j AS (SELECT o.*, s.line_idx AS seed, s.username AS su, s.verb AS sv, s.resource AS sr, s.namespace AS sns, s.name AS sn, s.uid AS suid, s.owner AS sowner, s.inv AS sinv, s.claim_ns AS scns, s.claim_name AS scn FROM o JOIN o s ON o.user_id = s.user_id AND o.ts_us - s.ts_us BETWEEN -3600000000 AND 3600000000 WHERE s.is_trigger AND NOT o.is_trigger),
+p AS (SELECT *, CASE WHEN sr = 'namespaces' AND sn <> '' AND sv = 'create' THEN 'limitranges' WHEN sr = 'namespaces' AND sn <> '' AND sv = 'delete' THEN 'namespaces' END AS also FROM j)
+SELECT line_idx, seed, CAST((CASE WHEN username = su THEN 30 ELSE 0 END) + (CASE WHEN verb = sv THEN 30 ELSE 0 END)
++ (CASE WHEN (resource IS NOT DISTINCT FROM sr AND namespace IS NOT DISTINCT FROM sns AND name IS NOT DISTINCT FROM sn) OR (also IS NOT NULL AND resource = also AND namespace = sn AND name IS NULL) THEN 100 ELSE 0 END)
++ (CASE WHEN uid = sowner THEN 80 ELSE 0 END) + (CASE WHEN owner = suid THEN 80 ELSE 0 END) + (CASE WHEN inv = sinv THEN 60 ELSE 0 END) + (CASE WHEN inv IS NOT NULL AND sr = 'pods' AND sns = 'default' AND sn = inv THEN 70 ELSE 0 END)
++ (CASE WHEN claim_ns = scns AND claim_name = scn THEN 60 ELSE 0 END) + (CASE WHEN claim_ns IS NOT NULL AND sns = claim_ns AND sn = claim_name THEN 60 ELSE 0 END)
++ (CASE WHEN username = 'system:apiserver' AND verb = 'list' AND resource = 'limitranges' AND namespace <> '' AND su <> '' AND su NOT LIKE 'system:%' AND (sns = namespace OR (also IS NOT NULL AND sn = namespace)) THEN 90 ELSE 0 END)
++ (CASE WHEN verb IN ('deletecollection', 'get') AND namespace <> '' AND resource IS DISTINCT FROM 'namespaces' AND ((sr = 'namespaces' AND sns = namespace AND sn IS NULL) OR (also = 'namespaces' AND sn = namespace)) THEN 95 ELSE 0 END) AS BIGINT) AS score FROM p""")
+def f06_match_score(spark, sf_dir):
+    user = audit_view(spark, sf_dir).select(F.col("line_idx").alias("_i"), "user_id")
+    rows = stored(spark, labelled_records(spark, sf_dir).join(user, F.col("line_idx") == F.col("_i")).withColumn("trigger", clustering.is_trigger()).select("line_idx", "ts_us", "user_id", "trigger", "username", "verb", "resource", "namespace", "name", *clustering.OPTIONAL), "rows")
+    hour = 3_600_000_000
+    slot = F.floor(F.col("ts_us") / hour)
+    s = rows.filter("trigger").withColumn("slot", slot)
+    s = s.select(*[F.col(c).alias(c if c in ("user_id", "slot") else f"s_{c}") for c in s.columns])
+    o = rows.filter("NOT trigger").withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1)))  # an equi-join on slots of an hour
+    near = o.join(s, ["user_id", "slot"]).filter(F.abs(F.col("ts_us") - F.col("s_ts_us")) <= hour)
+    return near.select("line_idx", F.col("s_line_idx").alias("seed"), clustering.match_score().cast("long").alias("score"))
+
+
+@query(f"""WITH {PROPOSED}, {PARTS}, t AS (SELECT v.label, o.* FROM o JOIN valid v USING (line_idx) WHERE o.is_trigger),
+places AS (SELECT label, concat_ws('|', coalesce(resource, ''), coalesce(namespace, '~'), coalesce(name, '~')) AS place FROM t UNION SELECT label, concat_ws('|', CASE verb WHEN 'create' THEN 'limitranges' ELSE 'namespaces' END, name, '~') FROM t WHERE resource = 'namespaces' AND verb IN ('create', 'delete') AND name <> '')
+SELECT CAST(label AS BIGINT) AS label, count(DISTINCT username) AS users, count(DISTINCT verb) AS verbs, (SELECT count(*) FROM places p WHERE p.label = t.label) AS resources, count(DISTINCT uid) AS uids, count(DISTINCT owner) AS owners, count(DISTINCT inv) AS involved, count(DISTINCT concat_ws('|', claim_ns, claim_name)) FILTER (WHERE claim_ns IS NOT NULL) AS claims FROM t GROUP BY label""")
 def f04_cluster_metadata(spark, sf_dir):
-    place = F.concat_ws("|", "resource", F.coalesce("namespace", F.lit("")), F.coalesce("name", F.lit("")))
-    t = labelled(spark, sf_dir).filter(clustering.is_trigger())
-    return t.groupBy(long("label")).agg(F.size(F.collect_set("username")).cast("long").alias("users"), F.size(F.collect_set("verb")).cast("long").alias("verbs"), F.size(F.collect_set(place)).cast("long").alias("resources"))
+    return clustering.seed_metadata(labelled_records(spark, sf_dir).filter(clustering.is_trigger()))
 
 
 @query()
 def f05_greedy_assign(spark, sf_dir):
-    return clustering.clustered(labelled(spark, sf_dir))
+    return clustering.clustered(stored(spark, labelled_records(spark, sf_dir), "records"))
 
 
-@query(f"WITH {AUDIT} SELECT line_idx, CASE WHEN {rules.control_plane_sql()} IS NOT NULL THEN '2020' ELSE CAST(line_idx AS VARCHAR) END AS cluster FROM audit")
+@query(f"WITH {PROPOSED}, r AS (SELECT *, {rules.control_plane_sql()} AS cp FROM valid) SELECT line_idx, cp IS NOT NULL AS merged FROM r WHERE label IS NOT NULL AND (cp IS NOT NULL OR is_trigger)")
 def f07_cp_merge(spark, sf_dir):
-    return events(spark, sf_dir).select("line_idx", F.when(rules.control_plane_code().isNotNull(), clustering.CONTROL_PLANE).otherwise(F.col("line_idx").cast("string")).alias("cluster"))
+    r = stored(spark, labelled(spark, sf_dir), "records")
+    got = clustering.clustered(r, merge=True)
+    told = r.filter(rules.control_plane_code().isNotNull() | clustering.is_trigger()).select("line_idx")
+    return got.join(told, "line_idx", "left_semi").select("line_idx", (F.col("cluster_id") == clustering.CONTROL_PLANE).alias("merged"))
 
 
 @query(f"WITH {AUDIT}, r AS (SELECT * FROM audit WHERE event_type = 'view'), o AS (SELECT *, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS priority FROM audit WHERE event_type IN ('click', 'purchase')), j AS (SELECT r.line_idx, o.line_idx AS other_idx, abs(o.ts_us - r.ts_us) AS delta_us, row_number() OVER (PARTITION BY r.line_idx ORDER BY abs(o.ts_us - r.ts_us), o.ts_us < r.ts_us, o.priority, o.line_idx) AS place FROM r JOIN o ON r.user_id = o.user_id AND abs(o.ts_us - r.ts_us) <= 3600000000) SELECT line_idx, other_idx, delta_us FROM j WHERE place = 1")
@@ -489,15 +677,16 @@ def f08_heartbeat_nearest(spark, sf_dir):
     return clustering.nearest(e.filter("event_type = 'view'"), others, "user_id", 3_600_000_000)
 
 
-@query(f"WITH {AUDIT} SELECT user_id AS cluster_id, count(*) AS num_lines, arg_min(k, line_idx) AS label, CAST(len(list(line_idx)) AS BIGINT) AS n_indices FROM audit GROUP BY 1")
+@query(f"""WITH {AUDIT} SELECT CAST(user_id AS VARCHAR) AS cluster_id, count(*) AS num_lines, arg_min(k, line_idx) AS label, CAST(len(list(line_idx)) AS BIGINT) AS n_indices, arg_min(concat('{{"username":"', username, '","verb":"', verb, '"}}'), line_idx) AS first_line FROM audit GROUP BY 1""")
 def f09_cluster_table(spark, sf_dir):
-    t = clustering.cluster_table(events(spark, sf_dir).select("line_idx", F.col("user_id").alias("cluster_id"), F.col("k").alias("label")))
-    return t.select("cluster_id", "num_lines", "label", F.size("indices").cast("long").alias("n_indices"))
+    e = events(spark, sf_dir)
+    t = clustering.cluster_table(e.select("line_idx", F.col("user_id").cast("string").alias("cluster_id"), F.col("k").alias("label")), e.select("line_idx", "username", "verb"))
+    return t.groupBy("cluster_id", "num_lines", "label").agg(F.sum(F.size("indices")).cast("long").alias("n_indices"), F.min_by(F.get("lines", 0), "part").alias("first_line"))
 
 
 @query()
 def f10_cluster_log(spark, sf_dir):
-    return clustering.heartbeats(labelled(spark, sf_dir), clustering.clustered(labelled(spark, sf_dir), merge=True))
+    return clustering.cluster_log(stored(spark, labelled_records(spark, sf_dir).drop("proposal"), "records"), merge=True)
 
 
 # G: evaluation
@@ -514,9 +703,9 @@ def g01_core_metrics(spark, sf_dir):
     return metrics.core_metrics(pairs(spark, sf_dir)).select(*[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 
-@query(f"WITH {PAIRS} SELECT actual AS class, round(avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END), 9) AS accuracy, count(*) AS weight FROM pairs GROUP BY 1")
+@query(f"WITH {PAIRS}, a AS (SELECT actual AS class, sum(n) AS weight, sum(CASE WHEN actual = predicted THEN n ELSE 0 END) AS tp, count(*) AS kinds FROM n GROUP BY 1) SELECT class, round(tp / weight, 9) AS accuracy, round((CASE WHEN tp > 0 THEN 1.0 ELSE 0.0 END) / kinds, 9) AS precision, round(tp / weight, 9) AS recall, round(2 * (tp / weight) / (1 + tp / weight) / (kinds + CASE WHEN tp > 0 THEN 0 ELSE 1 END), 9) AS f1, CAST(weight AS BIGINT) AS weight FROM a")
 def g02_per_class_metrics(spark, sf_dir):
-    return metrics.true_class_metrics(pairs(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 9))
+    return metrics.true_class_metrics(pairs(spark, sf_dir)).select("class", *[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "f1")], "weight")
 
 
 @query(f"WITH {PAIRS} SELECT actual, predicted, n, round(n / sum(n) OVER (PARTITION BY actual), 9) AS share FROM n")
@@ -532,11 +721,13 @@ def g04_cohen_kappa(spark, sf_dir):
     return metrics.kappa(pairs(spark, sf_dir)).select(*[F.round(c, 9).alias(c) for c in ("p_o", "p_e", "kappa")])
 
 
-@query(f"WITH c AS (SELECT unnest(['quality', 'toxic']) AS component, unnest([quality, toxic]) AS actual, unnest([toxic, quality]) AS predicted FROM labels), n AS (SELECT component, actual, predicted, count(*) AS n FROM c GROUP BY ALL), {KAPPA.format(k='component,', g='GROUP BY component')} SELECT component, round((same / total - both_ / (total * total)) / (1 - both_ / (total * total)), 9) AS kappa FROM t JOIN b USING (component)")
+@query(f"""WITH {PROPOSED}, ok AS (SELECT DISTINCT type_id * 100 + sub_id AS known FROM catalog), b AS (SELECT label AS x, CASE WHEN line_idx % 7 = 0 THEN 17808 WHEN line_idx % 11 = 0 THEN 61632 ELSE label END AS y FROM labelled WHERE label >= 0),
+q AS (SELECT * FROM b WHERE x // 4096 * 100 + x // 512 % 8 + 8 * (x % 16) IN (SELECT known FROM ok) AND y // 4096 * 100 + y // 512 % 8 + 8 * (y % 16) IN (SELECT known FROM ok)),
+c AS (SELECT unnest(['type_id', 'sub_id', 'is_namespaced', 'is_single', 'verb_id']) AS component, unnest([x // 4096, x // 512 % 8 + 8 * (x % 16), x // 256 % 2, x // 128 % 2, x // 16 % 8]) AS actual, unnest([y // 4096, y // 512 % 8 + 8 * (y % 16), y // 256 % 2, y // 128 % 2, y // 16 % 8]) AS predicted FROM q),
+n AS (SELECT component, actual, predicted, count(*) AS n FROM c GROUP BY ALL), {KAPPA.format(k='component,', g='GROUP BY component')} SELECT component, round((same / total - both_ / (total * total)) / (1 - both_ / (total * total)), 9) AS kappa FROM t JOIN b USING (component)""".replace("b AS (SELECT label AS x", "pair AS (SELECT label AS x").replace("SELECT * FROM b WHERE x", "SELECT * FROM pair WHERE x"))
 def g05_component_kappa(spark, sf_dir):
-    l = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    c = l.select(F.explode(F.array(F.struct(F.lit("quality").alias("component"), F.col("quality").alias("actual"), F.col("toxic").alias("predicted")), F.struct(F.lit("toxic").alias("component"), F.col("toxic").alias("actual"), F.col("quality").alias("predicted")))).alias("x")).select("x.*")
-    return metrics.kappa(c, ["component"]).select("component", F.round("kappa", 9).alias("kappa"))
+    p = labelled(spark, sf_dir).filter("label >= 0").select(F.col("label").alias("actual"), F.expr("CASE WHEN line_idx % 7 = 0 THEN 17808 WHEN line_idx % 11 = 0 THEN 61632 ELSE label END").alias("predicted"))
+    return metrics.component_kappa(p).select("component", F.round("kappa", 9).alias("kappa"))
 
 
 @query(f"WITH {VOTES}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, label) AS place FROM v) SELECT count(*) AS total, CAST(count_if(label = k % 5) AS BIGINT) AS correct FROM r WHERE place = 1")
@@ -544,14 +735,26 @@ def g06_majority_accuracy(spark, sf_dir):
     return sequence.majority(predictions(spark, sf_dir)).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("predicted") == F.col("k") % 5).alias("correct"))
 
 
-CLUSTERINGS = "g AS (SELECT event_id AS i, CAST(event_id // 7 AS VARCHAR) AS gt FROM events), f AS (SELECT event_id AS i, CAST(event_id // 5 AS VARCHAR) AS pred FROM events WHERE event_id % 31 <> 0)"
+CLUSTERINGS = "g AS (SELECT event_id AS i, CAST(event_id // 7 AS VARCHAR) AS gt FROM events), f AS (SELECT event_id AS i, CAST(event_id // 5 AS VARCHAR) AS pred FROM events WHERE event_id % 31 <> 0 AND event_id % 700 > 13)"
 
 
-@query(f"WITH {CLUSTERINGS}, c AS (SELECT gt, coalesce(pred, 'MISSING') AS pred, count(*) AS n FROM g LEFT JOIN f USING (i) GROUP BY 1, 2), s AS (SELECT pred, count(*) AS size_ FROM f GROUP BY 1), b AS (SELECT gt, CAST(sum(n) AS BIGINT) AS size, count(*) AS parts, max(CASE WHEN coalesce(size_, n) > n THEN 1 ELSE 0 END) AS shared FROM c LEFT JOIN s USING (pred) GROUP BY gt) SELECT gt, size, parts, CASE WHEN parts = 1 AND shared = 0 THEN 'perfect' WHEN parts = 1 THEN 'merge' WHEN shared = 0 THEN 'split' ELSE 'split_and_merge' END AS category FROM b")
-def g07_compare_clusterings(spark, sf_dir):
+CELLS = f"{CLUSTERINGS}, c AS (SELECT gt, coalesce(pred, 'MISSING') AS pred, count(*) AS shared FROM g LEFT JOIN f USING (i) GROUP BY 1, 2), s AS (SELECT pred, count(*) AS pred_size FROM f GROUP BY 1), u AS (SELECT pred, count(*) AS claims FROM c WHERE pred <> 'MISSING' GROUP BY 1)"
+
+
+def two_clusterings(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("line_idx"))
     by = lambda n: F.floor(F.col("line_idx") / n).cast("string").alias("cluster")
-    return metrics.compare_clusterings(e.select("line_idx", by(7)), e.filter("line_idx % 31 <> 0").select("line_idx", by(5))).drop("shared")
+    return e.select("line_idx", by(7)), e.filter("line_idx % 31 <> 0 AND line_idx % 700 > 13").select("line_idx", by(5))
+
+
+@query(f"WITH {CELLS}, b AS (SELECT gt, CAST(sum(shared) AS BIGINT) AS size, count(*) AS parts, max(CASE WHEN claims > 1 THEN 1 ELSE 0 END) AS merged, max(pred_size) AS found FROM c LEFT JOIN s USING (pred) LEFT JOIN u USING (pred) GROUP BY gt) SELECT gt, size, parts, CASE WHEN parts = 1 AND merged = 0 AND found = size THEN 'perfect' WHEN parts = 1 THEN 'merge' WHEN merged = 0 THEN 'split' ELSE 'split_and_merge' END AS category FROM b")
+def g07_compare_clusterings(spark, sf_dir):
+    return metrics.compare_clusterings(*two_clusterings(spark, sf_dir)).drop("shared")
+
+
+@query(f"WITH {CELLS}, z AS (SELECT gt, sum(shared) AS gt_size FROM c GROUP BY 1) SELECT gt, pred, shared, round(100 * shared / gt_size, 2) AS percent_gt, round(100 * shared / coalesce(pred_size, shared), 2) AS percent_pred FROM c JOIN z USING (gt) LEFT JOIN s USING (pred)")
+def g07_distribution(spark, sf_dir):
+    return metrics.cluster_cells(*two_clusterings(spark, sf_dir)).select("gt", "pred", "shared", "percent_gt", "percent_pred")
 
 
 @query("WITH c AS (SELECT user_id AS label, event_type, count(*) AS num_lines FROM events GROUP BY 1, 2), m AS (SELECT label, avg(num_lines) AS mean FROM c GROUP BY 1), b AS (SELECT CASE WHEN mean <= 1 THEN '1' WHEN mean < 5 THEN '(1,5)' WHEN mean < 10 THEN '[5,10)' WHEN mean < 20 THEN '[10,20)' WHEN mean < 50 THEN '[20,50)' ELSE '>=50' END AS bin, count(*) AS n FROM m GROUP BY 1) SELECT bin, n, round(100 * n / sum(n) OVER (), 6) AS percent FROM b")
@@ -566,30 +769,29 @@ def g09_cluster_size_curve(spark, sf_dir):
     return windows.row_numbers(c, "n").select((F.col("i") + 1).alias("place"), "n")
 
 
-@query("WITH r AS (SELECT event_type, user_id AS class, avg(value) AS accuracy, count(*) AS weight FROM events GROUP BY 1, 2), b AS (SELECT class, sum(accuracy * weight) / sum(weight) AS accuracy, avg(weight) AS weight FROM r GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY round(accuracy * weight, 6) DESC, class) AS top FROM b) SELECT class, round(accuracy, 6) AS accuracy, round(weight, 6) AS weight, top FROM o WHERE top <= 10")
+@query("WITH r AS (SELECT event_type, user_id AS class, avg(value) AS accuracy, count(*) AS weight FROM events GROUP BY 1, 2), b AS (SELECT class, sum(accuracy * weight) / sum(weight) AS accuracy, avg(weight) AS weight FROM r GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY round(accuracy * weight, 6) DESC, class) AS top, row_number() OVER (ORDER BY round(accuracy * weight, 6), class DESC) AS bottom FROM b), p AS (SELECT 'top' AS part, * FROM o WHERE top <= 10 UNION ALL SELECT 'bottom', * FROM o WHERE bottom <= 10 UNION ALL SELECT 'outlier', * FROM o WHERE weight > 15 OR accuracy < 40) SELECT part, class, round(accuracy, 6) AS accuracy, round(weight, 6) AS weight FROM p")
 def g10_class_accuracy_weighted(spark, sf_dir):
     r = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type", F.col("user_id").alias("class")).agg(F.avg("value").alias("accuracy"), F.count(F.lit(1)).alias("weight"))
-    b = r.groupBy("class").agg((F.sum(F.col("accuracy") * F.col("weight")) / F.sum("weight")).alias("accuracy"), F.avg("weight").alias("weight"))
-    top = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("accuracy") * F.col("weight"), 6)), "class")).cast("long")
-    return b.withColumn("top", top).filter("top <= 10").select("class", F.round("accuracy", 6).alias("accuracy"), F.round("weight", 6).alias("weight"), "top")
+    return metrics.weighted_accuracy(r, heavy=15, low=40.0).select("part", "class", F.round("accuracy", 6).alias("accuracy"), F.round("weight", 6).alias("weight"))
 
 
-@query("WITH r AS (SELECT user_id % 39 AS missing, avg(value) AS precision FROM events GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY round(precision, 6) DESC, missing) AS top, row_number() OVER (ORDER BY round(precision, 6), missing) AS bottom FROM r) SELECT CASE WHEN top <= 5 OR bottom <= 5 THEN CAST(missing AS VARCHAR) ELSE 'rest' END AS feature, round(avg(precision), 6) AS precision FROM o GROUP BY 1")
+@query("WITH r AS (SELECT user_id % 40 AS run, avg(value) AS p FROM events GROUP BY 1), o AS (SELECT concat('f', run) AS feature, p, row_number() OVER (ORDER BY round(p, 9) DESC, concat('f', run)) AS top, row_number() OVER (ORDER BY round(p, 9), concat('f', run) DESC) AS bottom FROM r WHERE run < 39) SELECT feature, round(p, 6) AS value FROM o WHERE top <= 5 OR bottom <= 5 UNION ALL SELECT 'All features', round(p, 6) FROM r WHERE run = 39 UNION ALL SELECT 'Average', round(avg(p), 6) FROM o WHERE top > 5")
 def g11_feature_ablation(spark, sf_dir):
-    r = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy((F.col("user_id") % 39).alias("missing")).agg(F.avg("value").alias("precision"))
-    p = F.round("precision", 6)
-    o = r.withColumns({"top": F.row_number().over(Window.orderBy(F.desc(p), "missing")), "bottom": F.row_number().over(Window.orderBy(p, "missing"))})
-    return o.groupBy(F.when((F.col("top") <= 5) | (F.col("bottom") <= 5), F.col("missing").cast("string")).otherwise("rest").alias("feature")).agg(F.round(F.avg("precision"), 6).alias("precision"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 40).alias("run"), F.col("value").alias("precision"))
+    names = F.array(*[F.concat(F.lit("f["), F.lit(str(k)), F.lit("]")) for k in range(39)])
+    runs = e.withColumn("features", F.array_except(names, F.array(F.concat(F.lit("f["), F.col("run").cast("string"), F.lit("]")))))
+    return metrics.ablation(runs).select("feature", F.round("value", 6).alias("value"))
 
 
-LOG = "concat('fold ', CAST(event_id % 20 AS VARCHAR(9)), ' accuracy 0.', CAST(900 + event_id % 99 AS VARCHAR(9)), ' K=', CAST(5 + user_id % 9 AS VARCHAR(9)))"
+LOG = "CASE WHEN event_id % 14 = 0 OR event_id % 45 = 0 THEN '' WHEN event_id % 14 = 1 THEN concat('STATISTICS_ATTEMPTS: ', CAST(event_id % 9 + 2 AS VARCHAR(9))) WHEN event_id % 3 = 0 OR event_id % 200 < 100 THEN concat('Accuracy on labeled: 0.', CAST(900 + event_id % 99 AS VARCHAR(9)), ' (errors: ', CAST(event_id % 17 AS VARCHAR(9)), ')') ELSE 'another line' END"
 
 
-@query(f"WITH l AS (SELECT event_id, {LOG} AS line FROM events), p AS (SELECT CAST(regexp_extract(line, 'K=([0-9]+)', 1) AS BIGINT) AS k, CAST(regexp_extract(line, 'accuracy ([0-9.]+)', 1) AS DOUBLE) AS accuracy FROM l) SELECT k, count(*) AS trials, round(avg(accuracy), 9) AS mean FROM p GROUP BY k HAVING count(*) >= 5")
+@query(f"""WITH l AS (SELECT event_id, {LOG} AS line FROM events), b AS (SELECT *, CAST(sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS BIGINT) AS run FROM l),
+r AS (SELECT run, max(CASE WHEN contains(line, 'STATISTICS_ATTEMPTS') THEN CAST(string_split(line, ': ')[2] AS BIGINT) END) AS attempts, count(CASE WHEN contains(line, 'Accuracy on labeled') THEN 1 END) AS trials, avg(CASE WHEN contains(line, 'Accuracy on labeled') THEN CAST(string_split(string_split(line, ': ')[2], ' ')[1] AS DOUBLE) END) AS mean FROM b GROUP BY run)
+SELECT run, attempts, trials, round(mean, 9) AS mean FROM r WHERE trials > 4 AND trials <= 10""")
 def g12_kfold_parse(spark, sf_dir):
-    l = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(LOG.replace("VARCHAR(9)", "STRING")).alias("line"))
-    p = l.select(F.regexp_extract("line", "K=([0-9]+)", 1).cast("long").alias("k"), F.regexp_extract("line", "accuracy ([0-9.]+)", 1).cast("double").alias("accuracy"))
-    return p.groupBy("k").agg(F.count(F.lit(1)).alias("trials"), F.round(F.avg("accuracy"), 9).alias("mean")).filter("trials >= 5")
+    l = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("line_idx"), F.expr(LOG.replace("VARCHAR(9)", "STRING")).alias("line"))
+    return metrics.kfold_runs(l).withColumn("mean", F.round("mean", 9))
 
 
 @query("SELECT user_id % 4 AS test, " + ", ".join(f"round(avg(CASE WHEN event_id % 3 = {k} THEN value END), 6) AS v{k}" for k in range(3)) + " FROM events GROUP BY 1")
@@ -605,10 +807,10 @@ def g14_run_means(spark, sf_dir):
     return metrics.run_means(h).select("metric", long("epoch"), F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "runs")
 
 
-@query("SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3 FROM events GROUP BY 1")
+@query("WITH r AS (SELECT user_id AS run, unnest(['accuracy', 'precision', 'recall', 'f1']) AS metric, unnest([avg(value), min(value), max(value), avg(event_id % 97)]) AS v FROM events GROUP BY user_id) SELECT metric, round(min(v), 6) AS low, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3, round(max(v), 6) AS high FROM r GROUP BY 1")
 def g15_core_metric_box(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.groupBy("event_type").agg(*[F.round(F.percentile("value", q), 6).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("user_id").alias("run")).agg(F.avg("value").alias("accuracy"), F.min("value").alias("precision"), F.max("value").alias("recall"), F.avg(F.col("event_id") % 97).alias("f1"))
+    return metrics.metric_boxes(e).select("metric", *[F.round(c, 6).alias(c) for c in ("low", "q1", "median", "q3", "high")])
 
 
 @query(f"WITH {PAIRS}, s AS (SELECT *, n / sum(n) OVER (PARTITION BY actual) AS share, CAST(sum(n) OVER (PARTITION BY actual) AS BIGINT) AS weight FROM n), d AS (SELECT actual FROM s WHERE actual = predicted AND share >= 0.9999) SELECT actual, predicted, weight, round(share, 9) AS share FROM s WHERE actual NOT IN (SELECT actual FROM d)")
@@ -648,12 +850,20 @@ def g21_cluster_detail(spark, sf_dir):
 
 # H: detection rules
 
-DETECT = rules.detection_rules(allowed_users=("user-6", "user-14"))
+PERSON = "username NOT LIKE 'system:%'"
+MADE = "stage = 'ResponseComplete' AND code BETWEEN 200 AND 299"
 
 
-@query(f"WITH {AUDIT} " + " UNION ALL ".join(f"SELECT line_idx, '{n}' AS rule FROM audit WHERE {p}" for n, p in DETECT))
+@query(f"""WITH {AUDIT}, pairs(rule, resource, verb) AS (SELECT concat('K8s ', kind, ' ', done), res, v FROM (VALUES ('Deployment', 'deployments'), ('Service', 'services'), ('ConfigMap', 'configmaps'), ('Namespace', 'namespaces'), ('Serviceaccount', 'serviceaccounts'), ('Role', 'roles'), ('ClusterRole', 'clusterroles'), ('RoleBinding', 'rolebindings'), ('ClusterRoleBinding', 'clusterrolebindings'), ('Secret', 'secrets')) k(kind, res), (VALUES ('Created', 'create'), ('Deleted', 'delete')) d(done, v))
+SELECT line_idx, 'Disallowed K8s User' AS rule FROM audit WHERE stage = 'ResponseComplete' AND {PERSON} AND username NOT IN ('admin', 'kubelet')
+UNION ALL SELECT line_idx, 'Attach/Exec Pod' FROM audit WHERE stage = 'ResponseStarted' AND resource = 'pods' AND verb = 'create' AND subresource IN ('exec', 'attach')
+UNION ALL SELECT line_idx, 'Create Disallowed Namespace' FROM audit WHERE stage = 'ResponseComplete' AND resource = 'namespaces' AND verb = 'create' AND coalesce(name, '') NOT IN ('kube-system', 'kube-public', 'default')
+UNION ALL SELECT line_idx, 'Pod Created in Kube Namespace' FROM audit WHERE stage = 'ResponseComplete' AND resource = 'pods' AND subresource IS NULL AND verb = 'create' AND namespace IN ('kube-system', 'kube-public')
+UNION ALL SELECT line_idx, 'Service Account Created in Kube Namespace' FROM audit WHERE {MADE} AND resource = 'serviceaccounts' AND verb = 'create' AND namespace IN ('kube-system', 'kube-public') AND coalesce(name, '') NOT IN ('generic-garbage-collector', 'resourcequota-controller')
+UNION ALL SELECT line_idx, p.rule FROM audit a JOIN pairs p ON a.resource = p.resource AND a.verb = p.verb WHERE {MADE} AND (p.rule <> 'K8s Namespace Deleted' OR {PERSON}) AND (p.resource <> 'secrets' OR ({PERSON} AND namespace <> 'kube-system'))
+UNION ALL SELECT line_idx, CASE WHEN code BETWEEN 200 AND 299 THEN 'K8s Secret Get Successfully' ELSE 'K8s Secret Get Unsuccessfully Tried' END FROM audit WHERE stage = 'ResponseComplete' AND resource = 'secrets' AND verb = 'get'""")
 def h00_detection_rules(spark, sf_dir):
-    return events(spark, sf_dir).select("line_idx", F.explode(rules.detected(DETECT)).alias("rule"))
+    return rules.with_spec(events(spark, sf_dir)).select("line_idx", F.explode(rules.detected(rules.detection_rules())).alias("rule"))
 
 
 # Streaming

@@ -36,12 +36,8 @@ def read_audit_jsonl(spark: SparkSession, paths: str | list[str], strict: bool =
 
 
 def has_path(raw: str, *keys: str) -> F.Column:
-    """True if the keys lead somewhere, JSON null included."""
-    at = F.lit(True)
-    for k in range(len(keys)):
-        inner = F.try_variant_get(raw, "$" + "".join(f"['{x}']" for x in keys[:k]), "map<string,variant>")
-        at = at & F.coalesce(F.map_contains_key(inner, keys[k]), F.lit(False))
-    return at
+    """True if the keys lead somewhere, JSON null included: that is a value there, other than what is missing."""
+    return F.try_variant_get(raw, "$" + "".join(f"['{x}']" for x in keys), "variant").isNotNull()
 
 
 def envelope(records: DataFrame) -> DataFrame:
@@ -57,14 +53,43 @@ def envelope(records: DataFrame) -> DataFrame:
     return out.withColumns({"ts_us": F.unix_micros(F.try_to_timestamp("received_raw")), "user_groups": F.concat(F.lit(","), F.array_join(F.coalesce("groups", F.array().cast("array<string>")), ","), F.lit(","))})
 
 
+def tolerant(lines: DataFrame) -> DataFrame:
+    """Records of lines (line_idx, value) with a readable timestamp; blank and malformed ones are left out."""
+    return envelope(parsed(lines)).filter(F.col("ts_us").isNotNull())
+
+
+def clusterized(lines: DataFrame) -> DataFrame:
+    """As tolerant(), with cluster ids; records without one are left out."""
+    return tolerant(lines).withColumn("cluster_id", F.try_variant_get("raw", "$.uuid_new", "string")).filter(F.col("cluster_id").isNotNull())
+
+
 def read_tolerant(spark: SparkSession, paths) -> DataFrame:
-    """Records with a readable timestamp; blank and malformed lines are left out."""
-    return read_audit_jsonl(spark, paths, strict=False).filter(F.col("ts_us").isNotNull())
+    return tolerant(spark.read.text(paths).withColumn("line_idx", F.monotonically_increasing_id())).drop("value")
+
+
+def optional(records: DataFrame) -> DataFrame:
+    """Adds what only some records have: uid, owner_uids (owners may be a list or one object), involved and claim."""
+    from ..functions.scalars import uid
+
+    def part(path: str, *keys: str):
+        some = F.schema_of_variant(F.try_variant_get("raw", path, "variant")).startswith("OBJECT<") & (F.to_json(F.try_variant_get("raw", path, "variant")) != "{}")
+        return F.when(some, F.struct(*[F.try_variant_get("raw", f"{path}.{k}", "string").alias(k) for k in keys]))
+
+    owners = "$.responseObject.metadata.ownerReferences"
+    listed = F.transform(F.try_variant_get("raw", owners, "array<variant>"), lambda o: F.try_variant_get(o, "$.uid", "string"))
+    alone = F.array(F.try_variant_get("raw", owners + ".uid", "string"))
+    return records.withColumns(
+        {
+            "uid": uid(),
+            "owner_uids": F.array_compact(F.coalesce(listed, alone)),
+            "involved": part("$.responseObject.involvedObject", "kind", "namespace", "name", "resource"),
+            "claim": part("$.responseObject.spec.claimRef", "kind", "namespace", "name"),
+        }
+    )
 
 
 def read_clusterized(spark: SparkSession, paths) -> DataFrame:
-    """As read_tolerant, with cluster ids; records without one are left out."""
-    return read_tolerant(spark, paths).withColumn("cluster_id", F.try_variant_get("raw", "$.uuid_new", "string")).filter(F.col("cluster_id").isNotNull())
+    return clusterized(spark.read.text(paths).withColumn("line_idx", F.monotonically_increasing_id())).drop("value")
 
 
 def write_jsonl(records: DataFrame, path: str, order: str = "received_raw") -> None:
@@ -72,6 +97,19 @@ def write_jsonl(records: DataFrame, path: str, order: str = "received_raw") -> N
     records.orderBy(order, "line_idx").select(F.to_json("raw").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_labelled(records: DataFrame, predictions: DataFrame, path: str, order: str = "received_raw") -> None:
+    """The records with predicted_label (null without a prediction) beside what they hold, as JSON lines in order. predictions: line_idx, predicted."""
+    rows = records.join(predictions.select("line_idx", "predicted"), "line_idx", "left").orderBy(order, "line_idx")
+    text = F.to_json("raw")
+    shown = F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(',"predicted_label":'), F.coalesce(F.col("predicted").cast("string"), F.lit("null")), F.lit("}"))
+    rows.select(shown.alias("value")).write.mode("overwrite").text(path)
+
+
+def cut_log(lines: DataFrame) -> DataFrame:
+    """What is left of a log that was cut anywhere: the lines that are whole JSON objects, however compressed the files were."""
+    return lines.filter(F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False)))
+
+
 #: The view of the events table: steps of (column, expression); {K} and {US} differ between engines.
 VIEW = [
     [("line_idx", "event_id"), ("ts_us", "{US}"), ("k", "{K}"), ("user_id", "user_id"), ("event_type", "event_type"), ("value", "value")],
@@ -96,14 +134,21 @@ VIEW = [
     ],
     [("uri", "CASE WHEN line_idx % 101 = 0 THEN '/readyz' WHEN line_idx % 103 = 0 THEN '/api/v1' WHEN line_idx % 107 = 0 THEN '/healthz' WHEN api_group IS NULL THEN concat('/api/v1/', resource, CASE WHEN verb = 'watch' THEN '?watch=1' ELSE '' END) ELSE concat('/apis/', api_group, '/v1/', resource) END")],
 ]
-SPARK = {"K": "CAST(get_json_object(props, '$.k') AS INT)", "US": "unix_micros(CAST(ts AS TIMESTAMP))"}
-DUCK = {"K": "CAST(json_extract_string(props, '$.k') AS INTEGER)", "US": "epoch_us(ts)"}
+RAW = """concat('{{"verb":"', verb, '","stage":"', stage, '","requestURI":"', uri, '","requestReceivedTimestamp":"', {TS}, '","userAgent":"tool-', CAST(user_id AS VARCHAR(9)), '/v1 (linux/amd64) kubernetes/abc","user":{{"username":"', username, '","groups":["system:authenticated","g', CAST(user_id % 3 AS VARCHAR(9)), '"]}}', CASE WHEN has_ref THEN concat(',"objectRef":{{"resource":"', resource, '"', CASE WHEN subresource IS NOT NULL THEN concat(',"subresource":"', subresource, '"') ELSE '' END, CASE WHEN NOT has_namespace_key THEN '' WHEN namespace IS NULL THEN ',"namespace":null' ELSE concat(',"namespace":"', namespace, '"') END, CASE WHEN name IS NOT NULL THEN concat(',"name":"', name, '"') ELSE '' END, CASE WHEN api_group IS NOT NULL THEN concat(',"apiGroup":"', api_group, '"') ELSE '' END, ',"apiVersion":"v1"}}') ELSE '' END, ',"annotations":{{"authorization.k8s.io/decision":"', decision, '"}},"responseStatus":{{"code":', CAST(code AS VARCHAR(9)), CASE WHEN line_idx % 4 = 3 THEN concat(',"details":{{"uid":"uid-', CAST(k AS VARCHAR(9)), '"}}') ELSE '' END, '}},"responseObject":{{"kind":"K', CAST(k % 5 AS VARCHAR(9)), '","metadata":{{"name":"m"', CASE WHEN line_idx % 4 = 0 THEN concat(',"uid":"uid-', CAST(k AS VARCHAR(9)), '"') WHEN line_idx % 4 = 1 THEN ',"uid":null' ELSE '' END, CASE WHEN line_idx % 6 = 1 THEN concat(',"ownerReferences":[{{"uid":"uid-', CAST((k + 1) % 100 AS VARCHAR(9)), '"}},{{"kind":"x"}}]') WHEN line_idx % 6 = 4 THEN concat(',"ownerReferences":{{"uid":"uid-', CAST((k + 2) % 100 AS VARCHAR(9)), '"}}') ELSE '' END, '}}', CASE WHEN line_idx % 4 <> 3 THEN concat(',"details":{{"uid":"det-', CAST(k AS VARCHAR(9)), '"}}') ELSE '' END, CASE WHEN line_idx % 9 = 2 THEN concat(',"involvedObject":{{"kind":"Pod","namespace":"default","name":"obj-', CAST(k AS VARCHAR(9)), '","resource":"pods","uid":"z"}}') ELSE '' END, CASE WHEN line_idx % 15 = 4 THEN concat(',"spec":{{"claimRef":{{"kind":"PersistentVolumeClaim","namespace":"team-', CAST(k % 4 AS VARCHAR(9)), '","name":"obj-', CAST(k AS VARCHAR(9)), '"}}}}') ELSE '' END, '}}}}')"""
+VIEW.append([("line", RAW)])
+SPARK = {"K": "CAST(get_json_object(props, '$.k') AS INT)", "US": "unix_micros(CAST(ts AS TIMESTAMP))", "TS": "concat(date_format(timestamp_micros(ts_us), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\"), 'Z')"}
+DUCK = {"K": "CAST(json_extract_string(props, '$.k') AS INTEGER)", "US": "epoch_us(ts)", "TS": "concat(strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%f'), 'Z')"}
 
 
-def audit_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table in the shape of audit records."""
+def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as lines of a log: line_idx, value (JSON)."""
+    return audit_view(spark, sf_dir, True).select("line_idx", F.col("line").alias("value"))
+
+
+def audit_view(spark: SparkSession, sf_dir: str, lines: bool = False) -> DataFrame:
+    """The events table in the shape of audit records; lines: with the JSON of each."""
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
-    for k, step in enumerate(VIEW):
+    for k, step in enumerate(VIEW if lines else VIEW[:-1]):
         columns = [f"{e.format(**SPARK).replace('VARCHAR(9)', 'STRING')} AS {c}" for c, e in step]
         df = df.selectExpr(*columns) if k == 0 else df.selectExpr("*", *columns)
     return df

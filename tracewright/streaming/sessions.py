@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def gap_sessions(stream: DataFrame, key: str, gap: str = "300 seconds", late: str = "300 seconds") -> DataFrame:
     """key, start, stop and size of each run of events with no gap beyond the limit; state is one row per open run."""
@@ -19,8 +20,7 @@ def replayed(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     top, name = path.rsplit("/", 1)
     source = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(top).withColumn("ts", F.col("ts").cast("timestamp"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    out = f"{base}/sessions-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
     q = gap_sessions(source, "event_type").writeStream.outputMode("append").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).format("parquet").start(out)
     q.awaitTermination()
     return spark.read.schema("event_type string, start timestamp, stop timestamp, n long").parquet(out)
