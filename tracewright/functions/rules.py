@@ -194,7 +194,7 @@ def spec_columns(raw: str = "raw") -> dict[str, Column]:
         return F.array_compact(F.flatten(F.filter(F.transform(at("$.requestObject.rules", "array<variant>"), lambda v: F.try_variant_get(v, inner, "array<string>")), lambda x: x.isNotNull())))
 
     return {
-        "images": F.transform(each(f"{spec}.containers", "$.image", "string"), lambda x: F.regexp_replace(x, "(@.*|:[^/:]*)$", "")),
+        "images": F.transform(each(f"{spec}.containers", "$.image", "string"), lambda x: F.regexp_replace(x, "(:[^/:@]*)?(@.*)?$", "")),
         "privileged": each(f"{spec}.containers", "$.securityContext.privileged", "boolean"),
         "host_paths": each(f"{spec}.volumes", "$.hostPath.path", "string"),
         "host_network": at(f"{spec}.hostNetwork", "boolean"),

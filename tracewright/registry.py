@@ -115,7 +115,7 @@ def a02_read_tolerant(spark, sf_dir):
 
 @query(f"WITH {AUDIT} SELECT line_idx, concat('c', CAST(user_id AS VARCHAR)) AS cluster, username FROM audit WHERE line_idx % 5 <> 0")
 def a03_read_clusterized(spark, sf_dir):
-    lines = audit.audit_view(spark, sf_dir, True)
+    lines = stored(spark, audit.audit_view(spark, sf_dir, True).select("line_idx", "line", "user_id"), "lines")
     with_id = F.concat(F.substring("line", F.lit(1), F.length("line") - 1), F.lit(',"uuid_new":"c'), F.col("user_id").cast("string"), F.lit('"}'))
     value = F.when(F.col("line_idx") % 5 == 0, F.col("line")).otherwise(with_id)
     return audit.clusterized(lines.select("line_idx", value.alias("value"))).select("line_idx", F.col("cluster_id").alias("cluster"), "username")

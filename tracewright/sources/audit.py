@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: Columns of a record and the path of each in the payload.
 ENVELOPE = {
     "uri": "$.requestURI",
@@ -141,8 +143,8 @@ DUCK = {"K": "CAST(json_extract_string(props, '$.k') AS INTEGER)", "US": "epoch_
 
 
 def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as lines of a log: line_idx, value (JSON)."""
-    return audit_view(spark, sf_dir, True).select("line_idx", F.col("line").alias("value"))
+    """The events table as lines of a log: line_idx, value (JSON); stored, as a log is."""
+    return stored(spark, audit_view(spark, sf_dir, True).select("line_idx", F.col("line").alias("value")), "lines")
 
 
 def audit_view(spark: SparkSession, sf_dir: str, lines: bool = False) -> DataFrame:
