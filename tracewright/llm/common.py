@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import math
 import os
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_dir, ship, stored  # noqa: F401 (the operators take them from here)
 
 #: Bytes of text that one group of the chunked operators holds, and the fewest groups.
 CHUNK_BYTES, LEAST_CHUNKS = 8 << 20, 64
@@ -48,25 +45,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own where the session names none and all runs on this machine, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="checkpoints-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read back; cuts lineage and survives lost executors."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unused(docs: DataFrame, name: str) -> str:
     """The name, with marks behind it until no column of docs is called so (names don't tell cases apart)."""
     taken = {c.lower() for c in docs.columns}
