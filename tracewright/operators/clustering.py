@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels, rules
-from ..session import ship
+from ..session import ship, stored
 from ..sources.audit import optional
 from . import windows
 
@@ -186,27 +187,40 @@ def clustered(records: DataFrame, merge: bool = False, limit_us: int = windows.L
     which holds at most `most` rows with a timestamp. A record without a timestamp belongs to the window that it
     stands in; between two windows it belongs to none and its cluster_id is null.
     """
-    import pandas as pd
-
-    ship(records.sparkSession)
+    spark = records.sparkSession
+    ship(spark)
+    wanted = ["line_idx", "label", "ts_us", "trigger", "cp", "username", "verb", "resource", "namespace", "name", *OPTIONAL]
     marked = trivial(with_optional(records.filter(F.col("label").isNotNull()).withColumns({"trigger": is_trigger(), "cp": rules.control_plane_code()})))
+    marked = stored(spark, marked.select(*wanted, "case"), "marked")
     merged = F.lit(merge) & F.col("cp").isNotNull()
     easy = marked.filter("case <> 'fold'").select("line_idx", "label", F.when(merged, CONTROL_PLANE).otherwise(F.col("line_idx").cast("string")).alias("first"))
     open_ = marked.filter("case = 'fold'")
-    found = windows.anchored_windows(open_, ["label"], limit_us=limit_us, most=most).drop("label")
+    found = windows.anchored_windows(open_.select("line_idx", "label", "ts_us"), ["label"], limit_us=limit_us, most=most).drop("label")
+    rest = open_.join(found, "line_idx", "left").select(*wanted, "window_start")
+    schema = pa.schema([("line_idx", pa.int64()), ("label", pa.int32()), ("first", pa.string())])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("line_idx").astype(object).where(lambda d: d.notna(), None).to_dict("records")
-        for r in rows:
-            r["owner_uids"] = [] if r["owner_uids"] is None else list(r["owner_uids"])
+    def assigned(window: list[dict]) -> list[tuple]:
+        for r in window:
+            r["owner_uids"] = r["owner_uids"] or []
             for c in ("involved", "claim"):
-                r[c] = tuple(r[c].values()) if isinstance(r[c], dict) else r[c]
-        got = assign(rows, merge)
-        return pd.DataFrame({"line_idx": list(got), "label": int(pdf["label"].iloc[0]), "first": list(got.values())})
-
-    wanted = ["line_idx", "label", "window_start", "ts_us", "trigger", "cp", "username", "verb", "resource", "namespace", "name", *OPTIONAL]
-    rest = open_.join(found, "line_idx", "left").select(*wanted)
-    hard = rest.filter("window_start IS NOT NULL").groupBy("label", "window_start").applyInPandas(fold, "line_idx long, label int, first string")
+                r[c] = r[c] and tuple(r[c].values())
+        return [(i, window[0]["label"], first) for i, first in assign(window, merge).items()]
+
+    def fold(batches):  # rows come window by window; a window may go on in the next batch
+        open_window: list[dict] = []
+        for b in batches:
+            out, rows = [], open_window + b.to_pylist()
+            cuts = [0, *(k for k in range(1, len(rows)) if (rows[k]["label"], rows[k]["window_start"]) != (rows[k - 1]["label"], rows[k - 1]["window_start"]))]
+            for x, y in zip(cuts, cuts[1:]):
+                out += assigned(rows[x:y])
+            open_window = rows[cuts[-1] :]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(schema)], schema=schema)
+        if open_window:
+            out = assigned(open_window)
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    by_window = rest.filter("window_start IS NOT NULL").repartition("label", "window_start").sortWithinPartitions("label", "window_start", "line_idx")
+    hard = by_window.mapInArrow(fold, "line_idx long, label int, first string")
     outside = rest.filter("window_start IS NULL").select("line_idx", "label", F.lit(None).cast("string").alias("first"))
     every = easy.unionByName(hard).unionByName(outside)
     return every.select("line_idx", "label", F.when(F.col("first") == CONTROL_PLANE, CONTROL_PLANE).otherwise(cluster_id(F.col("first"))).alias("cluster_id"))
