@@ -227,6 +227,23 @@ def test_token_counts(docs, nothing, spark, tmp_path):
     assert [r.n_tokens for r in token_counts.open_tails(blocks, 9, 4).collect()] == [2]
 
 
+@pytest.mark.parametrize("group", [1, 3, 1024])
+def test_flat_files_by_ranges(spark, tmp_path, monkeypatch, group):
+    monkeypatch.setattr(token_counts, "GROUP", group)
+    r = np.random.default_rng(7)
+    want, tails = collections.Counter(), {}
+    for name, n in {"a b.bin": 400, "c.bin": 61, "none.bin": 0, "open.bin": 30}.items():
+        ids = r.integers(0, 3 if name != "open.bin" else 2, n).astype("<u2")
+        (tmp_path / name).write_bytes(ids.tobytes() + b"\1" * (name == "c.bin"))  # a byte that is no whole id
+        runs = "".join(map(str, ids)).split("2")
+        want.update((name, k, len(x)) for k, x in enumerate(runs[:-1]))
+        tails |= {name: len(runs[-1])} if runs[-1] else {}
+    blocks = token_counts.read_flat(spark, str(tmp_path), 2, 8)
+    got = collections.Counter((r.file.rsplit("/", 1)[1], r.document, r.n_tokens) for r in token_counts.scan(blocks, 2).collect())
+    assert got == want and len(want) > 100
+    assert {r.file.rsplit("/", 1)[1]: r.n_tokens for r in token_counts.open_tails(blocks, 2).collect()} == tails
+
+
 def test_suffix_dedup(docs, nothing):
     top = 1 << 62
     raw = [(top if i is None else i, (t or "").encode()) for i, t in rows()]

@@ -4,18 +4,23 @@ A flat file is a run of 16- or 32-bit ids in which an end-of-document id closes
 blocks. Each block is searched for that id at once; what it gives is the places of its separators and its
 size. Blocks of a file are then stitched by a prefix scan: a running sum of separators numbers the documents,
 a running maximum of the last separator's place tells where the document that is open at a block's start
-began. A file's blocks are few, and a block is one small row by then.
+began. The scan has two levels, GROUP blocks and then groups, so that one file may hold any share of the ids.
 
 The query writes every whole text of `documents` as flat blocks, one stream per partition, and counts them
 again from the ids alone. Null and empty texts have 0 tokens. Rows with a null or repeated doc_id count on
 their own. An empty table gives an empty result. What follows a file's last separator is a document that
-isn't closed; scan() leaves it out, and open_tails() gives its size.
+isn't closed; scan() leaves it out, and open_tails() gives its size. Files are read in ranges, by as many
+tasks as a file has ranges; bytes at a file's end that are no whole id are no token.
 """
 
 from __future__ import annotations
 
+import urllib.parse
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +30,8 @@ from .tokens import encoder
 #: <|endoftext|> of the vocabulary; with plain=True no text gives it.
 END = 49407
 BLOCK = 1 << 16
+#: Blocks that one task reads or stitches together.
+GROUP = 1024
 FLAT = "file string, block long, ids binary, first long, doc_ids array<long>"
 
 
@@ -54,19 +61,36 @@ def flat_blocks(docs: DataFrame, vocabulary: str | None = None, block: int = BLO
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("part")).mapInArrow(run, FLAT)
 
 
-def read_flat(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """Flat files of little-endian ids of that many bytes, as (file, block, ids). Spark hands over a file (2 GB at most) at a time."""
+def opened(path: str) -> pa.NativeFile:
+    """A file as Spark names it, for reads at any place; Arrow's own file systems know file, hdfs, s3, gs and abfs."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    files, name = fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme) + ":" + urllib.parse.quote(rest, safe="/:@"))
+    return files.open_input_file(name)
+
+
+def read_flat(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK, opener: Callable = opened) -> DataFrame:
+    """Flat files of little-endian ids of that many bytes, as (file, block, ids).
+
+    Spark lists the files and their sizes; ranges of GROUP blocks are dealt to tasks, which read block by block
+    from what opener(path) gives (anything with read_at(bytes, offset)).
+    """
     tune(spark)
     schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("ids", pa.binary())])
+    size = width * block
+    files = spark.read.format("binaryFile").load(path).select("path", (F.col("length") - F.col("length") % width).alias("bytes")).filter("bytes > 0")
+    ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(bytes - 1) div {size * GROUP}"))).alias("range"))
+    total = files.agg(F.sum(F.expr(f"(bytes - 1) div {size * GROUP} + 1"))).first()[0] or 1
 
     def run(batches):
         for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content")):
-                data = content.as_buffer()
-                for k in range(0, data.size, width * block):
-                    yield as_batch(schema, file=[name], block=[k // (width * block)], ids=[data[k : k + width * block].to_pybytes()])
+            for name, length, r in zip(*(b.column(k).to_pylist() for k in ("path", "bytes", "range"))):
+                with opener(name) as f:
+                    for k in range(r * GROUP, min((r + 1) * GROUP, -(-length // size))):
+                        yield as_batch(schema, file=[name], block=[k], ids=[f.read_at(min(size, length - k * size), k * size)])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, ids binary")
+    return ranges.repartition(min(total, 32 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "file string, block long, ids binary")
 
 
 def summaries(blocks: DataFrame, end: int, width: int) -> DataFrame:
@@ -83,10 +107,20 @@ def summaries(blocks: DataFrame, end: int, width: int) -> DataFrame:
 
 def stitched(blocks: DataFrame, end: int = END, width: int = 2) -> DataFrame:
     """The blocks' summaries with, by prefix scan, the ids and documents before each and where its first document began."""
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    at = summaries(blocks, end, width).withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    closed = F.when(F.size("ends") > 0, F.col("at") + F.element_at("ends", -1) + 1)
-    return at.withColumn("documents", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).cast("long")).withColumn("began", F.coalesce(F.max(closed).over(before), F.lit(0)))
+    found = stored(blocks.sparkSession, summaries(blocks, end, width).withColumn("group", F.expr(f"block div {GROUP}")), "ends")
+    before = Window.partitionBy("file", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = found.withColumn("ids_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    closed = F.when(F.size("ends") > 0, F.col("ids_before") + F.element_at("ends", -1) + 1)
+    inside = inside.withColumn("closed", closed).withColumn("ends_before", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0))).withColumn("last_before", F.max("closed").over(before))
+    totals = inside.groupBy("file", "group").agg(F.sum("n").alias("group_ids"), F.sum(F.size("ends")).alias("group_ends"), F.max("closed").alias("group_closed"))
+    groups = Window.partitionBy("file").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.withColumn("base", F.coalesce(F.sum("group_ids").over(groups), F.lit(0))).select(
+        "file", "group", "base", F.coalesce(F.sum("group_ends").over(groups), F.lit(0)).alias("base_ends"), F.coalesce(F.max(F.col("base") + F.col("group_closed")).over(groups), F.lit(0)).alias("base_began")
+    )
+    return inside.join(bases, ["file", "group"]).select(
+        "file", "block", "n", "ends", (F.col("base") + F.col("ids_before")).alias("at"), (F.col("base_ends") + F.col("ends_before")).cast("long").alias("documents"),
+        F.coalesce(F.col("base") + F.col("last_before"), F.col("base_began")).alias("began"),
+    )
 
 
 def scan(blocks: DataFrame, end: int = END, width: int = 2) -> DataFrame:
