@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import catalog, labels, rules, scalars
 from tracewright.operators import clustering, metrics, sequence, windows
 from tracewright.plans.reduce import reduced
-from tracewright.session import stored
+from tracewright.session import scratch, stored
 from tracewright.sources import audit
 
 SCHEMA = "line_idx long, has_ref boolean, uri string, verb string, api_group string, api_version string, resource string, subresource string, namespace string, name string"
@@ -479,6 +479,21 @@ def test_kappa_of_one_class(spark):
     assert metrics.kappa(same).first().kappa == 1.0
 
 
+def test_scratch_tables_go(spark):
+    with scratch(spark) as outer:
+        a = stored(spark, spark.range(3), "kept")
+        with scratch(spark) as tables:
+            stored(spark, a, "gone")
+            b = stored(spark, a, "kept")
+            gone, kept = tables[0], tables.pop()
+        assert outer[1:] == [gone, kept] and b.count() == 3 and a.count() == 3
+        del outer[0], outer[1]
+    stored(spark, b, "after")
+    assert outer == [gone] and a.union(b).count() == 6
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        spark.read.parquet(gone)
+
+
 def test_entry_and_queries(spark):
     import __spark_entry__ as e
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,8 +50,30 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_scratch = threading.local()
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read back; cuts lineage and survives lost executors."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for paths in getattr(_scratch, "open", []):
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What this thread stores within the block is deleted at its end, but for the paths that are taken off the list.
+
+    Whatever is read after the block must stand in a table that was taken off, or have been written elsewhere.
+    """
+    paths: list[str] = []
+    _scratch.open = [*getattr(_scratch, "open", []), paths]
+    try:
+        yield paths
+    finally:
+        _scratch.open = [x for x in _scratch.open if x is not paths]
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
