@@ -1,7 +1,13 @@
 """The corpus pipeline: toxic documents go, then exact copies, near copies and contaminated documents; the rest is packed.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before has kept. All but the last return
-the columns of documents; their rows are written as Parquet and read again as the next stage's docs.
+the columns of documents; their rows are written as Parquet and read again as the next stage's docs. What a stage has
+stored for itself, and the rows it has read, are deleted once its own rows are written.
+
+Columns beside doc_id and text pass through whatever they are called. A null text counts as empty: it isn't toxic, not
+contaminated and near to nothing, but a copy of other empty texts, of which one stays and is packed as its end mark. A null
+doc_id is larger than all others for exact dedup and has no near copies. Rows that repeat a doc_id are documents of their
+own; as near copies they stay together if one stays. An empty table gives no pieces; no labels, no toxic documents.
 """
 
 from __future__ import annotations
@@ -10,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
 from tracewright.llm.common import load, stored
+from tracewright.session import scratch
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(spark, docs, "stage")
-    return docs
+    docs, read = load(spark, sf_dir, "documents"), []
+    for _, stage in STAGES[:-1]:
+        with scratch(spark) as tables:
+            docs = stored(spark, stage(spark, docs, sf_dir), "stage")
+            read, tables[:] = tables[-1:], read + tables[:-1]
+    return STAGES[-1][1](spark, docs, sf_dir)
