@@ -502,13 +502,13 @@ def test_entry_and_queries(spark):
 
 
 def test_stream_matches_batch(spark):
-    import __spark_entry__ as e
+    from tracewright.streaming import sessions
 
     sf = "/root/testdata/sf0.001"
-    got = {(r.event_type, r.start, r.n) for r in e.queries()["s01_gap_sessions_stream"](spark, sf).collect()}
+    got = {(r.event_type, r.start, r.n) for r in sessions.replayed(spark, f"{sf}/events.parquet").collect()}
     events = spark.read.parquet(f"{sf}/events.parquet").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
     w = Window.partitionBy("event_type").orderBy("ts")
-    opens = F.coalesce((F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) >= 300_000_000).cast("int"), F.lit(1))
+    opens = F.coalesce((F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) > 300_000_000).cast("int"), F.lit(1))
     runs = events.withColumn("o", opens).withColumn("s", F.sum("o").over(w)).groupBy("event_type", "s").agg(F.min("ts").alias("start"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
     top = events.agg(F.max("ts")).first()[0]
     closed = {(r.event_type, r.start, r.n) for r in runs.collect() if (top - r["last"]).total_seconds() > 600}

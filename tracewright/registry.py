@@ -869,9 +869,12 @@ def h00_detection_rules(spark, sf_dir):
 # Streaming
 
 
-@query()
+# Sessions that the watermark, 300 seconds behind the last event, has not passed are still open.
+@query("""WITH e AS (SELECT event_type, CAST(ts AS TIMESTAMP) AS ts FROM events), o AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 300 SECONDS THEN 0 ELSE 1 END AS opens FROM e WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM o)
+SELECT event_type, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 300000000 AS stop_us, count(*) AS n FROM s GROUP BY event_type, session HAVING max(ts) + INTERVAL 300 SECONDS <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 300 SECONDS FROM e)""")
 def s01_gap_sessions_stream(spark, sf_dir):
-    return sessions.replayed(spark, f"{sf_dir}/events.parquet")
+    return sessions.replayed(spark, f"{sf_dir}/events.parquet").select("event_type", F.unix_micros("start").alias("start_us"), F.unix_micros("stop").alias("stop_us"), "n")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
