@@ -86,7 +86,9 @@ def test_pii_base(docs, nothing):
                 out += [f"{kind}:{m.start()}:{m.end()}"] if ok else []
         want[i, *(sum(x.startswith(k) for x in out) for k in pii.KINDS), hashlib.sha256(",".join(out).encode()).hexdigest(), ",".join(out)] += 1
     assert sum(n for k, n in want.items() if all(k[1:5])) >= 1
-    assert bag(pii.personal_data(docs), "doc_id", *(f"n_{k}" for k in pii.KINDS), "base_sha256", "spans") == want
+    found = pii.personal_data(docs)
+    assert bag(found, "doc_id", *(f"n_{k}" for k in pii.KINDS), "base_sha256", "spans") == want
+    assert bag(found, "doc_id", "n_base") == collections.Counter((i, sum(n)) for i, *n, _, _ in want.elements())
     assert pii.personal_data(nothing).count() == 0
 
 

@@ -270,7 +270,7 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms, terms.
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, n_base (their sum), base_sha256, spans, n_terms, terms.
 
     terms: array of (start, stop, disclosure) of the added spans.
     """
@@ -282,7 +282,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     added = places.join(told, "term").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "disclosure"))).alias("terms"))
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["start"].cast("string"), x["stop"].cast("string"))))
     out = found.drop("near").join(added, "row", "left").withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<start:bigint,stop:bigint,disclosure:double>>)")))
-    return out.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"), F.size("terms").cast("long").alias("n_terms"), "terms", "row", "base", "text_hash")
+    of_kind = [f"n_{k}" for k in KINDS]
+    return out.select("doc_id", *of_kind, F.expr(" + ".join(of_kind)).alias("n_base"), "base_sha256", spans.alias("spans"), F.size("terms").cast("long").alias("n_terms"), "terms", "row", "base", "text_hash")
 
 
 def cleaned(text: str, spans: str, terms) -> str:
@@ -324,4 +325,4 @@ def sanitised(docs: DataFrame) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data(load(spark, sf_dir, "documents")).select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_terms")
+    return personal_data(load(spark, sf_dir, "documents")).select("doc_id", *(f"n_{k}" for k in KINDS), "n_base", "base_sha256", "spans", "n_terms")
