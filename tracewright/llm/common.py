@@ -24,8 +24,6 @@ BATCH_BYTES = "16m"
 
 U = np.uint64
 C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
-BASE = 0x100000001B3
-INVERSE = pow(BASE, -1, 1 << 64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -97,27 +95,20 @@ def slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64 for i < n."""
-    if len(_powers[0]) < n:
-        have = max(n, SLICE_BYTES + 1)
-        for k, b in enumerate((BASE, INVERSE)):
-            p = np.full(have, b, U)
-            p[0] = 1
-            _powers[k] = np.cumprod(p)
-    return _powers[0][:n], _powers[1][:n]
+#: The lowest k bytes of a word of eight.
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
 
 
 class Words:
-    """Words of consecutive documents: start, end (byte positions), doc (index), prefix hashes."""
+    """Words of consecutive documents, in lower case: start, end (byte positions), doc (index)."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, separator: np.ndarray = SPACE):
         n = len(buf)
-        self.off, low = off, LOWER[buf]
-        inside = ~separator[low]
+        low = np.zeros(n + 8, np.uint8)
+        np.take(LOWER, buf, out=low[:n])
+        #: The eight bytes from each position on, as one number.
+        self.eight = np.ndarray((n + 1,), "<u8", low.data, strides=(1,))
+        self.off, inside = off, ~separator[low[:n]]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         last = inside.copy()
@@ -128,19 +119,37 @@ class Words:
         last[ends] = inside[ends]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.doc = np.searchsorted(off, self.start, "right") - 1
-        power, self.inverse = powers(n + 1)
-        self.prefix = np.zeros(n + 1, U)
-        np.cumsum((low.astype(U) + U(1)) * power[:n], out=self.prefix[1:])
         #: Words of document i are first[i] .. first[i + 1].
         self.first = np.searchsorted(self.start, off)
 
+    def blocks(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes from start to end, eight at a time and zeros behind; each block's place in its span; each span's first block."""
+        many = np.maximum(1, (end - start + 7) >> 3)
+        begin = np.cumsum(many) - many
+        owner = np.repeat(np.arange(len(start)), many)
+        place = np.arange(len(owner)) - begin[owner]
+        at = start[owner] + 8 * place
+        return self.eight[at] & MASKS[np.minimum(end[owner] - at, 8)], place, begin
+
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of the lower-cased bytes from start to end."""
-        return mix((self.prefix[end] - self.prefix[start]) * self.inverse[start] + (end - start).astype(U) * C1)
+        """A 64-bit hash of the lower-cased bytes from start to end: each block of eight is mixed with its place, then all are added."""
+        if not len(start):
+            return np.zeros(0, U)
+        value, place, begin = self.blocks(start, end)
+        return mix(np.add.reduceat(mix(value + (place + 1).astype(U) * C1), begin) + (end - start).astype(U) * C3)
 
     def hashes(self) -> np.ndarray:
         return self.span_hash(self.start, self.end)
 
+    def same(self, other: np.ndarray) -> np.ndarray:
+        """Whether each word has the bytes of the word that other names for it."""
+        ok = self.end - self.start == (self.end - self.start)[other]
+        k = np.flatnonzero(ok)
+        if len(k):
+            value, _, begin = self.blocks(self.start[k], self.end[k])
+            ok[k] = np.logical_and.reduceat(value == self.blocks(self.start[other[k]], self.end[other[k]])[0], begin)
+        return ok
+
 
 def each_slice(buf: np.ndarray, off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for i, j in slices(off, limit):

@@ -116,6 +116,8 @@ class Encoder:
                 data = lowered(data)
             w = Words(part, cut)
             _, first, at = np.unique(w.hashes(), return_index=True, return_inverse=True)
+            odd = np.flatnonzero(~w.same(first[at]))  # another word's hash: these are looked up one by one
+            first, at[odd] = np.append(first, odd), len(first) + np.arange(len(odd))
             each = self.chunks([data[a:b].decode() for a, b in zip(w.start[first].tolist(), w.end[first].tolist())])
             size = np.fromiter(map(len, each), np.int64, len(each)) // 2
             every, begin = np.frombuffer(b"".join(each), "<u2"), np.cumsum(size) - size
