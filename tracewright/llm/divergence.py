@@ -188,7 +188,7 @@ def top_terms(rows: DataFrame, k: int = TOP) -> DataFrame:
         told_of = going.join(reach, "g").withColumn("bin", cut)
         bins = told_of.groupBy("g", "need", "bin").agg(F.count(F.lit(1)).alias("many"))
         state = stored(spark, cut_bins(bins, False), "limits")
-        limits.append(state.filter("many = need").select("g", F.col("bin").alias("limit")))
+        limits.append(state.filter("many = need").join(reach, "g").select("g", F.col("bin").alias("limit"), "width"))
         open_ = state.filter("many > need").select("g", F.col("bin").alias("open"), "need")
         going = stored(spark, going.drop("need").join(reach, "g").join(open_, "g").filter(cut == F.col("open")).select("g", "text", "need"), "ties")
     out = rows.join(told.select("g", "least"), "g", "left").filter("least IS NULL OR value >= least")
@@ -196,7 +196,7 @@ def top_terms(rows: DataFrame, k: int = TOP) -> DataFrame:
         every = limits[0]
         for more in limits[1:]:
             every = every.unionByName(more)
-        out = out.join(every, "g", "left").filter((F.col("least").isNull()) | (F.col("value") > F.col("least")) | F.col("limit").isNull() | (F.substr(text, F.lit(1), F.length("limit")) <= F.col("limit")))
+        out = out.join(every, "g", "left").filter((F.col("least").isNull()) | (F.col("value") > F.col("least")) | F.col("limit").isNull() | (F.substr(text, F.lit(1), F.col("width")) <= F.col("limit")))
     return out.select("g", "term", "value")
 
 
