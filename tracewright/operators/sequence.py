@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,11 @@ def weight(width: int, offset: Column) -> Column:
     return width - F.abs(2 * offset - width)
 
 
+def weight_of(width: int, offset: np.ndarray) -> np.ndarray:
+    """The same for arrays."""
+    return width - np.abs(2 * offset - width)
+
+
 def votes(predictions: DataFrame, width: int) -> DataFrame:
     """(k, label, weight, first): the weight that record k's votes give each label. predictions: (window_idx, offset, label)."""
     return predictions.withColumn("k", F.col("window_idx") + F.col("offset")).groupBy("k", "label").agg(F.sum(weight(width, F.col("offset"))).cast("long").alias("weight"), F.min("window_idx").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -45,10 +51,14 @@ def votes(predictions: DataFrame, width: int) -> DataFrame:
 
 def weighted_vote(predictions: DataFrame, width: int) -> DataFrame:
     """k, predicted, n_votes; the first label that was voted for wins ties; records with fewer than W votes get BOUNDARY."""
-    v = votes(predictions, width)
+    return resolve(votes(predictions, width), width).drop("n_labels")
+
+
+def resolve(votes: DataFrame, width: int, key: tuple[str, ...] = ("k",)) -> DataFrame:
+    """The key, predicted, n_votes and n_labels (different ones) of votes that are added up already."""
     best = F.min(F.struct((-F.col("weight")).alias("w"), "first", "label"))
-    out = v.groupBy("k").agg(best.alias("b"), F.sum("n").cast("long").alias("n_votes"))
-    return out.select("k", F.when(F.col("n_votes") < width, BOUNDARY).otherwise(F.col("b.label")).cast("int").alias("predicted"), "n_votes")
+    out = votes.groupBy(*key).agg(best.alias("b"), F.sum("n").cast("long").alias("n_votes"), F.count(F.lit(1)).alias("n_labels"))
+    return out.select(*key, F.when(F.col("n_votes") < width, BOUNDARY).otherwise(F.col("b.label")).cast("int").alias("predicted"), "n_votes", "n_labels")
 
 
 def vote_ranks(predictions: DataFrame, truth: DataFrame, width: int) -> DataFrame:
@@ -174,65 +184,6 @@ def train_bundle(records: DataFrame, columns: list[str], key: list[str], label:
     return bundle
 
 
-def attempts(records: DataFrame, columns: list[str], key: list[str], label: str = "label", seeds: range = range(40), test: float = 0.1) -> DataFrame:
-    """attempt, metric, value of repeated training, each on a fresh split: accuracy, precision, recall and F1 on what was held out."""
-    from .metrics import core_metrics
-
-    out = None
-    for seed in seeds:
-        held = F.pmod(F.xxhash64("line_idx", F.lit(seed)), F.lit(1000)) < int(1000 * test)
-        bundle = train_bundle(records.filter(~held), columns, key, label, seed=seed)
-        # Neighbours of a record may lie in the other part, as windows overlap: all rows are coded, held-out ones are counted.
-        pairs = bundle.infer(records).join(records.filter(held).select("line_idx", F.col(label).alias("actual")), "line_idx").filter("actual IS NOT NULL").select("actual", "predicted")
-        row = core_metrics(pairs).select(F.lit(seed).alias("attempt"), F.stack(F.lit(4), *[x for m in ("accuracy", "precision", "recall", "f1") for x in (F.lit(m), F.col(m))]).alias("metric", "value"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def search(train: DataFrame, columns: list[str], label: str, grid: dict[str, list] | None = None, share: float = 0.9, seed: int = 7) -> DataFrame:
-    """The settings of a forest that were tried, best first: settings (JSON) and the weighted F1 on what was held out."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-
-    forest = RandomForestClassifier(labelCol=label, seed=seed)
-    build = ParamGridBuilder()
-    for name, values in (grid or {"numTrees": [5, 10], "maxDepth": [4, 8]}).items():
-        build = build.addGrid(forest.getParam(name), values)
-    pipeline = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep"), forest])
-    tried = build.build()
-    split = TrainValidationSplit(estimator=pipeline, estimatorParamMaps=tried, evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="f1"), trainRatio=share, seed=seed).fit(train)
-    rows = [(json.dumps({p.name: v for p, v in m.items()}, sort_keys=True), float(f1)) for m, f1 in zip(tried, split.validationMetrics)]
-    return train.sparkSession.createDataFrame(rows, "settings string, f1 double").orderBy(F.desc("f1"), "settings")
-
-
-def early_stopped(train: DataFrame, valid: DataFrame, columns: list[str], label: str, rounds: int = 20, least_gain: float = 0.01, seed: int = 7):
-    """Boosted trees for a target of 0 and 1 that stop once a round gains less on the validation rows."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = train.withColumn("_valid", F.lit(False)).unionByName(valid.withColumn("_valid", F.lit(True)))
-    trees = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=3, validationIndicatorCol="_valid", validationTol=least_gain, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep"), trees]).fit(rows)
-
-
-def surrogate(train: DataFrame, test: DataFrame, columns: list[str], label: str, depth: int = 5) -> tuple[DataFrame, str]:
-    """A decision tree that mimics a model: fidelity to the model and to the truth on rows it wasn't fitted on, and the tree with named features.
-
-    Wants the model's predictions in `mimic`.
-    """
-    tree = fit_classifier(train, columns, "mimic", "tree", maxDepth=depth)
-    rows = tree.transform(test)
-    told = rows.agg(F.avg((F.col("mimic") == F.col("prediction")).cast("double")).alias("fidelity_model"), F.avg((F.col(label) == F.col("prediction")).cast("double")).alias("fidelity_truth"))
-    text = tree.stages[-1].toDebugString
-    for j in reversed(range(len(columns))):
-        text = text.replace(f"feature {j} ", f"{columns[j]}_t0 ")
-    return told, text
-
-
 def context_columns(df: DataFrame, columns: list[str], key: list[str], reach: int = 1, order: str = "line_idx") -> tuple[DataFrame, list[str]]:
     """Adds the columns' values of the rows before and after (-1 where there is none)."""
     rows, w, own = in_chunks(df, key, [order], behind=reach, ahead=reach)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import catalog, labels, rules, scalars
-from .operators import clustering, metrics, sequence, windows
+from .operators import clustering, metrics, network, recurrent, sequence, surrogate, windows
 from .session import shared_dir, stored
 from .sources import audit
 from .sources.audit import audit_sql, audit_view
@@ -461,64 +461,94 @@ def d10_kfold(spark, sf_dir):
     return windows.folds(e, 7).groupBy("fold").agg(F.count(F.lit(1)).alias("size"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
 
 
-def coded(spark, sf_dir):
-    """Codes of a record and its neighbours; target: whether it is the control plane's."""
-    e = events(spark, sf_dir).withColumns({"verb_id": labels.verb_id(F.col("verb")), "kind": F.pmod(F.xxhash64("resource"), F.lit(97)).cast("int"), "who": F.pmod(F.xxhash64("username"), F.lit(97)).cast("int"), "target": rules.control_plane_code().isNotNull().cast("int")})
-    df, columns = sequence.context_columns(e, ["verb_id", "kind", "who"], ["event_type"])
-    return stored(spark, df.select("line_idx", "target", *columns), "coded"), columns
+#: The window model of the queries: W 6 (60 is the usual one), on the columns below.
+MODEL_WIDTH, MODEL_STEPS = 6, 8
+MODEL_COLUMNS = ["verb", "resource", "subresource", "api_group", "namespace", "username", "has_name"]
 
 
-@query()
-def d12_sequence_model_binary(spark, sf_dir):
-    df, columns = coded(spark, sf_dir)
-    model = sequence.fit_classifier(df.filter("line_idx % 10 <> 0"), columns, "target", "logistic")
-    return model.transform(df.filter("line_idx % 10 = 0")).select("line_idx", "target", "prediction")
+def model_blocks(spark, sf_dir, binary: bool = False):
+    """Blocks of windows over the whole log, and the truth: line, label."""
+    r = labelled(spark, sf_dir).withColumns({"has_name": (F.coalesce("name", F.lit("")) != "").cast("string"), "cplabel": rules.control_plane_code().isNotNull().cast("int")})
+    r = stored(spark, r.select("line_idx", "label", "cplabel", *MODEL_COLUMNS), "records")
+    data = recurrent.blocks(r, MODEL_COLUMNS, [F.col("cplabel")] if binary else recurrent.label_targets(), MODEL_WIDTH, MODEL_STEPS)
+    return data, r.select(F.col("line_idx").alias("line"), F.col("cplabel" if binary else "label").alias("label"))
+
+
+def model_shape(binary: bool = False, **how) -> network.Shape:
+    return network.Shape(len(MODEL_COLUMNS), MODEL_WIDTH, **{"hidden": 16, "embed": 16, "parts": 1 if binary else 5, "classes": 2 if binary else 59} | how)
+
+
+@query(f"WITH {PROPOSED}, i AS (SELECT line_idx, row_number() OVER (ORDER BY line_idx) - 1 AS i, label FROM labelled) SELECT i // 256 AS chunk, min(i) AS first_, count(*) AS records, CAST(count_if(label IS NULL) AS BIGINT) AS unlabelled, CAST(sum(line_idx) AS BIGINT) AS lines FROM i GROUP BY i // 256")
+def d11_window_blocks(spark, sf_dir):
+    data, _ = model_blocks(spark, sf_dir)
+    own = F.slice("line", 1, 256)
+    open_ = F.size(F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda k: F.get("targets", 5 * k) < 0))
+    return data.table.select("chunk", F.col("first").alias("first_"), F.size(own).cast("long").alias("records"), open_.cast("long").alias("unlabelled"), F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x).alias("lines"))
 
 
 @query()
 def d11_sequence_model_multiclass(spark, sf_dir):
-    r = stored(spark, labelled(spark, sf_dir).select("line_idx", "event_type", "label", *FEATURE_COLUMNS), "records")
-    return sequence.train_bundle(r.filter("line_idx % 10 <> 0"), FEATURE_COLUMNS, ["event_type"]).infer(r).filter("line_idx % 10 = 0").select("line_idx", long("predicted"))
+    data, truth = model_blocks(spark, sf_dir)
+    n = data.windows
+    run, = recurrent.train(data, [recurrent.Run("multiclass", model_shape(), rate=0.03, held=("fold", n - n // 10, n))], until=10)
+    return recurrent.infer(data, run, recurrent.TEST).join(truth, "line").select(F.col("line").alias("line_idx"), long("label"), long("predicted"), "n_votes")
+
+
+@query()
+def d12_sequence_model_binary(spark, sf_dir):
+    data, truth = model_blocks(spark, sf_dir, binary=True)
+    n = data.windows
+    run, = recurrent.train(data, [recurrent.Run("binary", model_shape(True), rate=0.03, held=("fold", n - n // 10, n))], until=4)
+    return recurrent.infer(data, run, recurrent.TEST, binary=True).join(truth, "line").select(F.col("line").alias("line_idx"), long("label", "target"), long("predicted"), "n_votes")
 
 
 @query()
 def d13_early_stopping(spark, sf_dir):
-    df, columns = coded(spark, sf_dir)
-    model = sequence.early_stopped(df.filter("line_idx % 10 > 1"), df.filter("line_idx % 10 = 1"), columns, "target")
-    return model.transform(df.filter("line_idx % 10 = 0")).select("line_idx", "target", "prediction")
+    """Stopped after two epochs and taken up again from the shared folder: epoch, rate, loss, validation loss and accuracy."""
+    data, _ = model_blocks(spark, sf_dir, binary=True)
+    path, runs = recurrent.state_path(spark), lambda: [recurrent.Run("stops", model_shape(True), rate=0.1)]
+    recurrent.train(data, runs(), until=2, path=path)
+    run, = recurrent.train(data, runs(), until=8, patience=2, rate_patience=1, path=path)
+    return spark.createDataFrame([(h["epoch"], float(h["rate"]), float(h["loss"]), float(h["watched"]), h["epoch"] == run.best_epoch) for h in run.history], "epoch int, rate double, loss double, valid_loss double, best boolean")
+
+
+@query()
+def d10_kfold_training(spark, sf_dir):
+    data, truth = model_blocks(spark, sf_dir)
+    return recurrent.evaluated(data, recurrent.train(data, recurrent.fold_runs(data, model_shape(), 7, rate=0.03), until=4), truth)
 
 
 @query()
 def d14_statistics_mode(spark, sf_dir):
-    r = stored(spark, labelled(spark, sf_dir).select("line_idx", "event_type", "label", *FEATURE_COLUMNS), "records")
-    return sequence.attempts(r, FEATURE_COLUMNS, ["event_type"], seeds=range(2))
+    data, truth = model_blocks(spark, sf_dir, binary=True)
+    runs = recurrent.train(data, recurrent.attempt_runs(model_shape(True, hidden=8, embed=8), 40, rate=0.03, valid=0), until=2)
+    return recurrent.evaluated(data, runs, truth, binary=True)
 
 
 @query()
 def d15_infer(spark, sf_dir):
-    r = stored(spark, labelled(spark, sf_dir).select("line_idx", "event_type", "label", *FEATURE_COLUMNS), "records")
-    path = f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}"
-    sequence.train_bundle(r.filter("line_idx % 10 <> 0"), FEATURE_COLUMNS, ["event_type"]).save(path)
-    one = sequence.Bundle.load(spark, path).infer(r)
-    # A record's prediction stands in every window that holds it; the vote then resolves them, boundaries left out.
-    i = windows.row_numbers(one, "line_idx")
-    votes = i.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(5)))).select((F.col("i") - F.col("offset")).alias("window_idx"), "offset", F.col("predicted").alias("label"))
-    last = r.count() - 6
-    return sequence.weighted_vote(votes.filter((F.col("window_idx") >= 0) & (F.col("window_idx") <= last)), 6).select("k", long("predicted"), "n_votes")
+    data, _ = model_blocks(spark, sf_dir)
+    run, = recurrent.train(data, [recurrent.Run("infers", model_shape(), rate=0.03)], until=5)
+    path = recurrent.state_path(spark)
+    recurrent.save_runs(spark, [run], path, run.epoch)
+    _, (again,) = recurrent.load_runs(spark, path)
+    return recurrent.infer(data, again).select(F.col("line").alias("k"), long("predicted"), "n_votes", "n_labels")
 
 
 @query()
 def d18_hyperparam_search(spark, sf_dir):
-    df, columns = coded(spark, sf_dir)
-    return sequence.search(df, columns, "target", {"numTrees": [3, 6], "maxDepth": [3, 6]})
+    data, _ = model_blocks(spark, sf_dir, binary=True)
+    return recurrent.search(data, model_shape(True), most=4, eta=2)[0]
 
 
 @query()
 def d19_tree_surrogate(spark, sf_dir):
-    df, columns = coded(spark, sf_dir)
-    model = sequence.fit_classifier(df.filter("line_idx % 10 <> 0"), columns, "target", "logistic").transform(df).select("line_idx", "target", *columns, F.col("prediction").alias("mimic"))
-    told, text = sequence.surrogate(model.filter("line_idx % 10 <> 0"), model.filter("line_idx % 10 = 0"), columns, "target")
-    return told.withColumn("tree", F.lit(text))
+    """A tree that agrees with the binary window model at a window's first place: its branches, and the measures of both trees."""
+    data, _ = model_blocks(spark, sf_dir, binary=True)
+    run, = recurrent.train(data, [recurrent.Run("told", model_shape(True), rate=0.03)], until=3)
+    flat, names = surrogate.flat_windows(data, run, MODEL_COLUMNS)
+    told = surrogate.explain(flat, names, outer=2, inner=2, share=0.3, depth=4, top_k=5)
+    return told.table(spark)
 
 
 VOTES = "p AS (SELECT e.event_id AS window_idx, o.j AS voted, e.event_id + o.j AS k, (e.event_id * 7 + o.j * 3) % 5 AS label FROM events e, (SELECT unnest(range(6)) AS j) o), v AS (SELECT k, label, CAST(sum(6 - abs(2 * voted - 6)) AS BIGINT) AS weight, min(window_idx) AS first, count(*) AS n FROM p GROUP BY k, label)"
