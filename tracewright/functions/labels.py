@@ -60,20 +60,24 @@ def with_entry(records: DataFrame) -> DataFrame:
     return keyed.join(entry, (F.col("_g") == F.col("cat_group")) & (F.col("_v") == F.col("cat_version")) & (F.col("_n") == F.col("cat_name")), "left").drop("_g", "_v", "_n")
 
 
-def propose(records: DataFrame) -> DataFrame:
-    """Adds `proposal`. Wants has_ref, uri, verb, api_group, api_version, resource, subresource, namespace, name."""
+def proposal(verb: Column) -> Column:
+    """The label of a record of with_entry(), as if it had this verb."""
     parts = F.split(F.substring_index("uri", "?", 1), "/")
-    ok = allowed(F.col("verb"), F.col("verbs"))
-    made = encode(F.col("type_id"), F.col("sub_id"), truthy(F.col("namespace")), truthy(F.col("name")), verb_id(F.col("verb")))
+    made = encode(F.col("type_id"), F.col("sub_id"), truthy(F.col("namespace")), truthy(F.col("name")), verb_id(verb))
     label = (
         F.when(~F.col("has_ref"), UNKNOWN)
         .when(~F.coalesce(F.get(parts, 1).isin("api", "apis"), F.lit(False)), IGNORE)
         .when(F.size(parts) <= 3, IGNORE)
         .when(F.coalesce(F.col("namespace").isin(*IGNORED_NAMESPACES), F.lit(False)), IGNORE)
-        .when(ok, made)
+        .when(allowed(verb, F.col("verbs")), made)
     )
-    out = with_entry(records).withColumn("proposal", F.coalesce(label, F.lit(UNKNOWN)).cast("int"))
-    return out.drop("cat_group", "cat_version", "cat_name", "type_id", "sub_id", "namespaced", "verbs")
+    return F.coalesce(label, F.lit(UNKNOWN)).cast("int")
+
+
+def propose(records: DataFrame, others: dict[str, str] | None = None) -> DataFrame:
+    """Adds `proposal`, and for further column names the labels that the record would have with those verbs. Wants has_ref, uri, verb, api_group, api_version, resource, subresource, namespace, name."""
+    columns = {"proposal": proposal(F.col("verb")), **{name: proposal(F.lit(verb)) for name, verb in (others or {}).items()}}
+    return with_entry(records).withColumns(columns).drop("cat_group", "cat_version", "cat_name", "type_id", "sub_id", "namespaced", "verbs")
 
 
 def label_space(spark) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import catalog, labels, rules, scalars
-from .operators import clustering, metrics, network, recurrent, sequence, surrogate, windows
+from .operators import clustering, labelling, metrics, network, recurrent, sequence, surrogate, windows
 from .session import shared_dir, stored
 from .sources import audit
 from .sources.audit import audit_sql, audit_view
@@ -24,13 +24,14 @@ AUDIT = audit_sql()
 CATALOG = catalog.catalog_sql()
 VERBS = "CASE verb WHEN 'create' THEN 1 WHEN 'delete' THEN 2 WHEN 'deletecollection' THEN 2 WHEN 'get' THEN 3 WHEN 'list' THEN 3 WHEN 'patch' THEN 4 WHEN 'update' THEN 4 WHEN 'watch' THEN 5 END"
 ALLOWED = "CASE WHEN verb IN ('get', 'list') THEN list_has_any(verbs, ['get', 'list']) WHEN verb IN ('update', 'patch') THEN list_has_any(verbs, ['update', 'patch']) WHEN verb IN ('delete', 'deletecollection') THEN list_has_any(verbs, ['delete', 'deletecollection']) ELSE list_contains(verbs, verb) END"
+PROPOSAL = f"""CASE WHEN NOT has_ref THEN -1 WHEN parts[2] NOT IN ('api', 'apis') OR len(parts) <= 3 OR namespace IN ('falco', 'kube-flannel') THEN -2
+    WHEN type_id IS NOT NULL AND {ALLOWED} THEN type_id * 4096 + sub_id % 8 * 512 + (CASE WHEN namespace <> '' THEN 256 ELSE 0 END) + (CASE WHEN name <> '' THEN 128 ELSE 0 END) + ({VERBS}) * 16 + sub_id // 8 ELSE -1 END"""
 PROPOSED = f"""{AUDIT}, {CATALOG},
 keyed AS (SELECT *, string_split(split_part(uri, '?', 1), '/') AS parts, coalesce(api_group, 'core') AS g, coalesce(api_group, 'core') IN (SELECT cat_group FROM catalog) AS seen,
     concat(resource, CASE WHEN subresource <> '' THEN concat('/', subresource) ELSE '' END) AS full_name FROM audit),
 entry AS (SELECT k.*, c.type_id, c.sub_id, c.verbs FROM keyed k LEFT JOIN catalog c ON c.cat_group = CASE WHEN seen THEN g ELSE 'unknown.fbk.eu' END
     AND c.cat_version = CASE WHEN seen THEN api_version ELSE 'noversion' END AND c.cat_name = CASE WHEN seen THEN full_name ELSE 'externalcrd' END),
-proposed AS (SELECT *, CASE WHEN NOT has_ref THEN -1 WHEN parts[2] NOT IN ('api', 'apis') OR len(parts) <= 3 OR namespace IN ('falco', 'kube-flannel') THEN -2
-    WHEN type_id IS NOT NULL AND {ALLOWED} THEN type_id * 4096 + sub_id % 8 * 512 + (CASE WHEN namespace <> '' THEN 256 ELSE 0 END) + (CASE WHEN name <> '' THEN 128 ELSE 0 END) + ({VERBS}) * 16 + sub_id // 8 ELSE -1 END AS proposal FROM entry),
+proposed AS (SELECT *, {PROPOSAL} AS proposal FROM entry),
 labelled AS (SELECT *, CASE WHEN line_idx % 19 = 0 THEN NULL WHEN line_idx % 23 = 0 THEN 17808 ELSE proposal END AS label FROM proposed),
 valid AS (SELECT *, coalesce(label >= 0 AND label = proposal, false) AS is_trigger FROM labelled)"""
 
@@ -353,34 +354,35 @@ def c04_relabel(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-LOOK = "OVER (PARTITION BY user_id ORDER BY line_idx ROWS BETWEEN 1 FOLLOWING AND 19 FOLLOWING)"
+# What a labeller sees beside the open records of the log.
+SHOWN = f"""{PROPOSED}, auto AS (SELECT *, {rules.auto_label_sql()} AS auto FROM labelled),
+marked AS (SELECT *, row_number() OVER (ORDER BY line_idx) AS i, label IS NULL OR label = -1 AS open_, coalesce(CASE WHEN label IS NOT NULL AND label <> auto AND auto = -1 THEN NULL ELSE coalesce(label, auto) <> -1 END, false) AS marked FROM auto)"""
+NEXT = "CAST(coalesce((SELECT arg_min(b.proposal, b.i) FROM marked b WHERE b.i BETWEEN a.i + 1 AND a.i + {rows} AND {wanted}), -1) AS BIGINT) AS {name}, (SELECT min(b.i) FROM marked b WHERE b.i BETWEEN a.i + 1 AND a.i + {rows} AND {wanted}) - a.i AS {name}_after"
 
 
-@query(f"WITH {AUDIT} SELECT line_idx, " + ", ".join(f"first_value(CASE WHEN verb IN ({v}) THEN line_idx END IGNORE NULLS) {LOOK} AS next_{n}" for n, v in (("watch", "'watch'"), ("create", "'create'"), ("change", "'patch', 'update'"), ("delete", "'delete', 'deletecollection'"))) + " FROM audit")
+def shown(spark, sf_dir) -> DataFrame:
+    marked = rules.relabelled(labelled(spark, sf_dir).withColumn("cplabel", F.lit(None).cast("boolean")))
+    return labelling.context(marked.drop("proposal", "cplabel").withColumnRenamed("new_cplabel", "cplabel"))
+
+
+@query(f"WITH {SHOWN} SELECT line_idx, " + ", ".join(NEXT.format(rows=19, name=n, wanted=f"b.verb IN ({v})") for n, v in (("next_watch", "'watch'"), ("next_create", "'create'"), ("next_patch", "'patch', 'update'"), ("next_delete", "'delete', 'deletecollection'"))) + " FROM marked a WHERE open_")
 def c05_next_verb_lookahead(spark, sf_dir):
-    rows, w, own = windows.in_chunks(events(spark, sf_dir).select("line_idx", "user_id", "verb"), ["user_id"], ["line_idx"], ahead=19)
-    kinds = {"watch": ["watch"], "create": ["create"], "change": ["patch", "update"], "delete": ["delete", "deletecollection"]}
-    found = rows.select("line_idx", own.alias("own"), *[windows.lookahead(w, F.col("verb").isin(*v), 19, F.col("line_idx")).alias(f"next_{n}") for n, v in kinds.items()])
-    return found.filter("own").drop("own")
+    return shown(spark, sf_dir).select("line_idx", *[c for n in labelling.NEXT_VERBS for c in (long(n), f"{n}_after")])
 
 
-@query(f"WITH {PROPOSED}, n AS (SELECT *, {rules.control_plane_sql()} IS NULL AND NOT username LIKE 'system:%' AS other FROM proposed), l AS (SELECT line_idx, first_value(CASE WHEN other THEN line_idx END IGNORE NULLS) OVER (ORDER BY line_idx ROWS BETWEEN 1 FOLLOWING AND 39 FOLLOWING) AS next_line, first_value(CASE WHEN other THEN proposal END IGNORE NULLS) OVER (ORDER BY line_idx ROWS BETWEEN 1 FOLLOWING AND 39 FOLLOWING) AS next_label FROM n) SELECT line_idx, next_line, CAST(next_label AS BIGINT) AS next_label FROM l")
+@query(f"WITH {SHOWN} SELECT line_idx, " + NEXT.format(rows=39, name="next_action", wanted="NOT b.marked AND NOT starts_with(b.username, 'system:')") + " FROM marked a WHERE open_")
 def c05_next_user_action(spark, sf_dir):
-    rows, w, own = windows.in_chunks(proposed(spark, sf_dir).withColumn("other", rules.control_plane_code().isNull() & ~F.col("username").startswith("system:")).select("line_idx", "proposal", "other"), [], ["line_idx"], ahead=39)
-    found = rows.select("line_idx", own.alias("own"), windows.lookahead(w, F.col("other"), 39, F.col("line_idx")).alias("next_line"), windows.lookahead(w, F.col("other"), 39, F.col("proposal")).cast("long").alias("next_label"))
-    return found.filter("own").drop("own")
+    return shown(spark, sf_dir).select("line_idx", long("next_action"), "next_action_after")
 
 
-@query(f"WITH {AUDIT} SELECT line_idx, ts_us - lag(ts_us) OVER w AS before_us, " + ", ".join(f"lead(ts_us, {k}) OVER w - ts_us AS after{k}_us" for k in range(1, 5)) + " FROM audit WINDOW w AS (PARTITION BY user_id ORDER BY line_idx)")
+@query(f"WITH {SHOWN}, d AS (SELECT line_idx, open_, abs(coalesce(lag(ts_us) OVER w, (SELECT arg_max(ts_us, line_idx) FROM marked)) - ts_us) AS before_us, " + ", ".join(f"abs(lead(ts_us, {k}) OVER w - ts_us) AS after{k}_us" for k in range(1, 5)) + " FROM marked WINDOW w AS (ORDER BY line_idx)) SELECT * EXCLUDE (open_) FROM d WHERE open_")
 def c05_ts_delta_lead_lag(spark, sf_dir):
-    rows, w, own = windows.in_chunks(events(spark, sf_dir).select("line_idx", "user_id", "ts_us"), ["user_id"], ["line_idx"], behind=1, ahead=4)
-    return rows.select("line_idx", own.alias("own"), (F.col("ts_us") - F.lag("ts_us").over(w)).alias("before_us"), *[(F.lead("ts_us", k).over(w) - F.col("ts_us")).alias(f"after{k}_us") for k in range(1, 5)]).filter("own").drop("own")
+    return shown(spark, sf_dir).select("line_idx", "before_us", *[f"after{k}_us" for k in range(1, 5)])
 
 
-@query(f"WITH {PROPOSED}, s AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS other FROM proposed WHERE proposal >= 0) SELECT line_idx, other, CAST(proposal - proposal // 16 % 8 * 16 + other * 16 AS BIGINT) AS label FROM s")
+@query(f"WITH {SHOWN}, other AS (SELECT e.* REPLACE (o.v AS verb) FROM entry e, (VALUES ('create'), ('delete'), ('watch'), ('patch')) o(v)), p AS (SELECT line_idx, verb, {PROPOSAL} AS label FROM other) SELECT line_idx, CAST(m.proposal AS BIGINT) AS proposal, " + ", ".join(f"CAST((SELECT label FROM p WHERE p.line_idx = m.line_idx AND p.verb = '{v}') AS BIGINT) AS {v}_label" for v in ("create", "delete", "watch", "patch")) + " FROM marked m WHERE open_")
 def c05_equiv_verb_label(spark, sf_dir):
-    p = proposed(spark, sf_dir).filter("proposal >= 0").withColumn("other", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    return p.select("line_idx", "other", (F.col("proposal") - labels.part(F.col("proposal"), 16, 8) * 16 + F.col("other") * 16).cast("long").alias("label"))
+    return shown(spark, sf_dir).select("line_idx", *[long(c) for c in ("proposal", "create_label", "delete_label", "watch_label", "patch_label")])
 
 
 # D: features, votes
