@@ -243,6 +243,56 @@ def test_scores_and_ties():
     assert clustering.assign([*two[:2], row(3, 90, username="n", verb="get", resource="r")], merge=True)[3] == "3"
 
 
+def plain_assign(rows, merge):
+    """The same fold, with every record scored against every cluster."""
+    seeds, clusters, out = {}, {}, {}
+    for r in rows:
+        if r["trigger"]:
+            seeds["2020" if merge and r["cp"] is not None else str(r["line_idx"])] = r
+    for r in [*seeds.values(), *rows]:
+        if r["line_idx"] in out:
+            continue
+        if merge and r["cp"] is not None:
+            name = "2020"
+        elif any(r is x for x in seeds.values()):
+            name = str(r["line_idx"])
+        else:
+            scored = [(c.score(r), c) for c in clusters.values() if c.anchor is not None]
+            best = max((s for s, _ in scored), default=0)
+            ties = [c for s, c in scored if s == best and s >= clustering.LEAST]
+            name = str(r["line_idx"]) if not ties else (ties[0] if r["ts_us"] is None else min(ties, key=lambda c: abs(r["ts_us"] - c.anchor))).first
+        clusters.setdefault(name, clustering.Cluster(name, r)).take(r)
+        out[r["line_idx"]] = name
+    return out
+
+
+def random_window(seed, n, values):
+    r = np.random.default_rng(seed)
+    pick = lambda *v: v[int(r.integers(len(v)))]
+    out = []
+    for i in range(n):
+        a, b = (pick("", None, *"abcdefgh"[:values]) for _ in range(2))
+        out.append(row(i, pick(i * 10, i * 10, i // 3, None), bool(r.random() < 0.2), cp=pick(None, None, None, 2001), username=pick("system:apiserver", "bob", "eve", "", None), verb=pick("create", "delete", "get", "list", "deletecollection", None), resource=pick("namespaces", "limitranges", "pods", None), namespace=a, name=b, uid=pick(None, None, a), owner_uids=pick([], [], [b], [a, b]), involved=pick(None, None, ("Pod", a, b, "pods"), ("Pod", a, None, "namespaces")), claim=pick(None, None, None, ("C", a, b), ("C", a, None))))
+    return out
+
+
+@pytest.mark.parametrize("merge", [False, True])
+def test_index_gives_the_clusters_of_all_comparisons(merge):
+    for seed in range(150):
+        window = random_window(seed, 40 + seed % 60, 1 + seed % 8)
+        assert clustering.assign(window, merge) == plain_assign(window, merge), seed
+
+
+def test_index_compares_few(monkeypatch):
+    """Records that share user and verb alone, or nothing: scores are taken for a few clusters a record, not for all."""
+    calls, score = [0], clustering.Cluster.score
+    monkeypatch.setattr(clustering.Cluster, "score", lambda self, r: calls.__setitem__(0, calls[0] + 1) or score(self, r))
+    for rows in ([row(i, i, username=f"u{i}", verb="get", resource="pods", name=f"p{i}") for i in range(1000)], [row(i, i, i % 2 == 0, username="u", verb="get", resource="pods", name=f"p{i}") for i in range(1000)]):
+        calls[0] = 0
+        clustering.assign(rows)
+        assert calls[0] <= 2000
+
+
 def test_pairwise_scores_are_those_of_clusters(spark):
     r = np.random.default_rng(7)
     pick = lambda *v: v[int(r.integers(len(v)))]

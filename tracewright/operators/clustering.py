@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,21 +40,15 @@ def cluster_id(first) -> Column:
 
 
 class Cluster:
-    def __init__(self, first: str, row: dict):
-        self.first, self.anchor = first, row["ts_us"]
+    def __init__(self, first: str, row: dict, order: int = 0):
+        self.first, self.anchor, self.order = first, row["ts_us"], order
         self.users, self.verbs = set(), {row["verb"]} - {None, ""}
         self.resources, self.uids, self.owners, self.involved, self.claims = set(), set(), set(), set(), set()
 
     def take(self, r) -> None:
         if r["username"]:
             self.users.add(r["username"])
-        place = (r["resource"], r["namespace"], r["name"])
-        self.resources.add(place)
-        if r["resource"] == "namespaces" and r["name"]:
-            if r["verb"] == "create":
-                self.resources.add(("limitranges", r["name"], None))
-            elif r["verb"] == "delete":
-                self.resources.add(("namespaces", r["name"], None))
+        self.resources.update(places(r))
         if r["uid"]:
             self.uids.add(r["uid"])
         self.owners.update(r["owner_uids"])
@@ -69,13 +65,102 @@ class Cluster:
             s += INVOLVED * (i in self.involved) + INVOLVED_RESOURCE * ((i[3], i[1], i[2]) in self.resources)
         if c := r["claim"]:
             s += CLAIM * (c in self.claims) + CLAIM_RESOURCE * any(c[1] == ns and c[2] == n for _, ns, n in self.resources)
-        if r["username"] == "system:apiserver" and r["verb"] == "list" and r["resource"] == "limitranges" and r["namespace"]:
+        if asks_limits(r):
             s += LIMITS * (any(not u.startswith("system:") for u in self.users) and any(ns == r["namespace"] for _, ns, _ in self.resources))
-        if r["verb"] in ("deletecollection", "get") and r["namespace"] and r["resource"] != "namespaces":
+        if after_namespace(r):
             s += NAMESPACE_GONE * (("namespaces", r["namespace"], None) in self.resources)
         return s
 
 
+def places(r) -> list[tuple]:
+    """The resources that a record brings into a cluster."""
+    out = [(r["resource"], r["namespace"], r["name"])]
+    if r["resource"] == "namespaces" and r["name"]:
+        if r["verb"] == "create":
+            out.append(("limitranges", r["name"], None))
+        elif r["verb"] == "delete":
+            out.append(("namespaces", r["name"], None))
+    return out
+
+
+def asks_limits(r) -> bool:
+    return bool(r["username"] == "system:apiserver" and r["verb"] == "list" and r["resource"] == "limitranges" and r["namespace"])
+
+
+def after_namespace(r) -> bool:
+    return bool(r["verb"] in ("deletecollection", "get") and r["namespace"] and r["resource"] != "namespaces")
+
+
+class Index:
+    """Clusters by what a record must share with them to join: any one of the keys of sought(), or user and verb together.
+
+    A cluster that only shares user and verb with a record scores the same as every other of that kind, so of these the one that is
+    nearest in time is enough; they are kept in order of time for each user and verb.
+    """
+
+    def __init__(self):
+        self.by: dict[tuple, list[Cluster]] = {}
+        self.known: set[tuple] = set()
+        self.pairs: dict[tuple, list[tuple]] = {}
+        self.first: dict[tuple, Cluster] = {}
+
+    def add(self, c: Cluster, r) -> None:
+        """What c has taken with r."""
+        if c.anchor is None:  # no record joins it
+            return
+        keys = [("place", p) for p in places(r)] + [("named", p[1:]) for p in places(r)] + [("in", p[1]) for p in places(r)] + [("owner", x) for x in r["owner_uids"]]
+        keys += [(k, r[f]) for k, f in (("uid", "uid"), ("involved", "involved"), ("claim", "claim")) if r[f]]
+        for k in keys:
+            if (c.order, k) not in self.known:
+                self.known.add((c.order, k))
+                self.by.setdefault(k, []).append(c)
+        for verb in c.verbs if r["username"] else ():
+            pair = (r["username"], verb)
+            if (c.order, pair) not in self.known:
+                self.known.add((c.order, pair))
+                insort(self.pairs.setdefault(pair, []), (c.anchor, c.order, c), key=lambda x: x[:2])
+                if pair not in self.first or c.order < self.first[pair].order:
+                    self.first[pair] = c
+
+    def sought(self, r) -> list[tuple]:
+        keys = [("place", (r["resource"], r["namespace"], r["name"])), *(("uid", x) for x in r["owner_uids"])]
+        if r["uid"]:
+            keys.append(("owner", r["uid"]))
+        if i := r["involved"]:
+            keys += [("involved", i), ("place", (i[3], i[1], i[2]))]
+        if c := r["claim"]:
+            keys += [("claim", c), ("named", (c[1], c[2]))]
+        if asks_limits(r):
+            keys.append(("in", r["namespace"]))
+        if after_namespace(r):
+            keys.append(("place", ("namespaces", r["namespace"], None)))
+        return keys
+
+    def like(self, r) -> list[Cluster]:
+        """Of the clusters with the record's user and verb the nearest ones, before and after it; the first of equally near ones."""
+        pair = (r["username"], r["verb"])
+        if not (r["username"] and r["verb"]) or pair not in self.pairs:
+            return []
+        if r["ts_us"] is None:
+            return [self.first[pair]]
+        rows = self.pairs[pair]
+        at = bisect_left(rows, (r["ts_us"], -1), key=lambda x: x[:2])
+        out = [rows[at][2]] if at < len(rows) else []
+        if at:
+            out.append(rows[bisect_left(rows, (rows[at - 1][0], -1), key=lambda x: x[:2])][2])
+        return out
+
+    def best(self, r) -> Cluster | None:
+        """The cluster that the record joins: the best of at least LEAST, of these the nearest, of these the first."""
+        found = {c.order: c for k in self.sought(r) for c in self.by.get(k, ())} | {c.order: c for c in self.like(r)}
+        scored = [(c.score(r), c) for c in found.values()]
+        most = max((s for s, _ in scored), default=0)
+        if most < LEAST:
+            return None
+        t = r["ts_us"]
+        return min((c for s, c in scored if s == most), key=lambda c: (0 if t is None else abs(t - c.anchor), c.order))
+
+
 def assign(rows: list[dict], merge: bool = False) -> dict[int, str]:
     """line_idx -> first line of its cluster (or CONTROL_PLANE). Triggers seed clusters, the others join the best or found one.
 
@@ -86,27 +171,26 @@ def assign(rows: list[dict], merge: bool = False) -> dict[int, str]:
     for r in rows:
         if r["trigger"]:
             seeds[CONTROL_PLANE if merge and r["cp"] is not None else str(r["line_idx"])] = r
-    clusters = {}
-    out: dict = {}
-    for name, r in seeds.items():
-        clusters[name] = Cluster(name, r)
+    clusters, index, out = {}, Index(), {}
+
+    def take(name: str, r: dict) -> None:
+        if name not in clusters:
+            clusters[name] = Cluster(name, r, len(clusters))
         clusters[name].take(r)
+        index.add(clusters[name], r)
         out[r["line_idx"]] = name
+
+    for name, r in seeds.items():
+        take(name, r)
     for r in rows:
         if r["line_idx"] in out:
             continue
         if merge and r["cp"] is not None:
             name = CONTROL_PLANE
         else:
-            scored = [(c.score(r), c) for c in clusters.values() if c.anchor is not None]
-            best = max((s for s, _ in scored), default=0)
-            ties = [c for s, c in scored if s == best] if best >= LEAST else []
-            near = ties and (ties[0] if r["ts_us"] is None else min(ties, key=lambda c: abs(r["ts_us"] - c.anchor)))  # the first of equally near ones
+            near = index.best(r)
             name = near.first if near else str(r["line_idx"])
-        if name not in clusters:
-            clusters[name] = Cluster(name, r)
-        clusters[name].take(r)
-        out[r["line_idx"]] = name
+        take(name, r)
     return out
 
 
