@@ -203,6 +203,24 @@ def test_numbers_chunks_and_sums(spark):
     assert summed.join(df.withColumn("want", F.sum("v").over(plain)), "line_idx").filter("total <> want").count() == 0
 
 
+def test_numbers_beside_columns_of_any_name(spark):
+    df = spark.range(200).selectExpr("id AS line_idx", "id % 3 AS _part", "id AS _local", "id AS _p", "id AS _before", "id AS _k0", "id % 2 AS n_")
+    got = windows.numbered(df, ["n_"], ["line_idx"])
+    assert got.columns == [*df.columns, "i"] and got.filter("i <> line_idx DIV 2 OR _part <> line_idx % 3 OR _before <> line_idx").count() == 0
+
+
+@pytest.mark.parametrize("n", [1000, 4000])
+def test_ranges_do_not_grow_with_the_log(spark, monkeypatch, n):
+    """However many rows a key has, no task takes more than about so many of them."""
+    monkeypatch.setattr(windows, "RANGE_ROWS", 100)
+    df = spark.range(n).selectExpr("id AS line_idx", "'hot' AS label", "id * 7 AS ts_us")
+    sizes = [r["count"] for r in windows.ranged(df, ["label"], ["line_idx"]).groupBy("_part").count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 200
+    assert windows.numbered(df, [], ["line_idx"]).filter("i <> line_idx").count() == 0
+    got = windows.anchored_windows(df, ["label"], limit_us=50, most=1000)
+    assert got.count() == n and got.filter("window_start <> line_idx - line_idx % 8").count() == 0
+
+
 def test_compaction(spark):
     s = 1_000_000
     df = spark.createDataFrame([(k, t * s) for k, t in enumerate([0, 299, 599, 900, 1800])], "line_idx long, ts_us long")

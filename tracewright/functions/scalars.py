@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -137,3 +137,15 @@ def flattened(records: DataFrame) -> DataFrame:
         exploded = more.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
         name = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos"), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), F.col("key")))
         level = exploded.select("line_idx", name.alias("path"), F.col("value").alias("v"))
+
+
+def feature_stats(features: DataFrame, top: int = 0) -> DataFrame:
+    """feature, n (distinct values), known (records that have it) of every column of features() that any record has, in one pass; with top also the most frequent values."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("string").alias("value")) for c in features.columns if c != "line_idx"])).alias("x")
+    counts = features.select(each).select("x.*").filter("value IS NOT NULL").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("rows"))
+    measures = [F.count(F.lit(1)).alias("n"), F.sum("rows").cast("long").alias("known")]
+    if not top:
+        return counts.groupBy("feature").agg(*measures)
+    place = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("rows"), "value"))
+    often = counts.withColumn("place", place).filter(F.col("place") <= top).groupBy("feature").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("often"))
+    return counts.groupBy("feature").agg(*measures).join(often, "feature")

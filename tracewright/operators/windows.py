@@ -2,39 +2,57 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship, stored
+from ..session import ship, stored, unused
 
 LIMIT_US, MOST_ROWS, GAP_LEFT_US = 300_000_000, 1000, 60_000_000
 #: Rows of a chunk of a key's rows in order.
 CHUNK = 1 << 16
+#: Rows of a range, which one task takes as a whole.
+RANGE_ROWS = 1 << 20
 
 
 def parts_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ranged(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """df, dealt by ranges of (key, order) and stored with the range's number as _part: numbers that stay what they are when read again."""
-    dealt = df.repartitionByRange(parts_of(df), *key, *order).withColumn("_part", F.spark_partition_id())
-    return stored(df.sparkSession, dealt, "ranges")
+def ranged(df: DataFrame, key: list[str], order: list[str], part: str = "_part") -> DataFrame:
+    """df, dealt by ranges of (key, order) and stored with the range's number: numbers that stay what they are when read again.
+
+    A range has about RANGE_ROWS rows at most: where the session's number of partitions gives larger ones, what is stored is dealt again.
+    """
+    def dealt(rows: DataFrame, parts: int) -> DataFrame:
+        return stored(df.sparkSession, rows.repartitionByRange(parts, *key, *order).withColumn(part, F.spark_partition_id()), "ranges")
+
+    rows, parts = dealt(df, parts_of(df)), parts_of(df)
+    told = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    if (told.most or 0) > RANGE_ROWS:
+        rows = dealt(rows.drop(part), max(parts + 1, math.ceil(1.5 * told["all"] / RANGE_ROWS)))  # ranges are cut by a sample
+    return rows
 
 
 def numbered(df: DataFrame, key: list[str], order: list[str], name: str = "i") -> DataFrame:
-    """Adds 0, 1, ... in order within each key: counted by range, then offset by what the ranges before hold."""
-    rows = ranged(df, key, order)
-    counts = rows.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range that a key is in
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(key)], F.col("_part").alias("_p"), "_before")
-    same = F.col("_part") == F.col("_p")
+    """Adds 0, 1, ... in order within each key: counted by range, then offset by what the ranges before hold. Other columns may have any names."""
+    part, at = unused(df, "_part"), unused(df, "_local")
+    rows = ranged(df, key, order, part)
+    counts = rows.groupBy(*key, part).agg(F.count(F.lit(1)).alias("n_"))
+    w = Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range that a key is in
+    told = counts.withColumn("before_", F.coalesce(F.sum("n_").over(w), F.lit(0)))
+    names = {x: unused(df, f"_{x}") for x in ("p", "before", *(f"k{j}" for j in range(len(key))))}
+    before = told.select(*[F.col(k).alias(names[f"k{j}"]) for j, k in enumerate(key)], F.col(part).alias(names["p"]), F.col("before_").alias(names["before"]))
+    same = F.col(part) == F.col(names["p"])
     for j, k in enumerate(key):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{j}"))
-    local = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(*order)) - 1
-    return rows.withColumn("_local", local).join(before, same).withColumn(name, (F.col("_local") + F.col("_before")).cast("long")).drop("_local", "_p", "_part", "_before", *[f"_k{j}" for j in range(len(key))])
+        same = same & F.col(k).eqNullSafe(F.col(names[f"k{j}"]))
+    local = F.row_number().over(Window.partitionBy(*key, part).orderBy(*order)) - 1
+    out = rows.withColumn(at, local).join(before, same)
+    number = (F.col(at) + F.col(names["before"])).cast("long").alias(name)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c != name], number)
 
 
 def row_numbers(df: DataFrame, *order: str) -> DataFrame:

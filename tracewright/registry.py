@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from .functions import catalog, labels, rules, scalars
 from .operators import clustering, labelling, metrics, network, recurrent, sequence, surrogate, windows
+from .plans import store
 from .session import shared_dir, stored
 from .sources import audit
 from .sources.audit import audit_sql, audit_view
+from .streaming import clusters as stream_clusters
 from .streaming import sessions
 
 QUERIES: dict = {}
@@ -587,11 +589,9 @@ def d17_indecisions(spark, sf_dir):
     return sequence.indecisions(sequence.vote_errors(p, t, 6), p, 6).select("line", long("label"), "weight")
 
 
-@query("SELECT 'event_type' AS feature, count(DISTINCT event_type) AS n FROM events UNION ALL SELECT 'user_id', count(DISTINCT user_id) FROM events UNION ALL SELECT 'k', count(DISTINCT json_extract_string(props, '$.k')) FROM events")
+@query(f"WITH {AUDIT}, {FEATURED.format(verbs=VERBS)} SELECT x.feature AS feature, count(DISTINCT x.value) AS n, count(x.value) AS known FROM f GROUP BY 1 HAVING count(x.value) > 0")
 def d20_feature_stats(spark, sf_dir):
-    e = events(spark, sf_dir)
-    long_ = e.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("v")) for c in ("event_type", "user_id", "k")])).alias("x"))
-    return long_.groupBy("x.feature").agg(F.countDistinct("x.v").alias("n"))
+    return scalars.feature_stats(scalars.features(records(spark, sf_dir)))
 
 
 # E: windows
@@ -880,6 +880,13 @@ def g21_cluster_detail(spark, sf_dir):
     return events(spark, sf_dir).filter("user_id = 7").select("line_idx", "ts_us", "verb", "resource").orderBy("ts_us")
 
 
+@query(f"WITH {AUDIT} SELECT line_idx, ts_us, verb, resource FROM audit WHERE user_id = 7")
+def g21_cluster_store(spark, sf_dir):
+    """The same out of a table in buckets by cluster, of which one is read."""
+    name = store.write_store(events(spark, sf_dir).select(F.col("user_id").alias("cluster_id"), "line_idx", "ts_us", "verb", "resource"))
+    return store.detail(spark, name, 7).drop("cluster_id")
+
+
 # H: detection rules
 
 PERSON = "username NOT LIKE 'system:%'"
@@ -909,6 +916,15 @@ def s01_gap_sessions_stream(spark, sf_dir):
     return sessions.replayed(spark, f"{sf_dir}/events.parquet").select("event_type", F.unix_micros("start").alias("start_us"), F.unix_micros("stop").alias("stop_us"), "n")
 
 
+@query()
+def s02_cluster_stream(spark, sf_dir):
+    """The log's clusters as far as the watermark lets them close, from a stream of its records."""
+    source = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    r = labelled(spark, sf_dir)
+    r.write.parquet(source)
+    return stream_clusters.run(spark, source, r.schema)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> audit records -> proposed labels -> decoded -> requests per resource and verb."""
     d = labels.decoded(proposed(spark, sf_dir).select("line_idx", F.col("proposal").alias("label")))

@@ -50,6 +50,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with marks behind it until no column of df is called so (names don't tell cases apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _scratch = threading.local()
 
 
