@@ -6,8 +6,9 @@ order, so that names compare as the suffixes do. Names are given to repeated pre
 has found its place in the suffix array and drops out, with everything longer that contains it. Rounds go on
 until no prefix repeats. A name of a round is an LCP interval: the suffixes that agree on so many lines or
 more. In each interval the first suffix by (doc_id, line) stays; a later one is a copy of it. The deepest
-interval in which a suffix is a later one gives the run that starts there: the first suffix is where the run is
-kept, and neighbouring suffixes whose copies lie on the same diagonal join into maximal repeated runs.
+interval in which a suffix is a later one, found exactly by going down through the doublings again, gives the run that
+starts there: the first suffix is where the run is kept, and neighbouring suffixes whose copies lie on the same
+diagonal join into maximal repeated runs.
 
 Later copies go where they are runs of LEAST lines or more, or single lines of LONG characters or more.
 
@@ -79,14 +80,47 @@ def exact_levels(lines: DataFrame, least: int) -> list[tuple[int, DataFrame]]:
     return levels
 
 
+def longest_copies(levels: list[tuple[int, DataFrame]]) -> DataFrame:
+    """Of each suffix with an earlier copy: row, n, size (the most lines that an earlier suffix agrees on, exactly) and first, the first such suffix.
+
+    A suffix starts from the deepest doubling in which it is a later copy and tries to grow by half of that, a quarter, and so on:
+    of the suffixes with the same first one, those whose next lines have the same name grow together, if they aren't the first of
+    these. That one stands for them from then on, and goes on growing for itself from where it was. So of each group
+    there is one row more than there are copies.
+    """
+    levels = [(size, rows) for size, rows in levels if size & (size - 1) == 0]
+    spark = levels[0][1].sparkSession
+    later = (F.col("row") != F.col("first.row")) | (F.col("n") != F.col("first.n"))
+    columns = ["row", "doc_id", "n", "start", "size", "first", "own"]
+    every = reduce(DataFrame.unionByName, [rows.withColumn("start", F.lit(size).cast("long")).withColumn("own", later) for size, rows in levels])
+    deepest = every.filter("own").groupBy("row", "n").agg(F.max("start").alias("start"))
+    mine = every.filter("own").join(deepest, ["row", "n", "start"])
+    stands = every.filter("NOT own").join(mine.select("start", "first").distinct(), ["start", "first"])
+    entries = stored(spark, mine.unionByName(stands).withColumn("size", F.col("start")).select(*columns), "copies")
+    for step, names in reversed(levels):
+        growing = entries.filter(F.col("start") > step)
+        following = names.select("row", F.col("n").alias("at"), F.col("name").alias("next"))
+        near = growing.withColumn("at", F.col("n") + F.col("size")).join(following, ["row", "at"]).drop("at")
+        place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"), F.col("n"))
+        groups = near.groupBy("first", "size", "next").agg(F.count(F.lit(1)).alias("many"), F.min(place).alias("least")).filter("many > 1")
+        told = near.join(groups.select("first", "size", "next", F.struct("least.row", "least.n").alias("new")), ["first", "size", "next"])
+        grown = stored(spark, told.select("row", "doc_id", "n", "start", (F.col("size") + step).alias("size"), F.col("new").alias("first"), ((F.col("row") != F.col("new.row")) | (F.col("n") != F.col("new.n"))).alias("own")), "grown")
+        left = entries.join(grown.filter("own").select("row", "n", F.lit(True).alias("own")), ["row", "n", "own"], "left_anti")
+        entries = stored(spark, left.select(*columns).unionByName(grown), "copies")
+    return entries.filter("own").select("row", "n", "size", "first")
+
+
 def repeated_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The maximal repeated runs: row, doc_id, start, lines, and first_row, first_start, where their lines are kept.
 
     row numbers the rows of docs as they were stored; a run's copy is that many lines from first_start on in first_row.
     """
     base, lines = lines_of(docs)
-    deepest = later_copies(exact_levels(lines, least), least).groupBy("row", "n").agg(F.max(F.struct("size", "first")).alias("d"))
-    return runs_of(deepest.select("row", "n", "d.size", "d.first")).join(base.select("row", "doc_id"), "row")
+    levels = doubled(lines)
+    alone = later_copies(levels[:1], 2)  # single long lines
+    found = longest_copies(levels).filter(F.col("size") >= least).unionByName(alone)
+    longest = found.groupBy("row", "n").agg(F.max(F.struct("size", "first")).alias("d"))
+    return runs_of(longest.select("row", "n", "d.size", "d.first")).join(base.select("row", "doc_id"), "row")
 
 
 def runs_of(copies: DataFrame) -> DataFrame:
