@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -905,6 +906,64 @@ def h00_detection_rules(spark, sf_dir):
     return rules.with_spec(events(spark, sf_dir)).select("line_idx", F.explode(rules.detected(rules.detection_rules())).alias("rule"))
 
 
+def request_log():
+    """Requests with bodies, and by hand the rules that each must set off."""
+    def event(resource, body=None, user="admin", code=201, verb="create", stage="ResponseComplete", uri="/api/v1/x", decision="allow", **ref):
+        told = {"verb": verb, "stage": stage, "requestURI": uri, "requestReceivedTimestamp": "2024-01-01T00:00:00.000000Z", "user": {"username": user}, "objectRef": {"resource": resource, "apiVersion": "v1", **ref}, "responseStatus": {"code": code}, "annotations": {"authorization.k8s.io/decision": decision}}
+        return json.dumps({**told, "requestObject": body} if body else told)
+
+    def pod(image="evil", more=None, **spec):
+        return {"spec": {"containers": [{"image": image, **(more or {})}], **spec}}
+
+    root, trusted = {"securityContext": {"privileged": True}}, "docker.io/calico/node:v3@sha256:1"
+    cases = [
+        (event("pods", pod(more=root)), ["Create Privileged Pod"]),
+        (event("pods", pod(trusted, root)), []),
+        (event("pods", pod(volumes=[{"name": "x"}, {"hostPath": {"path": "/etc"}}])), ["Create Sensitive Mount Pod"]),
+        (event("pods", pod(volumes=[{"hostPath": {"path": "/data"}}])), []),
+        (event("pods", pod(hostNetwork=True)), ["Create HostNetwork Pod"]),
+        (event("pods", pod("gke.gcr.io/kube-proxy", hostNetwork=True)), []),
+        (event("pods", pod(hostPID=True)), ["Create HostPid Pod"]),
+        (event("pods", pod(hostIPC=True, hostPID=False)), ["Create HostIPC Pod"]),
+        (event("pods", pod(), namespace="kube-system"), ["Pod Created in Kube Namespace"]),
+        (event("pods", pod("registry.k8s.io/kube-apiserver:v1"), namespace="kube-system"), []),
+        (event("services", {"spec": {"type": "NodePort"}}), ["Create NodePort Service", "K8s Service Created"]),
+        (event("services", {"spec": {"type": "ClusterIP"}}), ["K8s Service Created"]),
+        (event("configmaps", {"data": {"a": "my password: x"}}, verb="patch", code=200), ["Create/Modify Configmap With Private Credentials"]),
+        (event("configmaps", {"data": {"a": "nothing"}}, verb="patch", code=200), []),
+        (event("clusterrolebindings", {"roleRef": {"name": "cluster-admin"}}), ["Attach to cluster-admin Role", "K8s ClusterRoleBinding Created"]),
+        (event("clusterrolebindings", {"roleRef": {"name": "view"}}), ["K8s ClusterRoleBinding Created"]),
+        (event("roles", {"rules": [{"resources": ["pods/exec"], "verbs": ["get"]}]}), ["ClusterRole With Pod Exec Created", "K8s Role Created"]),
+        (event("roles", {"rules": [{"resources": ["pods"], "verbs": ["*"]}]}), ["ClusterRole With Wildcard Created", "K8s Role Created"]),
+        (event("clusterroles", {"rules": [{"resources": ["pods"], "verbs": ["deletecollection"]}]}), ["ClusterRole With Write Privileges Created", "K8s ClusterRole Created"]),
+        (event("clusterroles", name="system:x", verb="delete", code=200), ["System ClusterRole Modified/Deleted", "K8s ClusterRole Deleted"]),
+        (event("ingresses", {"spec": {"rules": []}}), ["Ingress Object without TLS Certificate Created"]),
+        (event("ingresses", {"spec": {"tls": []}}), []),
+        (event("pods", user="system:anonymous", verb="get", uri="/api/v1/pods", code=200), ["Anonymous Request Allowed"]),
+        (event("pods", user="system:anonymous", verb="get", uri="/livez?verbose=1", code=200), []),
+        (event("pods", stage="ResponseStarted", subresource="attach"), ["Attach/Exec Pod"]),
+        (event("pods", verb="get", stage="ResponseStarted", subresource="portforward"), ["port-forward"]),
+        (event("pods", verb="patch", subresource="ephemeralcontainers", code=200), ["EphemeralContainers Created"]),
+        (event("rolebindings", verb="delete", code=200), ["K8s RoleBinding Deleted"]),
+        (event("secrets", namespace="web"), ["K8s Secret Created"]),
+        (event("secrets", verb="get", code=404, namespace="web"), ["K8s Secret Get Unsuccessfully Tried"]),
+        (event("nodes", user="mallory", verb="list", code=200), ["Disallowed K8s User"]),
+    ]
+    return cases
+
+
+REQUESTS = request_log()
+
+
+@query("SELECT event_id AS line_idx, rule FROM events JOIN (VALUES " + ", ".join(f"({k}, '{rule}')" for k, (_, told) in enumerate(REQUESTS) for rule in told) + f") v(kind, rule) ON event_id % {len(REQUESTS)} = kind")
+def h01_rules_on_requests(spark, sf_dir):
+    """Rules that look into what was asked for, on a log whose requests have bodies."""
+    body = F.element_at(F.array(*[F.lit(text) for text, _ in REQUESTS]), (F.col("event_id") % len(REQUESTS) + 1).cast("int"))
+    log = stored(spark, spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("line_idx"), body.alias("value")), "requests")
+    seen = rules.with_spec(audit.envelope(audit.parsed(log)))
+    return seen.select("line_idx", F.explode(rules.detected(rules.detection_rules())).alias("rule"))
+
+
 # Streaming
 
 
