@@ -10,9 +10,9 @@ on its count alone: these are summed over each group's histogram of counts. Only
 counts: their corrections f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0) are summed for each pair of groups within Arrow
 batches of terms, each term's groups dealt to pairs of blocks of BLOCK groups. No row is made for a pair and a term.
 
-Terms, by radix selection. Histograms of the upper, then of the lower value bits give each group's k-th largest value; where more terms tie at it than
-are needed, histograms of two bytes at a time of their UTF-8 text, from where they first differ, find the last one to
-be taken. Only what is chosen is sorted.
+Terms, by radix selection. Histograms of eight value bits at a time, from the upper ones down, give each group's k-th largest value; where more terms tie
+at it than are needed, histograms of a byte at a time of their UTF-8 text, from where they first differ, find the last one
+to be taken. Only what is chosen is sorted.
 
 A null text, lang or source is ''. A row is a document, also if it repeats a doc_id or a text. A group without kept terms is a group still: its
 pairs have the baseline alone, or 0 if its language keeps no term. A language of one source has no pairs. An empty table gives an
@@ -38,8 +38,8 @@ SLICE = 4 << 20
 #: Bytes that belong to terms: letters, and all of the characters beyond ASCII.
 TERM = np.ones(256, bool)
 TERM[:0x41] = TERM[0x5B:0x61] = TERM[0x7B:0x80] = False
-#: Value bits of the first histogram are those above so many.
-LOW_BITS = 16
+#: Bits of a value (which is below 10**9 and a little), and how many of them a histogram tells apart: a group has 256 bins at most.
+VALUE_BITS, DIGIT_BITS = 32, 8
 GROUP = ["lang", "source"]
 
 
@@ -168,21 +168,23 @@ def cut_bins(bins: DataFrame, descending: bool) -> DataFrame:
 def top_terms(rows: DataFrame, k: int = TOP) -> DataFrame:
     """Of each group the k terms of the largest value, of equal ones those that come first as UTF-8. rows: g, term, value, stored."""
     spark = rows.sparkSession
-    high, low = F.shiftright("value", LOW_BITS), F.col("value").bitwiseAND(F.lit((1 << LOW_BITS) - 1))
-    bins = rows.groupBy("g", high.alias("bin")).agg(F.count(F.lit(1)).alias("many")).withColumn("need", F.lit(k).cast("long"))
-    upper = stored(spark, cut_bins(bins, True).select("g", F.col("bin").alias("upper"), "need"), "upper")
-    within = rows.join(upper, "g").filter(high == F.col("upper"))
-    bins = within.groupBy("g", "upper", "need", low.alias("bin")).agg(F.count(F.lit(1)).alias("many"))
-    lower = cut_bins(bins, True).withColumnRenamed("bin", "lower").join(upper.select("g", "upper"), "g")
-    told = stored(spark, lower.select("g", (F.shiftleft("upper", LOW_BITS) + F.col("lower")).alias("least"), "need", "many"), "thresholds")
+    told = None
+    for shift in range(VALUE_BITS - DIGIT_BITS, -1, -DIGIT_BITS):
+        upper = F.shiftright("value", shift)
+        if told is None:
+            bins = rows.groupBy("g", upper.alias("bin")).agg(F.count(F.lit(1)).alias("many")).withColumn("need", F.lit(k).cast("long"))
+        else:
+            within = rows.join(told.select("g", "least", "need"), "g").filter(F.shiftright("value", shift + DIGIT_BITS) == F.col("least"))
+            bins = within.groupBy("g", "need", upper.alias("bin")).agg(F.count(F.lit(1)).alias("many"))
+        told = stored(spark, cut_bins(bins, True).withColumnRenamed("bin", "least"), "thresholds")
     text = F.hex(F.encode("term", "UTF-8"))
     ties = stored(spark, rows.join(told.filter("many > need").select("g", "least", "need"), "g").filter("value = least").select("g", text.alias("text"), "need"), "ties")
     limits, going = [], ties
     while not going.isEmpty():
-        # Two bytes from where the texts first differ; a text that ends there comes first.
+        # A byte more than what all have in common; a text that ends there comes first.
         span = going.groupBy("g").agg(F.min("text").alias("a"), F.max("text").alias("b"), F.first("need").alias("need"))
         differ = F.filter(F.sequence(F.lit(1), F.length("a") + 1), lambda i: F.substr("a", i, F.lit(1)) != F.substr("b", i, F.lit(1)))
-        width = 2 * F.floor((F.element_at(differ, 1) - 1) / 2) + 4
+        width = 2 * F.floor((F.element_at(differ, 1) - 1) / 2) + 2
         reach = stored(spark, span.select("g", width.cast("int").alias("width")), "span")
         cut = F.substr("text", F.lit(1), F.col("width"))
         told_of = going.join(reach, "g").withColumn("bin", cut)
