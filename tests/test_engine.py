@@ -562,6 +562,17 @@ def test_scratch_tables_go(spark):
         spark.read.parquet(gone)
 
 
+def test_sweep_deletes_what_was_stored(spark, monkeypatch):
+    from tracewright import session
+
+    monkeypatch.setattr(session, "_every", [])
+    a = stored(spark, spark.range(3).toDF("line_idx"), "a")
+    monkeypatch.setattr(session, "_every", [*session._every, ("another application", "/nowhere")])
+    assert a.count() == 3 and session.sweep(spark) == 1 and session._every == [("another application", "/nowhere")]
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        a.count()
+
+
 def test_entry_and_queries(spark):
     import __spark_entry__ as e
 

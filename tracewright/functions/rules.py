@@ -149,26 +149,85 @@ def relabelled(records: DataFrame, strict: bool = True, force: bool = False) ->
 ALLOWED_USERS = ("minikube", "minikube-user", "kubelet", "kops", "admin", "kube", "kube-proxy", "kube-apiserver-healthcheck", "kubernetes-admin", "vpa-recommender", "vpa-updater", "cluster-autoscaler", "system:addon-manager", "cloud-controller-manager", "system:kube-controller-manager")
 CLOUD_USERS = ("eks:node-manager", "eks:certificate-controller", "eks:fargate-scheduler", "eks:k8s-metrics", "eks:authenticator", "eks:cluster-event-watcher", "eks:nodewatcher", "eks:pod-identity-mutating-webhook", "eks:cloud-controller-manager", "eks:vpc-resource-controller", "eks:addon-manager")
 ADMIN_USERS = ("admin", "kubernetes-admin", "kubernetes-admin@kubernetes", "kubernetes-admin@cluster.local", "minikube-user")
-PRIVILEGED_IMAGES = """
-falcosecurity/falco docker.io/falcosecurity/falco public.ecr.aws/falcosecurity/falco docker.io/calico/node calico/node docker.io/cloudnativelabs/kube-router
-docker.io/docker/ucp-agent docker.io/mesosphere/mesos-slave docker.io/rook/toolbox docker.io/sysdig/sysdig gcr.io/google_containers/kube-proxy gcr.io/google-containers/startup-script
-gcr.io/projectcalico-org/node gke.gcr.io/kube-proxy gke.gcr.io/gke-metadata-server gke.gcr.io/netd-amd64 gke.gcr.io/watcher-daemonset gcr.io/google-containers/prometheus-to-sd
-registry.k8s.io/ip-masq-agent-amd64 registry.k8s.io/kube-proxy registry.k8s.io/prometheus-to-sd quay.io/calico/node sysdig/sysdig registry.k8s.io/dns/k8s-dns-node-cache mcr.microsoft.com/oss/kubernetes/kube-proxy
-""".split()
-MOUNT_IMAGES = """
-falcosecurity/falco docker.io/falcosecurity/falco public.ecr.aws/falcosecurity/falco docker.io/sysdig/sysdig sysdig/sysdig gcr.io/google_containers/hyperkube gcr.io/google_containers/kube-proxy docker.io/calico/node
-docker.io/rook/toolbox docker.io/cloudnativelabs/kube-router docker.io/consul docker.io/datadog/docker-dd-agent docker.io/datadog/agent docker.io/docker/ucp-agent docker.io/gliderlabs/logspout
-docker.io/netdata/netdata docker.io/google/cadvisor docker.io/prom/node-exporter amazon/amazon-ecs-agent prom/node-exporter amazon/cloudwatch-agent
-""".split()
-HOST_NETWORK_IMAGES = """
-gcr.io/google-containers/prometheus-to-sd gcr.io/projectcalico-org/typha gcr.io/projectcalico-org/node gke.gcr.io/gke-metadata-server gke.gcr.io/kube-proxy gke.gcr.io/netd-amd64
-registry.k8s.io/ip-masq-agent-amd64 registry.k8s.io/prometheus-to-sd
-""".split()
-SYSTEM_IMAGES = """
-gcr.io/google-containers/prometheus-to-sd gcr.io/projectcalico-org/node gke.gcr.io/addon-resizer gke.gcr.io/heapster gke.gcr.io/gke-metadata-server registry.k8s.io/ip-masq-agent-amd64 registry.k8s.io/kube-apiserver
-gke.gcr.io/kube-proxy gke.gcr.io/netd-amd64 gke.gcr.io/watcher-daemonset registry.k8s.io/addon-resizer registry.k8s.io/prometheus-to-sd registry.k8s.io/k8s-dns-dnsmasq-nanny-amd64
-registry.k8s.io/k8s-dns-kube-dns-amd64 registry.k8s.io/k8s-dns-sidecar-amd64 registry.k8s.io/metrics-server-amd64 kope/kube-apiserver-healthcheck
-""".split()
+PRIVILEGED_IMAGES = (
+    "falcosecurity/falco",
+    "docker.io/falcosecurity/falco",
+    "public.ecr.aws/falcosecurity/falco",
+    "docker.io/calico/node",
+    "calico/node",
+    "docker.io/cloudnativelabs/kube-router",
+    "docker.io/docker/ucp-agent",
+    "docker.io/mesosphere/mesos-slave",
+    "docker.io/rook/toolbox",
+    "docker.io/sysdig/sysdig",
+    "gcr.io/google_containers/kube-proxy",
+    "gcr.io/google-containers/startup-script",
+    "gcr.io/projectcalico-org/node",
+    "gke.gcr.io/kube-proxy",
+    "gke.gcr.io/gke-metadata-server",
+    "gke.gcr.io/netd-amd64",
+    "gke.gcr.io/watcher-daemonset",
+    "gcr.io/google-containers/prometheus-to-sd",
+    "registry.k8s.io/ip-masq-agent-amd64",
+    "registry.k8s.io/kube-proxy",
+    "registry.k8s.io/prometheus-to-sd",
+    "quay.io/calico/node",
+    "sysdig/sysdig",
+    "registry.k8s.io/dns/k8s-dns-node-cache",
+    "mcr.microsoft.com/oss/kubernetes/kube-proxy",
+)
+MOUNT_IMAGES = (
+    "falcosecurity/falco",
+    "docker.io/falcosecurity/falco",
+    "public.ecr.aws/falcosecurity/falco",
+    "docker.io/sysdig/sysdig",
+    "sysdig/sysdig",
+    "gcr.io/google_containers/hyperkube",
+    "gcr.io/google_containers/kube-proxy",
+    "docker.io/calico/node",
+    "docker.io/rook/toolbox",
+    "docker.io/cloudnativelabs/kube-router",
+    "docker.io/consul",
+    "docker.io/datadog/docker-dd-agent",
+    "docker.io/datadog/agent",
+    "docker.io/docker/ucp-agent",
+    "docker.io/gliderlabs/logspout",
+    "docker.io/netdata/netdata",
+    "docker.io/google/cadvisor",
+    "docker.io/prom/node-exporter",
+    "amazon/amazon-ecs-agent",
+    "prom/node-exporter",
+    "amazon/cloudwatch-agent",
+)
+HOST_NETWORK_IMAGES = (
+    "gcr.io/google-containers/prometheus-to-sd",
+    "gcr.io/projectcalico-org/typha",
+    "gcr.io/projectcalico-org/node",
+    "gke.gcr.io/gke-metadata-server",
+    "gke.gcr.io/kube-proxy",
+    "gke.gcr.io/netd-amd64",
+    "registry.k8s.io/ip-masq-agent-amd64",
+    "registry.k8s.io/prometheus-to-sd",
+)
+SYSTEM_IMAGES = (
+    "gcr.io/google-containers/prometheus-to-sd",
+    "gcr.io/projectcalico-org/node",
+    "gke.gcr.io/addon-resizer",
+    "gke.gcr.io/heapster",
+    "gke.gcr.io/gke-metadata-server",
+    "registry.k8s.io/ip-masq-agent-amd64",
+    "registry.k8s.io/kube-apiserver",
+    "gke.gcr.io/kube-proxy",
+    "gke.gcr.io/netd-amd64",
+    "gke.gcr.io/watcher-daemonset",
+    "registry.k8s.io/addon-resizer",
+    "registry.k8s.io/prometheus-to-sd",
+    "registry.k8s.io/k8s-dns-dnsmasq-nanny-amd64",
+    "registry.k8s.io/k8s-dns-kube-dns-amd64",
+    "registry.k8s.io/k8s-dns-sidecar-amd64",
+    "registry.k8s.io/metrics-server-amd64",
+    "kope/kube-apiserver-healthcheck",
+)
 SENSITIVE_MOUNTS = ("/proc", "/var/run/docker.sock", "/", "/etc", "/root", "/var/run/crio/crio.sock", "/run/containerd/containerd.sock", "/home/admin", "/var/lib/kubelet", "/var/lib/kubelet/pki", "/etc/kubernetes", "/etc/kubernetes/manifests")
 CREDENTIALS = ("aws_access_key_id", "aws-access-key-id", "aws_s3_access_key_id", "aws-s3-access-key-id", "password", "passphrase")
 KNOWN_NAMESPACES = ("kube-system", "kube-public", "default")

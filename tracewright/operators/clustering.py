@@ -31,7 +31,7 @@ def trivial(records: DataFrame) -> DataFrame:
     """Adds case: `single` and `triggers` give a cluster a row, `fold` needs the scorer. Wants label, trigger."""
     sizes = records.groupBy("label").agg(F.count(F.lit(1)).alias("_n"), F.count_if("trigger").alias("_t"))
     told = sizes.select("label", F.when(F.col("_n") == 1, "single").when(F.col("_t") == F.col("_n"), "triggers").otherwise("fold").alias("case"))
-    return records.join(F.broadcast(told), "label")  # a row a label: labels have 22 bits, those of the catalog are 1357
+    return records.join(told, "label")
 
 
 def cluster_id(first) -> Column:

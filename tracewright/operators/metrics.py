@@ -65,7 +65,7 @@ def component_kappa(pairs: DataFrame) -> DataFrame:
     from .sequence import PARTS, label_parts
 
     known = decoded(pairs.select(F.col("actual").alias("label")).unionByName(pairs.select(F.col("predicted").alias("label"))).distinct()).filter("NOT error")
-    ok = F.broadcast(known.select(F.col("label").alias("_l")))  # labels have 22 bits
+    ok = known.select(F.col("label").alias("_l"))
     rows = pairs.join(ok, F.col("actual") == F.col("_l"), "left_semi").join(ok.withColumnRenamed("_l", "_m"), F.col("predicted") == F.col("_m"), "left_semi")
     a, p = label_parts(F.col("actual")), label_parts(F.col("predicted"))
     each = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("component"), a[k].alias("actual"), p[k].alias("predicted")) for k in PARTS])).alias("x")).select("x.*")

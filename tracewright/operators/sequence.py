@@ -88,7 +88,7 @@ def vote_errors(predictions: DataFrame, truth: DataFrame, width: int, unscored:
     bucket = F.when(right, None).when(F.size("labels") <= 1, "one, not in it").when(had, "many, in it").otherwise("many, not in it")
     out = rows.withColumns({"correct": right, "_b": bucket})
     known = decoded(out.select(F.col("true_label").alias("label")).unionByName(out.select(F.col("predicted").alias("label"))).distinct()).filter("NOT error").select("label")
-    ok = out.join(F.broadcast(known.withColumnRenamed("label", "_t")), F.col("true_label") == F.col("_t"), "left").join(F.broadcast(known.withColumnRenamed("label", "_q")), F.col("predicted") == F.col("_q"), "left")  # labels have 22 bits
+    ok = out.join(known.withColumnRenamed("label", "_t"), F.col("true_label") == F.col("_t"), "left").join(known.withColumnRenamed("label", "_q"), F.col("predicted") == F.col("_q"), "left")
     return ok.select("line", "true_label", "predicted", "correct", F.when(F.col("_t").isNotNull() & F.col("_q").isNotNull(), F.col("_b")).alias("bucket"))
 
 

@@ -850,7 +850,7 @@ def g15_core_metric_box(spark, sf_dir):
 def g16_confusion_focus(spark, sf_dir):
     c = metrics.confusion(pairs(spark, sf_dir)).withColumn("weight", F.sum("n").over(Window.partitionBy("actual")))
     perfect = c.filter("actual = predicted AND share >= 0.9999").select("actual")
-    return c.join(F.broadcast(perfect), "actual", "left_anti").select("actual", "predicted", "weight", F.round("share", 9).alias("share"))
+    return c.join(perfect, "actual", "left_anti").select("actual", "predicted", "weight", F.round("share", 9).alias("share"))
 
 
 @query(f"WITH {VOTES}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY weight DESC, first, label) - 1 AS rank_ FROM v) SELECT e.event_id AS line, r.rank_ FROM events e LEFT JOIN r ON r.k = e.event_id AND r.label = e.event_id % 5")

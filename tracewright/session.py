@@ -59,6 +59,8 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 _scratch = threading.local()
+#: What this process has stored, and for which application.
+_every: list[tuple[str, str]] = []
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -67,6 +69,7 @@ def stored(spark: SparkSession, df: DataFrame, name: str, by: str | None = None)
     df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     for paths in getattr(_scratch, "open", []):
         paths.append(path)
+    _every.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -82,6 +85,18 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
         yield paths
     finally:
         _scratch.open = [x for x in _scratch.open if x is not paths]
-        for path in paths:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        remove(spark, paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes all that this session's application has stored in the shared folder, once its results are written elsewhere; how many tables."""
+    own = [path for app, path in _every if app == spark.sparkContext.applicationId]
+    remove(spark, own)
+    _every[:] = [x for x in _every if x[1] not in set(own)]
+    return len(own)
