@@ -62,7 +62,7 @@ def test_ties_are_cut_by_their_bytes(spark):
     stem = "same" * 20
     names = [stem + a + b for a in "abcé" for b in ("", "a", "aa", "ab", "z" * 30, "é", "日")] + ["日", "ÿ", stem]
     rows = [(" ".join(names), "en", "mine"), ("other things", "en", "yours"), *[("", "en", f"s{k}") for k in range(3)]]
-    for top in (1, 5, 13, 40):
+    for top in (1, 13):
         assert found(spark, rows, least=1, top=top) == brute(rows, 1, top)
 
 
