@@ -81,14 +81,17 @@ def labelled_records(spark, sf_dir) -> DataFrame:
 # A: sources
 
 
-@query(f"WITH {CATALOG} SELECT cat_group, cat_version, cat_name, CAST(type_id AS BIGINT) AS type_id, CAST(sub_id AS BIGINT) AS sub_id, namespaced, CAST(len(verbs) AS BIGINT) AS n_verbs FROM catalog")
+@query(f"WITH {PROPOSED}, n AS (SELECT type_id, sub_id, count(*) AS records FROM entry GROUP BY 1, 2) SELECT cat_group, cat_version, cat_name, CAST(c.type_id AS BIGINT) AS type_id, CAST(c.sub_id AS BIGINT) AS sub_id, namespaced, CAST(len(verbs) AS BIGINT) AS n_verbs, coalesce(records, 0) AS records FROM catalog c LEFT JOIN n ON n.type_id = c.type_id AND n.sub_id = c.sub_id")
 def a09_csv_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.catalog(spark).select("cat_group", "cat_version", "cat_name", long("type_id"), long("sub_id"), "namespaced", F.size("verbs").cast("long").alias("n_verbs"))
+    """The catalog, and how many of the log's records have each entry."""
+    n = labels.with_entry(audit_view(spark, sf_dir)).groupBy("type_id", "sub_id").agg(F.count(F.lit(1)).alias("records"))
+    every = catalog.catalog(spark).join(n, ["type_id", "sub_id"], "left").fillna(0, ["records"])
+    return every.select("cat_group", "cat_version", "cat_name", long("type_id"), long("sub_id"), "namespaced", F.size("verbs").cast("long").alias("n_verbs"), "records")
 
 
-@query("SELECT * FROM (VALUES ('create', 1), ('delete', 2), ('deletecollection', 2), ('get', 3), ('list', 3), ('patch', 4), ('update', 4), ('watch', 5)) v(verb, verb_id)")
+@query(f"WITH {AUDIT}, n AS (SELECT verb, count(*) AS records FROM audit GROUP BY 1) SELECT v.verb, v.verb_id, coalesce(records, 0) AS records FROM (VALUES ('create', 1), ('delete', 2), ('deletecollection', 2), ('get', 3), ('list', 3), ('patch', 4), ('update', 4), ('watch', 5)) v(verb, verb_id) LEFT JOIN n ON n.verb = v.verb")
 def a10_csv_verbs(spark, sf_dir):
-    return catalog.verbs(spark)
+    return catalog.verbs(spark).join(events(spark, sf_dir).groupBy("verb").agg(F.count(F.lit(1)).alias("records")), "verb", "left").fillna(0, ["records"])
 
 
 OFF = "[ignore_log]\nresponse_started_watch = True\nnodes_getting_their_own_status = False\ncni_and_external_namespaces = no\n"
@@ -230,10 +233,12 @@ def b07_label_decode_string(spark, sf_dir):
     return labels.decoded(proposed(spark, sf_dir).select("line_idx", F.col("proposal").alias("label"))).select("line_idx", "label_text")
 
 
-@query(f"WITH {CATALOG}, v AS (SELECT unnest(['create', 'delete', 'deletecollection', 'get', 'list', 'patch', 'update', 'watch']) AS verb) SELECT cat_group, cat_name, verb, {ALLOWED} AS ok FROM catalog CROSS JOIN v")
+@query(f"WITH {PROPOSED}, v AS (SELECT unnest(['create', 'delete', 'deletecollection', 'get', 'list', 'patch', 'update', 'watch']) AS verb), c AS (SELECT cat_group, cat_name, type_id, sub_id, verb, {ALLOWED} AS ok FROM catalog CROSS JOIN v), n AS (SELECT type_id, sub_id, verb, count(*) AS asked FROM entry GROUP BY 1, 2, 3) SELECT cat_group, cat_name, c.verb, ok, coalesce(asked, 0) AS asked FROM c LEFT JOIN n ON n.type_id = c.type_id AND n.sub_id = c.sub_id AND n.verb = c.verb")
 def b08_validate_operation(spark, sf_dir):
+    """Whether each entry allows each verb, and how often the log asks for it."""
     c = catalog.catalog(spark).withColumn("verb", F.explode(F.array(*map(F.lit, catalog.VERB_IDS))))
-    return c.select("cat_group", "cat_name", "verb", labels.allowed(F.col("verb"), F.col("verbs")).alias("ok"))
+    asked = labels.with_entry(audit_view(spark, sf_dir)).groupBy("type_id", "sub_id", "verb").agg(F.count(F.lit(1)).alias("asked"))
+    return c.join(asked, ["type_id", "sub_id", "verb"], "left").fillna(0, ["asked"]).select("cat_group", "cat_name", "verb", labels.allowed(F.col("verb"), F.col("verbs")).alias("ok"), "asked")
 
 
 @query(f"WITH {PROPOSED} SELECT line_idx, CAST(type_id AS BIGINT) AS type_id, coalesce(type_id IS NOT NULL AND {ALLOWED}, false) AS valid FROM entry")
@@ -247,9 +252,11 @@ def b11_label_is_crd(spark, sf_dir):
     return proposed(spark, sf_dir).select("line_idx", labels.is_crd(F.col("proposal")).alias("is_crd"))
 
 
-@query(f"WITH {CATALOG}, v AS (SELECT *, unnest(verbs) AS verb FROM catalog), f AS (SELECT unnest([0, 1]) AS flag) SELECT DISTINCT CAST(type_id * 4096 + sub_id % 8 * 512 + a.flag * 256 + b.flag * 128 + ({VERBS}) * 16 + sub_id // 8 AS BIGINT) AS label FROM v, f a, f b UNION ALL SELECT -1")
+@query(f"WITH {PROPOSED}, v AS (SELECT *, unnest(verbs) AS verb FROM catalog), f AS (SELECT unnest([0, 1]) AS flag), space AS (SELECT DISTINCT CAST(type_id * 4096 + sub_id % 8 * 512 + a.flag * 256 + b.flag * 128 + ({VERBS}) * 16 + sub_id // 8 AS BIGINT) AS label FROM v, f a, f b UNION ALL SELECT -1) SELECT label, count(proposal) AS records FROM space LEFT JOIN proposed ON proposal = label GROUP BY label")
 def b12_label_space(spark, sf_dir):
-    return labels.label_space(spark).select(long("label"))
+    """Every label that there can be, and how many records of the log are proposed it."""
+    n = proposed(spark, sf_dir).groupBy(F.col("proposal").alias("label")).agg(F.count(F.lit(1)).alias("records"))
+    return labels.label_space(spark).join(n, "label", "left").fillna(0, ["records"]).select(long("label"), "records")
 
 
 @query(f"WITH {PROPOSED} SELECT line_idx, is_trigger FROM valid")
@@ -405,15 +412,24 @@ def d01_preprocess(spark, sf_dir):
     return f.select("line_idx", each).select("line_idx", "x.feature", "x.value").filter("value IS NOT NULL")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}')" for f in scalars.FEATURES) + ") v(feature)")
+KNOWN = f"WITH {AUDIT}, {FEATURED.format(verbs=VERBS)}, n AS (SELECT x.feature AS feature, count(x.value) AS known FROM f GROUP BY 1) SELECT v.feature, coalesce(known, 0) AS known FROM (VALUES " + ", ".join(f"('{f}')" for f in scalars.FEATURES) + ") v(feature) LEFT JOIN n ON n.feature = v.feature"
+
+
+def features_known(spark, sf_dir, drop: tuple[int, ...] = ()) -> DataFrame:
+    """The features, and how many records of the log have each."""
+    made = scalars.features(records(spark, sf_dir), drop=drop)
+    names = spark.createDataFrame([(c,) for c in made.columns if c != "line_idx"], "feature string")
+    return names.join(scalars.feature_stats(made).select("feature", "known"), "feature", "left").fillna(0, ["known"])
+
+
+@query(KNOWN)
 def d02_feature_list(spark, sf_dir):
-    return spark.createDataFrame([(f,) for f in sorted(scalars.FEATURES)], "feature string")
+    return features_known(spark, sf_dir)
 
 
-@query("SELECT feature FROM (VALUES " + ", ".join(f"('{f}')" for f in scalars.FEATURES) + ") v(feature) WHERE feature NOT IN ('annotations.authorization.k8s.io/decision', 'objectRef.namespace', 'verb')")
+@query(KNOWN + " WHERE v.feature NOT IN ('annotations.authorization.k8s.io/decision', 'objectRef.namespace', 'verb')")
 def d03_feature_drop(spark, sf_dir):
-    kept = [c for c in scalars.features(records(spark, sf_dir), drop=(0, 2, 38)).columns if c != "line_idx"]
-    return spark.createDataFrame([(c,) for c in kept], "feature string")
+    return features_known(spark, sf_dir, drop=(0, 2, 38))
 
 
 FIRST = "SELECT {c} AS value, row_number() OVER (ORDER BY min(line_idx)) - 1 AS code FROM audit GROUP BY 1"
