@@ -34,6 +34,13 @@ def decode_ordinal(df: DataFrame, mapping: DataFrame, code: str = "code") -> Dat
     return df.join(named, df[code] == named["_c"], "left").drop("_c").withColumn("decoded", F.coalesce("decoded", F.lit("UNKNOWN")))
 
 
+def held_out(index: Column, share: float = 0.1, seed: int = 7) -> Column:
+    """Whether a record is put aside for testing, by its number alone: the same wherever and however often it is asked. Plain arithmetic, so that any engine can say it."""
+    x = F.pmod(F.pmod(index, F.lit(1 << 32)) * 2654435761 + F.lit(seed * 40503), F.lit(1 << 32))
+    mixed = F.pmod(x.bitwiseXOR(F.shiftright(x, 16)) * 73244475, F.lit(1 << 32))
+    return F.shiftright(mixed, 12) < int(share * (1 << 20))
+
+
 def weight(width: int, offset: Column) -> Column:
     """1 - |j - W/2| / (W/2), times W: an integer, so that ties are exact."""
     return width - F.abs(2 * offset - width)

@@ -470,10 +470,9 @@ def d08_sliding_sequences(spark, sf_dir):
     return s.select("line_idx", "event_type", total("k").alias("sum_k"), total("user_id").alias("sum_user"))
 
 
-@query()
+@query("WITH h AS (SELECT event_id AS line_idx, (event_id * 2654435761 + 7 * 40503) % 4294967296 AS x FROM events), m AS (SELECT line_idx, (xor(x, x >> 16) * 73244475 % 4294967296) >> 12 AS y FROM h) SELECT line_idx, CASE WHEN y < 104857 THEN 'test' ELSE 'train' END AS part FROM m")
 def d09_train_test_split(spark, sf_dir):
-    train, test = events(spark, sf_dir).select("line_idx").randomSplit([0.9, 0.1], seed=7)
-    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return events(spark, sf_dir).select("line_idx", F.when(sequence.held_out(F.col("line_idx").cast("long")), "test").otherwise("train").alias("part"))
 
 
 @query("WITH i AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events), f AS (SELECT CASE WHEN i < n % 7 * (n // 7 + 1) THEN i // (n // 7 + 1) ELSE n % 7 + (i - n % 7 * (n // 7 + 1)) // (n // 7) END AS fold, event_id FROM i) SELECT fold, count(*) AS size, min(event_id) AS first, max(event_id) AS last FROM f GROUP BY fold")
