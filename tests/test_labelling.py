@@ -62,3 +62,11 @@ def test_labels_of_other_verbs_by_hand(spark):
     assert all(x != -1 for x in (got[1].create_label, got[1].delete_label, got[1].watch_label, got[1].patch_label))
     assert {got[2].proposal, got[2].create_label, got[2].watch_label} == {-1}
     assert all(r[c] in space for r in got.values() for c in ("proposal", "create_label", "delete_label", "watch_label", "patch_label"))
+
+
+def test_verbs_that_there_are_not(spark):
+    df = spark.createDataFrame([("get",), ("watch",), ("fly",), (None,)], "verb string")
+    assert [r[0] for r in df.select(labels.verb_id(F.col("verb"))).collect()] == [3, 5, None, None]
+    assert [r[0] for r in df.filter("verb IN ('get', 'watch')").select(labels.verb_id(F.col("verb"), strict=True)).collect()] == [3, 5]
+    with pytest.raises(Exception, match="not a verb: fly"):
+        df.select(labels.verb_id(F.col("verb"), strict=True)).collect()

@@ -17,8 +17,10 @@ def truthy(c: Column) -> Column:
     return F.coalesce(c != "", F.lit(False))
 
 
-def verb_id(verb: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in VERB_IDS.items() for x in kv]), verb)
+def verb_id(verb: Column, strict: bool = False) -> Column:
+    """The verb's class; null for a verb that there isn't, or with strict an error."""
+    found = F.element_at(F.create_map(*[F.lit(x) for kv in VERB_IDS.items() for x in kv]), verb)
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("not a verb: "), F.coalesce(verb, F.lit("null")))).cast("int")) if strict else found
 
 
 def encode(type_id: Column, sub_id: Column, namespaced: Column, single: Column, verb: Column) -> Column:

@@ -327,6 +327,14 @@ def b24_labelled_informative(spark, sf_dir):
     return proposed(spark, sf_dir).filter("proposal >= 0").select("line_idx", "username", "verb", "resource", "name", long("proposal", "label"))
 
 
+@query(f"WITH {PROPOSED} SELECT line_idx, username, verb, resource, subresource, CASE WHEN has_namespace_key THEN namespace END AS namespace, name, split_part(uri, '?', 1) AS requesturi, CASE line_idx % 4 WHEN 0 THEN concat('uid-', k) WHEN 2 THEN concat('det-', k) WHEN 3 THEN concat('uid-', k) END AS uid, line_idx % 6 IN (1, 4) AS owned, line_idx % 9 = 2 AS involved, line_idx % 15 = 4 AS claimed, CAST(proposal AS BIGINT) AS label FROM proposed WHERE has_ref AND proposal >= 0")
+def b24_labelled_record(spark, sf_dir):
+    """All of the informative record, with the label that its request proposes."""
+    r = labels.propose(records(spark, sf_dir)).filter("proposal >= 0")
+    i = scalars.informative(r).join(r.select("line_idx", "proposal"), "line_idx")
+    return i.select("line_idx", "username", "verb", "resource", "subresource", "namespace", "name", F.col("requestURI").alias("requesturi"), "uid", F.col("ownerReferences").isNotNull().alias("owned"), F.col("involvedObject").isNotNull().alias("involved"), F.col("claimRef").isNotNull().alias("claimed"), long("proposal", "label"))
+
+
 # C: rule cascades
 
 
