@@ -41,11 +41,11 @@ def numbered(df: DataFrame, key: list[str], order: list[str], name: str = "i") -
     """Adds 0, 1, ... in order within each key: counted by range, then offset by what the ranges before hold. Other columns may have any names."""
     part, at = unused(df, "_part"), unused(df, "_local")
     rows = ranged(df, key, order, part)
-    counts = rows.groupBy(*key, part).agg(F.count(F.lit(1)).alias("n_"))
+    names = {x: unused(df, f"_{x}") for x in ("n", "p", "before", *(f"k{j}" for j in range(len(key))))}
+    counts = rows.groupBy(*key, part).agg(F.count(F.lit(1)).alias(names["n"]))
     w = Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range that a key is in
-    told = counts.withColumn("before_", F.coalesce(F.sum("n_").over(w), F.lit(0)))
-    names = {x: unused(df, f"_{x}") for x in ("p", "before", *(f"k{j}" for j in range(len(key))))}
-    before = told.select(*[F.col(k).alias(names[f"k{j}"]) for j, k in enumerate(key)], F.col(part).alias(names["p"]), F.col("before_").alias(names["before"]))
+    told = counts.withColumn(names["before"], F.coalesce(F.sum(names["n"]).over(w), F.lit(0)))
+    before = told.select(*[F.col(k).alias(names[f"k{j}"]) for j, k in enumerate(key)], F.col(part).alias(names["p"]), names["before"])
     same = F.col(part) == F.col(names["p"])
     for j, k in enumerate(key):
         same = same & F.col(k).eqNullSafe(F.col(names[f"k{j}"]))
