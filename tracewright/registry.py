@@ -715,7 +715,7 @@ def f04_cluster_metadata(spark, sf_dir):
 
 @query()
 def f05_greedy_assign(spark, sf_dir):
-    return clustering.clustered(stored(spark, labelled_records(spark, sf_dir), "records"))
+    return clustering.clustered(stored(spark, labelled_records(spark, sf_dir).drop("raw", "value"), "records"))
 
 
 @query(f"WITH {PROPOSED}, r AS (SELECT *, {rules.control_plane_sql()} AS cp FROM valid) SELECT line_idx, cp IS NOT NULL AS merged FROM r WHERE label IS NOT NULL AND (cp IS NOT NULL OR is_trigger)")
@@ -742,7 +742,7 @@ def f09_cluster_table(spark, sf_dir):
 
 @query()
 def f10_cluster_log(spark, sf_dir):
-    return clustering.cluster_log(stored(spark, labelled_records(spark, sf_dir).drop("proposal"), "records"), merge=True)
+    return clustering.cluster_log(stored(spark, labelled_records(spark, sf_dir).drop("proposal", "raw", "value"), "records"), merge=True)
 
 
 # G: evaluation

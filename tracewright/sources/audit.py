@@ -144,7 +144,8 @@ DUCK = {"K": "CAST(json_extract_string(props, '$.k') AS INTEGER)", "US": "epoch_
 
 def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as lines of a log: line_idx, value (JSON); stored, as a log is."""
-    return stored(spark, audit_view(spark, sf_dir, True).select("line_idx", F.col("line").alias("value")), "lines")
+    made, many = audit_view(spark, sf_dir, True).select("line_idx", F.col("line").alias("value")), spark.sparkContext.defaultParallelism
+    return stored(spark, made.repartition(many) if made.rdd.getNumPartitions() < many else made, "lines")  # a small file is one split
 
 
 def audit_view(spark: SparkSession, sf_dir: str, lines: bool = False) -> DataFrame:
