@@ -26,7 +26,7 @@ TEST, ASIDE = 100, 300
 def flat_windows(data: recurrent.Blocks, run: recurrent.Run, columns: list[str]) -> tuple[DataFrame, list[str]]:
     """window, mimic and truth (classes of the first part at the first place, truth -1 if unknown) and a column for each feature and place."""
     width, features, parts = run.shape.width, data.features, data.parts
-    slim = replace(run, weights=run.best_weights, moments=None, best_weights=None, history=[])
+    slim, = recurrent.light([run], best=True)
     names = [f"{c}_t{t}" for t in range(width) for c in columns]
 
     def flatten(batches):
@@ -37,7 +37,7 @@ def flat_windows(data: recurrent.Blocks, run: recurrent.Run, columns: list[str])
                 x = codes[starts[:, None] + np.arange(width)].reshape(len(starts), -1)
                 yield pa.RecordBatch.from_pydict({"window": first + starts, "mimic": pa.array(told, pa.int32()), "truth": pa.array(targets[starts, 0], pa.int32()), **{n: pa.array(x[:, k], pa.int32()) for k, n in enumerate(names)}})
 
-    return data.table.mapInArrow(flatten, "window long, mimic int, truth int, " + ", ".join(f"`{n}` int" for n in names)), names
+    return data.table.select(*recurrent.READ).mapInArrow(flatten, "window long, mimic int, truth int, " + ", ".join(f"`{n}` int" for n in names)), names
 
 
 @dataclass
