@@ -593,3 +593,15 @@ def test_stream_matches_batch(spark):
     closed = {(r.event_type, r.start, r.n) for r in runs.collect() if (top - r["last"]).total_seconds() > 600}
     every = {(r.event_type, r.start, r.n) for r in runs.collect()}
     assert closed <= got <= every and len(closed) > 100
+
+
+def test_levels_are_gone_down_in_one_pass(spark, tmp_path, monkeypatch):
+    kept, passes = scalars.stored, []
+    monkeypatch.setattr(scalars, "stored", lambda *a: passes.append(1) or kept(*a))
+    rows = ['{"a":{"b":[1,null,{"c":"x"},[],{}]},"e":{},"n":null,"t":true}', '[{"z":[[2]]}]', "7", "[]"]
+    raw = spark.createDataFrame(list(enumerate(rows)), "line_idx long, value string").select("line_idx", F.parse_json("value").alias("raw"))
+    want = {(0, "a.b[0]", "1"), (0, "a.b[1]", None), (0, "a.b[2].c", "x"), (0, "n", None), (0, "t", "true"), (1, "[0].z[0][0]", "2"), (2, "", "7")}
+    for levels, n in ((scalars.LEVELS, 1), (2, 2), (1, 4)):
+        passes.clear()
+        got = [tuple(r) for r in scalars.flattened(raw, levels).collect()]
+        assert set(got) == want and len(got) == len(want) and len(passes) == n

@@ -121,22 +121,29 @@ def stage_epoch(stage: Column) -> Column:
     return F.unix_seconds(F.try_to_timestamp(stage))
 
 
-def flattened(records: DataFrame) -> DataFrame:
-    """(line_idx, path, value) of every scalar, as a.b and a[0].b, however deep; empty objects and lists vanish. A step a level, each stored."""
+#: Levels that flattened() goes down in one pass.
+LEVELS = 8
+
+
+def flattened(records: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(line_idx, path, value) of every scalar, as a.b and a[0].b, however deep; empty objects and lists vanish. A pass goes down some levels and is stored; what lies deeper takes another."""
     spark = records.sparkSession
-    level = records.select("line_idx", F.lit("").alias("path"), F.col("raw").alias("v"))
-    out = None
+    at, out, first = records.select("line_idx", F.lit("").alias("path"), F.col("raw").alias("v")), None, True
     while True:
+        for k in range(levels):
+            explode = spark.tvf.variant_explode_outer if first or k else spark.tvf.variant_explode  # a later pass begins with what has children, or vanishes
+            table = explode(F.col("v").outer())
+            name = F.when(F.col("pos").isNull(), F.col("path")).when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos"), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), F.col("key")))
+            at = at.lateralJoin(table).select("line_idx", name.alias("path"), F.when(F.col("pos").isNull(), F.col("v")).otherwise(F.col("value")).alias("v"))
         kind = F.schema_of_variant("v")
-        known = stored(spark, level.select("line_idx", "path", F.to_json("v").alias("json"), (kind.startswith("OBJECT") | kind.startswith("ARRAY")).alias("inner"), F.try_variant_get("v", "$", "string").alias("value")), "level")
-        leaf = known.filter("NOT inner").select("line_idx", "path", "value")
+        inner = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        known = stored(spark, at.select("line_idx", "path", F.when(inner, F.to_json("v")).alias("json"), F.when(~inner, F.try_variant_get("v", "$", "string")).alias("value")), "level")
+        leaf = known.filter("json IS NULL").select("line_idx", "path", "value")
         out = leaf if out is None else out.unionByName(leaf)
-        more = known.filter("inner").select("line_idx", "path", F.parse_json("json").alias("v"))
+        more = known.filter("json NOT IN ('{}', '[]')")
         if more.isEmpty():
             return out
-        exploded = more.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-        name = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos"), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), F.col("key")))
-        level = exploded.select("line_idx", name.alias("path"), F.col("value").alias("v"))
+        at, first = more.select("line_idx", "path", F.parse_json("json").alias("v")), False
 
 
 def feature_stats(features: DataFrame, top: int = 0) -> DataFrame:
