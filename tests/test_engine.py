@@ -605,3 +605,16 @@ def test_levels_are_gone_down_in_one_pass(spark, tmp_path, monkeypatch):
         passes.clear()
         got = [tuple(r) for r in scalars.flattened(raw, levels).collect()]
         assert set(got) == want and len(got) == len(want) and len(passes) == n
+
+
+def test_modes_are_told_in_one_pass(spark):
+    from tracewright.plans.reduce import MODES, reduced, tally
+
+    columns = "line_idx long, uri string, has_ref boolean, stage string, verb string, resource string, subresource string, namespace string, name string, username string"
+    rows = [(k, "/api/v1/pods", True, "ResponseComplete", ["watch", "get", "list"][k % 3], ["pods", "nodes"][k % 2], None, ["falco", "web", None, "web", None][k % 5], None, ["system:apiserver", "alice"][k % 2]) for k in range(60)]
+    df = spark.createDataFrame(rows, columns)
+    for part in (df, df.filter("line_idx < 0")):
+        told = tally(part, "line_idx")
+        want = {(m, *reduced(part, m).agg(F.count("*"), F.sum("line_idx")).first()) for m in MODES}
+        assert {tuple(r) for r in told.collect()} == want
+        assert told._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
