@@ -70,3 +70,12 @@ def test_verbs_that_there_are_not(spark):
     assert [r[0] for r in df.filter("verb IN ('get', 'watch')").select(labels.verb_id(F.col("verb"), strict=True)).collect()] == [3, 5]
     with pytest.raises(Exception, match="not a verb: fly"):
         df.select(labels.verb_id(F.col("verb"), strict=True)).collect()
+
+
+def test_records_are_reckoned_once(spark, monkeypatch):
+    """What context() proposes is stored before ranges are sampled, dealt and asked for the last record."""
+    kept, names = labelling.stored, []
+    monkeypatch.setattr(labelling, "stored", lambda s, df, name: names.append(name) or kept(s, df, name))
+    asked = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(spark.createDataFrame(log(60), SCHEMA).rdd.map(lambda r: asked.add(1) or r), SCHEMA)
+    assert labelling.context(df, open_only=False).count() == 60 and names == ["told"] and asked.value == 60

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import UNKNOWN
 from ..functions.labels import propose
+from ..session import stored
 from .windows import in_chunks
 
 #: The record's own label if it had another verb.
@@ -31,6 +32,7 @@ def context(records: DataFrame, open_only: bool = True) -> DataFrame:
     than -1 are looked at by others, but left out themselves.
     """
     told = propose(records, OTHER_VERBS).select("line_idx", "ts_us", "verb", F.coalesce(F.col("cplabel"), F.lit(False)).alias("marked"), F.coalesce(F.col("username").startswith("system:"), F.lit(False)).alias("system"), (F.col("label").isNull() | (F.col("label") == UNKNOWN)).alias("open"), "proposal", *OTHER_VERBS)
+    told = stored(records.sparkSession, told, "told")  # read by the sample of the ranges, their rows and the last record
     rows, w, own = in_chunks(told, [], ["line_idx"], behind=1, ahead=FAR)
     last = told.agg(F.max_by("ts_us", "line_idx").alias("last_us"))
     looks = [c for name, verbs in NEXT_VERBS.items() for c in first_after(w, F.col("verb").isin(*verbs), LOOK, name)]
