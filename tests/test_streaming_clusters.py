@@ -59,3 +59,10 @@ def test_late_beyond_the_watermark_is_dropped(spark, tmp_path):
         spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(source)
         got = clusters.run(spark, source, spark.createDataFrame([], SCHEMA).schema, out)
     assert {r.line_idx for r in got.collect()} == {1, 2}
+
+
+def test_records_wait_as_text():
+    from tracewright.streaming import clusters
+
+    text = '{"line_idx":3,"ts_us":7,"label":1,"username":"u","verb":"get","resource":"pods"}'
+    assert clusters.light(text) == {"line_idx": 3, "ts_us": 7, "text": text} and clusters.resolved(text)["username"] == "u"

@@ -25,6 +25,8 @@ from ..session import ship, shared_dir
 
 COLUMNS = ["line_idx", "label", "ts_us", "trigger", "cp", "username", "verb", "resource", "namespace", "name", *OPTIONAL]
 OUT = "line_idx long, label int, window_start long, first string"
+#: Rows given out at once, and at most those of a window more.
+OUT_ROWS = 10_000
 
 
 def closed(held: list[dict], watermark_us: int, limit_us: int = LIMIT_US, most: int = MOST_ROWS) -> tuple[list[list[dict]], list[dict]]:
@@ -42,6 +44,12 @@ def closed(held: list[dict], watermark_us: int, limit_us: int = LIMIT_US, most:
     return out, held[at:]
 
 
+def light(text: str) -> dict:
+    """What tells a record's window, and its JSON as it is: a record is taken apart only with the window that it leaves in."""
+    r = json.loads(text)
+    return {"line_idx": r["line_idx"], "ts_us": r["ts_us"], "text": text}
+
+
 def resolved(text: str) -> dict:
     """A record out of its JSON, as the scorer takes it."""
     r = json.loads(text)
@@ -61,15 +69,23 @@ def cluster_stream(records: DataFrame, late: str = "60 seconds", merge: bool = F
     def keep(key, batches, state: GroupState):
         held = json.loads(state.get[0]) if state.exists else []
         held += [text for batch in batches for text in batch["record"]] if not state.hasTimedOut else []
-        rows = sorted(((resolved(t), t) for t in held), key=lambda x: x[0]["line_idx"])
+        rows = sorted(map(light, held), key=lambda r: r["line_idx"])
+        del held
         passed = state.getCurrentWatermarkMs()
-        windows, rest = closed([r for r, _ in rows], passed * 1000, limit_us, most)
+        windows, rest = closed(rows, passed * 1000, limit_us, most)
+        del rows
         if rest:
-            state.update((json.dumps([t for _, t in rows[len(rows) - len(rest) :]]),))
+            state.update((json.dumps([r["text"] for r in rest]),))
             state.setTimeoutTimestamp(max(passed, (rest[0]["ts_us"] + limit_us) // 1000) + 1)
         elif state.exists:
             state.remove()
-        out = [(line, key[0], w[0]["line_idx"], first) for w in windows for line, first in assign(w, merge).items()]
+        out: list[tuple] = []
+        for k, w in enumerate(windows):
+            out += [(line, key[0], w[0]["line_idx"], first) for line, first in assign([resolved(r["text"]) for r in w], merge).items()]
+            windows[k] = None
+            if len(out) >= OUT_ROWS:
+                yield pd.DataFrame(out, columns=["line_idx", "label", "window_start", "first"])
+                out = []
         yield pd.DataFrame(out, columns=["line_idx", "label", "window_start", "first"])
 
     found = slim.groupBy("label").applyInPandasWithState(keep, OUT, "held string", "append", GroupStateTimeout.EventTimeTimeout)
