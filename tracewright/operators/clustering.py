@@ -257,6 +257,10 @@ def seed_metadata(triggers: DataFrame) -> DataFrame:
 OPTIONAL = {"uid": "string", "owner_uids": "array<string>", "involved": "struct<kind:string,namespace:string,name:string,resource:string>", "claim": "struct<kind:string,namespace:string,name:string>"}
 
 
+#: What clustered() wants of a record.
+WANTED = ("line_idx", "label", "proposal", "ts_us", "username", "verb", "resource", "namespace", "name", *OPTIONAL)
+
+
 def with_optional(records: DataFrame) -> DataFrame:
     """The records with uid, owner_uids, involved and claim: from the payload where there is one, else null where they are missing."""
     if "raw" in records.columns:
@@ -357,6 +361,6 @@ def heartbeats(records: DataFrame, assigned: DataFrame, limit_us: int = NEAR_US)
 
 
 def cluster_log(records: DataFrame, merge: bool = False) -> DataFrame:
-    """Labelled records, as read from a log, to clusters: line_idx, label, cluster_id; heartbeats repaired."""
-    proposed = labels.propose(records)
-    return heartbeats(proposed, clustered(proposed, merge))
+    """Labelled records, as read from a log, to clusters: line_idx, label, cluster_id; heartbeats repaired. Proposals that they bring are kept."""
+    proposed = records if "proposal" in records.columns else labels.propose(records)
+    return heartbeats(proposed, stored(records.sparkSession, clustered(proposed, merge), "assigned"))  # asked for the renewals' clusters and for all
