@@ -50,3 +50,9 @@ def test_clusters_are_made_once(spark, monkeypatch):
     names = kept(monkeypatch, clustering)
     registry.f10_cluster_log(spark, SF).count()
     assert names == ["marked", "assigned"]
+
+
+def test_lines_bring_what_stands_beside_them(spark):
+    got = registry.labelled_records(spark, SF, "user_id").select("line_idx", "user_id")
+    want = audit.audit_view(spark, SF).select("line_idx", "user_id")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
