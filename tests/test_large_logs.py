@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tracewright import registry
-from tracewright.operators import clustering, windows
+from tracewright.operators import clustering, sequence, windows
 from tracewright.sources import audit
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +56,10 @@ def test_lines_bring_what_stands_beside_them(spark):
     got = registry.labelled_records(spark, SF, "user_id").select("line_idx", "user_id")
     want = audit.audit_view(spark, SF).select("line_idx", "user_id")
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_classifiers_share_stored_features(spark, monkeypatch):
+    names = kept(monkeypatch, sequence)
+    rows = spark.range(60).selectExpr("id AS line_idx", "'x' AS who", "CAST(id % 3 AS STRING) AS c", "CAST(17808 AS INT) AS label")
+    assert sequence.train_bundle(rows, ["c"], ["who"]).infer(rows).count() == 60
+    assert names == ["features"]
