@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tracewright.operators import recurrent, surrogate
@@ -65,3 +66,57 @@ def test_windows_of_a_model(spark):
     rows = {r.window: r for r in df.collect()}
     code = {"get": 2, "list": 3}
     assert sorted(rows) == list(range(37)) and all([r[n] for n in names] == [code["get" if (w + t) % 3 else "list"] for t in range(4)] and r.truth == w % 2 for w, r in rows.items())
+
+
+def test_the_query_leaves_nothing_out(spark, monkeypatch):
+    from tracewright import registry
+
+    asked = {}
+
+    def explain(flat, names, outer=10, inner=50, share=0.3, depth=6, top_k=10, seed=7):
+        asked.update(outer=outer, inner=inner, share=share, depth=depth, top_k=top_k)
+        return surrogate.Explanation([], [], 0, 0.0, 0.0, [])
+
+    def train(data, runs, until=recurrent.EPOCHS, **how):
+        asked.update(until=until)
+        return runs
+
+    monkeypatch.setattr(surrogate, "explain", explain)
+    monkeypatch.setattr(recurrent, "train", train)
+    registry.d19_tree_surrogate(spark, "/root/testdata/sf0.001")
+    assert asked == {"until": recurrent.EPOCHS, "outer": 10, "inner": 50, "share": 0.3, "depth": 6, "top_k": 10}
+
+
+def test_counts_and_weights_of_rounds(spark, monkeypatch):
+    rng, classes, outer = random.Random(2), 3, 2
+    rows = [(k, rng.randrange(classes), 0, rng.randrange(300), rng.randrange(200)) for k in range(700)]
+    df = spark.createDataFrame(rows, "window long, mimic int, truth int, a_t0 int, b_t0 int").repartition(3)
+    values = [np.array(sorted({r[c] for r in rows})) for c in (3, 4)]
+    monkeypatch.setattr(surrogate, "PACK", 64)
+    rounds = surrogate.Rounds(df, ["a_t0", "b_t0"], values, np.arange(classes), outer, 300, 7)
+    drawn = lambda w, i, salt, share: bool(surrogate.below(np.array([w]), 7 + i, salt, share)[0])
+    weight = {(i, r[0]): int(drawn(r[0], i, 1, 300)) for i in range(outer) for r in rows}
+    for j in range(2):
+        trees = rounds.fitted(3, j)
+        nodes = [(i, n) for i in range(outer) for n in (0, 1, 2)]
+        got, want = rounds.counts(trees, nodes, j), np.zeros((len(nodes), sum(map(len, values)), classes), np.int64)
+        tell = {}
+        for i, tree in enumerate(trees):
+            for r in rows:
+                at, path = 0, [0]
+                while tree.feature[at] >= 0:
+                    at = 2 * at + 1 + int(values[tree.feature[at]].searchsorted(r[3 + tree.feature[at]]) > tree.cut[at])
+                    path.append(at)
+                tell[i, r[0]] = tree.told[at]
+                if weight[i, r[0]] and not drawn(r[0], i, 1000 + j, surrogate.ASIDE) and path[-1] in (0, 1, 2):
+                    for c, offset in ((0, 0), (1, len(values[0]))):
+                        want[nodes.index((i, path[-1])), offset + values[c].searchsorted(r[3 + c]), r[1]] += weight[i, r[0]]
+        assert (got == want).all()
+        f1 = rounds.measured(trees, j, False)
+        for i in range(outer):
+            aside = [r for r in rows if weight[i, r[0]] and drawn(r[0], i, 1000 + j, surrogate.ASIDE)]
+            hits = [2 * sum(r[1] == c == tell[i, r[0]] for r in aside) / max(1, sum(r[1] == c for r in aside) + sum(tell[i, r[0]] == c for r in aside)) for c in range(classes)]
+            assert abs(f1[i] - sum(hits) / classes) < 1e-12
+            for r in rows:
+                weight[i, r[0]] += drawn(r[0], i, 2000 + j, 300) and tell[i, r[0]] != r[1]
+    rounds.keep(None)
